@@ -100,3 +100,8 @@ def is_sentinel(c: Column) -> Column:
 def text_number(c: Column) -> Column:
     """A double written as text, without the exponent form for everyday magnitudes."""
     return c.cast("string")
+
+
+def let(value: Column, body) -> Column:
+    """Bind an expression to a lambda variable, so that inner lambdas do not evaluate it again."""
+    return F.transform(F.array(value), body)[0]

@@ -129,9 +129,11 @@ def neighbour_contribution(feats: DataFrame, rows: DataFrame, k: int = 20,
 
 def normalised(raw: Column) -> Column:
     """Round to four places, scale to sum one, round again."""
-    r = F.transform(raw, lambda v: F.round(v, 4))
-    total = F.aggregate(r, F.lit(0.0), lambda a, v: a + F.abs(v))
-    return F.transform(r, lambda v: F.when(total > 0, F.round(v / total, 4)).otherwise(v))
+    def scale(r):
+        total = F.aggregate(r, F.lit(0.0), lambda a, v: a + F.abs(v))
+        return V.let(F.struct(r.alias("r"), total.alias("t")), lambda s: F.transform(
+            s["r"], lambda v: F.when(s["t"] > 0, F.round(v / s["t"], 4)).otherwise(v)))
+    return V.let(F.transform(raw, lambda v: F.round(v, 4)), scale)
 
 
 def contributions(method: str, feats: DataFrame, rows: DataFrame, meta: dict,
@@ -265,7 +267,7 @@ def classify(rows: DataFrame, method: str, ranges: dict[str, Range]) -> DataFram
     why = F.create_map(*[x for c, e in checks.items() for x in (F.lit(c), e)]) if checks else \
         F.create_map(F.lit(""), F.lit(None).cast("string"))
     cols, score = F.col("flagged_columns"), F.col("score")
-    broken = F.filter(cols, lambda c: F.try_element_at(why, c).isNotNull())
+    broken = V.let(why, lambda m: F.filter(cols, lambda c: F.try_element_at(m, c).isNotNull()))
     lead = F.try_element_at(cols, F.lit(1))
     steps = [
         (F.size(broken) > 0, "impossible_biological_value", F.lit(0.95),

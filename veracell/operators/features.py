@@ -8,10 +8,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import StopWordsRemover
+import pandas as pd
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
+                                RegexTokenizer)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
+from veracell.functions.stop_words import STOP_WORDS
 from veracell.operators.quantiles import quantiles
 
 MAX_LEVELS = 50
@@ -29,8 +34,9 @@ def _share(text: Column, unwanted: str) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(F.length(t) == 0, 0.0).otherwise(F.size(F.split(t, r"\s+")).cast("double"))
+    t = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.when(F.length(t) == 0, 0.0).otherwise(
+        F.size(F.split(t, r"[\s\p{Z}]+")).cast("double"))
 
 
 def char_entropy(text: Column) -> Column:
@@ -67,8 +73,8 @@ def text_shape(text: Column) -> dict[str, Column]:
         "digit_ratio": _share(t, r"[^\p{Nd}]"),
         "alpha_ratio": _share(t, r"[^\p{L}]"),
         "upper_ratio": _share(t, r"[^\p{Lu}]"),
-        "space_ratio": _share(t, r"[^\s]"),
-        "special_ratio": _share(t, r"[\p{L}\p{N}\s]"),
+        "space_ratio": _share(t, r"[^\s\p{Z}]"),
+        "special_ratio": _share(t, r"[\p{L}\p{N}\s\p{Z}]"),
         "entropy": char_entropy(t),
         "is_empty": (F.length(t) == 0).cast("double"),
         "looks_numeric": V.strip(t).rlike(r"^[\d.\-+eE,]+$").cast("double"),
@@ -93,61 +99,47 @@ def value_frequency(df: DataFrame, column: str) -> DataFrame:
 
 # ---- TF-IDF ------------------------------------------------------------------------------------
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-case runs of letters, digits and underscores, stop words left out."""
-    stop = english_stop_words() if stop_words is None else stop_words
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"),
-                     lambda w: w != "")
-    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
-
-
-def english_stop_words() -> list[str]:
-    return sorted(w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha())
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 @dataclass
 class Vocabulary:
     terms: list[str]
     idf: list[float]
-    stop_words: list[str]
 
 
 def vocabulary(df: DataFrame, column: str, most: int = 20, least_docs: int = 2) -> Vocabulary:
-    """The commonest terms with their smooth idf: one counting shuffle and a top-k."""
-    stop = english_stop_words()
-    docs = df.select(tokens(V.as_text(df, column), stop).alias("t"))
+    """The commonest terms but stop words with their smooth idf: one counting shuffle, a top-k."""
+    text = F.coalesce(V.as_text(df, column), F.lit(""))
+    docs = df.select(F.split(F.lower(text), WORD_BREAK).alias("t"))
     pairs = docs.select(
         F.explode("t").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")).unionByName(
         docs.select(F.explode(F.array_distinct("t")).alias("term"), F.lit(0).alias("tf"),
                     F.lit(1).alias("df")))
     top = (pairs.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("docs"))
-           .where(F.col("docs") >= least_docs)
+           .where((F.col("docs") >= least_docs) & ~F.col("term").isin(["", *STOP_WORDS]))
            .orderBy(F.desc("tf"), "term").limit(most).collect())
     n = df.count()
     top = sorted(top, key=lambda r: r["term"])
     return Vocabulary([r["term"] for r in top],
-                      [float(np.log((1 + n) / (1 + r["docs"])) + 1) for r in top], stop)
-
-
-def tfidf(text: Column, vocab: Vocabulary) -> Column:
-    """L2-normalised TF-IDF over the vocabulary, as an array; row-local."""
-    known = F.filter(tokens(text, []), lambda w: w.isin(vocab.terms))
-    raw = F.transform(
-        F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("idf"))
-                  for t, i in zip(vocab.terms, vocab.idf)]),
-        lambda s: F.size(F.filter(known, lambda w: w == s.t)) * s.idf)
-    return l2_normal(raw)
+                      [float(np.log((1 + n) / (1 + r["docs"])) + 1) for r in top])
 
 
-def l2_normal(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(vec, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+def with_tfidf(df: DataFrame, column: str, vocab: Vocabulary, out: str) -> DataFrame:
+    """Add the L2-normalised TF-IDF vector over the vocabulary; row-local, in the JVM."""
+    text, words, tf, weighted, unit = (f"__{s}_{out}" for s in ("x", "w", "tf", "i", "u"))
+    data = df.withColumn(text, F.coalesce(V.as_text(df, column), F.lit("")))
+    data = RegexTokenizer(pattern=WORD_BREAK, inputCol=text, outputCol=words).transform(data)
+    data = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol=words, outputCol=tf) \
+        .transform(data)
+    data = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol=tf,
+                              outputCol=weighted).transform(data)
+    data = Normalizer(p=2.0, inputCol=weighted, outputCol=unit).transform(data)
+    return data.withColumn(out, vector_to_array(unit)).drop(text, words, tf, weighted, unit)
 
 
 def gram_matrix(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, column sums, X'X) of an array column; partitions add up before the exchange."""
-    import pandas as pd
-
     def partial(batches):
         n, s, g = 0, None, None
         for pdf in batches:
@@ -180,22 +172,27 @@ def eigen(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, v * np.where(lead < 0, -1.0, 1.0)
 
 
-def project(vec: Column, matrix: np.ndarray) -> Column:
-    """vec times a small literal matrix, inside the JVM."""
-    cols = F.array(*[F.array(*[F.lit(float(x)) for x in matrix[:, j]])
-                     for j in range(matrix.shape[1])])
-    return F.transform(cols, lambda w: F.aggregate(
-        F.zip_with(vec, w, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+def projector(matrix: np.ndarray):
+    """An Arrow UDF that multiplies an array column by a small matrix."""
+    @F.pandas_udf("array<double>")
+    def multiply(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.array(x.tolist(), dtype=float) @ matrix))
+    return multiply
 
 
 def svd_basis(df: DataFrame, column: str, vocab: Vocabulary, most: int = 5) -> np.ndarray:
     """Right singular vectors of the TF-IDF matrix from its small Gram matrix."""
-    vecs = df.select(tfidf(V.as_text(df, column), vocab).alias("v"))
-    _, _, g = gram_matrix(vecs, "v")
+    _, _, g = gram_matrix(with_tfidf(df.select(V.col(column)), column, vocab, "v"), "v")
     _, basis = eigen(g)
     return basis[:, :min(most, len(vocab.terms) - 1)]
 
 
+def with_components(df: DataFrame, column: str, vocab: Vocabulary, basis: np.ndarray,
+                    out: str) -> DataFrame:
+    data = with_tfidf(df, column, vocab, f"__t_{out}")
+    return data.withColumn(out, projector(basis)(f"__t_{out}")).drop(f"__t_{out}")
+
+
 # ---- layout and matrix -------------------------------------------------------------------------
 
 @dataclass
@@ -267,6 +264,9 @@ def raw_features(df: DataFrame, key: str, lay: Layout) -> DataFrame:
     for i, c in enumerate(lay.texts):
         data = value_frequency(data, c).withColumnRenamed("value_freq", f"__freq{i}") \
             .withColumnRenamed("is_rare", f"__rare{i}")
+        vocab, basis = lay.texts[c]
+        if basis is not None:
+            data = with_components(data, c, vocab, basis, f"__svd{i}")
     singles = [F.coalesce(V.number(df, c), F.lit(float(m))) for c, m in lay.numeric.items()]
     by_source = dict(zip(lay.numeric, singles))
     parts, flat, done = [], [], set()
@@ -292,7 +292,7 @@ def raw_features(df: DataFrame, key: str, lay: Layout) -> DataFrame:
             flat.extend([F.col(f"__freq{i}"), F.col(f"__rare{i}")])
             if basis is not None:
                 flush()
-                parts.append(project(tfidf(text, vocab), basis))
+                parts.append(F.col(f"__svd{i}"))
     flush()
     x = (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else F.array(F.lit(0.0))
     bad = lambda v: F.isnan(v) | v.isNull() | (F.abs(v) == float("inf"))

@@ -104,7 +104,7 @@ def _search(k: int):
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"qid": [], "pid": [], "d": [], "w": []})
-        p = np.array(points["x"].tolist(), dtype=float)
+        p = np.array(points["px"].tolist(), dtype=float)
         pid, w = points["pid"].to_numpy(), points["w"].to_numpy()
         out_q, out_p, out_d, out_w = [], [], [], []
         for qid, x in zip(queries["qid"].to_numpy(), queries["x"]):
@@ -150,8 +150,9 @@ def _cogroup(queries: DataFrame, points: DataFrame, k: int, id_type: str, block:
         .select("block", "slice", "qid", "x")
     p = points.join(F.broadcast(loads), "block").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))) \
-        .select("block", "slice", "pid", "x", "w")
-    return q.groupBy("block", "slice").cogroup(p.groupBy("block", "slice")).applyInPandas(
+        .select(F.col("block").alias("pblock"), F.col("slice").alias("pslice"),
+                F.col("pid").alias("pid"), F.col("x").alias("px"), F.col("w").alias("w"))
+    return q.groupBy("block", "slice").cogroup(p.groupBy("pblock", "pslice")).applyInPandas(
         _search(k), PAIR_SCHEMA.format(id=id_type))
 
 

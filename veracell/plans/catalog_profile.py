@@ -159,10 +159,10 @@ def _(spark, d):
 
 @query("impossible_values_part", """SELECT 'p_size' AS column_name, count(*)::BIGINT AS
  impossible_count FROM part WHERE p_size < 3 OR p_size > 48 UNION ALL SELECT 'p_retailprice',
- count(*)::BIGINT FROM part WHERE p_retailprice > 1000""")
+ count(*)::BIGINT FROM part WHERE p_retailprice > 950""")
 def _(spark, d):
     rules = TY.impossible_rules(["p_size", "p_retailprice"],
-                                [(["size"], 3, 48), (["price"], None, 1000)])
+                                [(["size"], 3, 48), (["price"], None, 950)])
     return TY.impossible_counts(table(spark, d, "part"), rules)
 
 
