@@ -44,18 +44,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and fixes random or positional columns."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from the written table.
+
+    Survives the loss of executors, fixes positional columns, keeps later scans columnar, and,
+    unlike ``checkpoint()``, does not carry the constraints of the old plan along, which grow
+    without bound in loops.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_row_id(df: DataFrame, key_cols: list[str] | None = None, name: str = "row_id") -> DataFrame:
     """Add a row identity.
 
     One key column is reused as it is, several become a struct. Without keys, positions are
-    numbered and the result is checkpointed once, so that every later evaluation sees the same ids.
+    numbered and the result is written once, so that every later evaluation sees the same ids.
     """
     if key_cols:
         key = F.col(key_cols[0]) if len(key_cols) == 1 else F.struct(*key_cols)
         return df.withColumn(name, key)
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def materialise(df: DataFrame, *keys: str) -> DataFrame:
+    """Write a table that many passes will read, spread evenly over all cores by its keys."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(df.repartition(parts, *keys))

@@ -10,8 +10,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veracell.functions.arrow import arrays, matrix
 from veracell.functions.hashing import unit_hash
 from veracell.functions.session import cut_lineage
 from veracell.operators import knn
@@ -193,20 +195,49 @@ def local_outlier_factor(feats: DataFrame, neighbours: int = 20, block: int = kn
 
 # ---- density clusters --------------------------------------------------------------------------
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): smallest reachable node, by minimum labels and pointer jumping."""
-    both = cut_lineage(edges.select("a", "b").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    low = both.groupBy("a").agg(F.min("b").alias("m"))
-    labels = cut_lineage(nodes.select("node").join(
-        low, nodes["node"] == low["a"], "left").select(
-        "node", F.least("node", F.coalesce("m", "node")).alias("label")))
+SMALL_GRAPH = 500_000
+
+
+def _union(pdf_batches, out=("node", "label")):
+    """Smallest reachable node of every node in a bounded edge list."""
+    up: dict = {}
+
+    def root(v):
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for pdf in pdf_batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pd.DataFrame({out[0]: nodes, out[1]: [root(v) for v in nodes]})
+
+
+def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(node, label) of every node on an edge: the smallest node it can reach.
+
+    Each partition first replaces its edges by one link per node to the smallest node it reaches
+    there, which keeps all connections. A remainder of counted, bounded size is finished in one
+    task; a larger one by rounds of minimum labels and pointer jumping.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+    local = cut_lineage(edges.select("a", "b").mapInPandas(
+        lambda it: _union(it, ("a", "b")), f"a {kind}, b {kind}"))
+    if local.count() <= small:
+        return cut_lineage(local.coalesce(1).mapInPandas(_union, f"node {kind}, label {kind}"))
+    both = cut_lineage(local.unionByName(local.select(
+        F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(
+        F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("nl"))
-        pull = both.join(other, "b").groupBy("a").agg(F.min("nl").alias("m"))
-        step = labels.join(pull, labels["node"] == pull["a"], "left").select(
-            "node", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label"))
-            .alias("label"))
+        pull = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("nl").alias("m"))
+        step = labels.join(pull, "node").select(
+            "node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = cut_lineage(step.join(jump, "label", "left").select(
             "node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
@@ -261,11 +292,10 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
         la = members.select(F.col("point").alias("a"), F.col("comp").alias("ca"))
         lb = members.select(F.col("point").alias("b"), F.col("comp").alias("cb"))
         lifted = band.join(la, "a").join(lb, "b").where("ca <> cb").select(
-            F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        nodes = members.select(F.col("comp").alias("node")).distinct()
-        labels = components(lifted, nodes)
-        moved = members.join(labels, members["comp"] == labels["node"]).drop("comp", "node") \
-            .withColumnRenamed("label", "comp")
+            F.col("ca").alias("a"), F.col("cb").alias("b"))
+        labels = components(lifted).withColumnRenamed("node", "comp")
+        moved = members.join(labels, "comp", "left").withColumn(
+            "comp", F.coalesce("label", "comp")).drop("label")
         sizes = moved.groupBy("comp").agg(F.sum("w").alias("size"),
                                           F.min("joined").alias("born"))
         sizes = sizes.where(F.col("size") >= mcs).select(
@@ -277,8 +307,8 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
             grown = sizes.withColumn("kids", F.lit(0)).withColumn("kid", F.lit(None).cast("string")) \
                 .withColumn("sum", F.lit(0.0)).withColumn("best", F.lit(0.0))
         else:
-            up = big.join(labels, big["comp"] == labels["node"]).select(
-                "label", "chain", "sum", "best")
+            up = big.join(labels, "comp", "left").select(
+                F.coalesce("label", "comp").alias("label"), "chain", "sum", "best")
             kids = up.groupBy("label").agg(
                 F.count(F.lit(1)).alias("kids"), F.min("chain").alias("kid"),
                 F.max("sum").alias("one_sum"), F.max("best").alias("one_best"),
@@ -416,22 +446,19 @@ def robust_pca(feats: DataFrame, max_iter: int = 100, tol: float = 1e-6, refresh
             y = y + mu * res
         return sp, y, res
 
-    def matrices(pdf):
-        return [np.array(pdf[c].tolist(), dtype=float) for c in ("x", "s", "y")]
-
     def target_pass(steps):
-        """Gram of X - S + Y/mu after the steps, the squared residual, sums of |S|."""
+        """Gram of X - S + Y/mu after the steps and the squared residual."""
         def partial(batches):
             acc = np.zeros(d * d + 1)
-            for pdf in batches:
-                if len(pdf):
-                    x, sp, y = matrices(pdf)
+            for batch in batches:
+                x, sp, y = (matrix(batch.column(i)) for i in range(3))
+                if len(x):
                     sp, y, res = replay(x, sp, y, steps)
                     m = x - sp + y / mu
                     acc += np.concatenate([(m.T @ m).ravel(), [(res ** 2).sum()]])
-            yield pd.DataFrame({"v": [acc]})
+            yield pa.RecordBatch.from_arrays([arrays(acc[None, :])], ["v"])
         flat = np.zeros(d * d + 1)
-        for r in (state.select("x", "s", "y").mapInPandas(partial, "v array<double>")
+        for r in (state.select("x", "s", "y").mapInArrow(partial, "v array<double>")
                   .select(F.posexplode("v").alias("i", "v")).groupBy("i")
                   .agg(F.sum("v").alias("v")).collect()):
             flat[r["i"]] = r["v"]
@@ -439,13 +466,14 @@ def robust_pca(feats: DataFrame, max_iter: int = 100, tol: float = 1e-6, refresh
 
     def advance(steps):
         def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    x, sp, y = matrices(pdf)
+            for batch in batches:
+                if batch.num_rows:
+                    x, sp, y = (matrix(batch.column(i)) for i in (1, 2, 3))
                     sp, y, _ = replay(x, sp, y, steps)
-                    pdf = pdf.assign(s=list(sp), y=list(y))
-                yield pdf[["row_id", "x", "s", "y"]]
-        return cut_lineage(state.mapInPandas(run, STATE.format(id=id_type)))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0), batch.column(1), arrays(sp), arrays(y)],
+                        ["row_id", "x", "s", "y"])
+        return cut_lineage(state.mapInArrow(run, STATE.format(id=id_type)))
 
     gram, done = g, 0
     while done < max_iter:

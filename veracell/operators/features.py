@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
                                 RegexTokenizer)
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +17,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
+from veracell.functions.arrow import arrays, matrix
+from veracell.functions.session import materialise
 from veracell.functions.stop_words import STOP_WORDS
 from veracell.operators.quantiles import quantiles
 
@@ -142,17 +145,17 @@ def gram_matrix(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, column sums, X'X) of an array column; partitions add up before the exchange."""
     def partial(batches):
         n, s, g = 0, None, None
-        for pdf in batches:
-            x = np.array(pdf[vec].tolist(), dtype=float)
-            if not len(x):
-                continue
-            n += len(x)
-            s = x.sum(axis=0) if s is None else s + x.sum(axis=0)
-            g = x.T @ x if g is None else g + x.T @ x
+        for batch in batches:
+            x = matrix(batch.column(0))
+            if len(x):
+                n += len(x)
+                s = x.sum(axis=0) if s is None else s + x.sum(axis=0)
+                g = x.T @ x if g is None else g + x.T @ x
         if n:
-            yield pd.DataFrame({"v": [np.concatenate([[float(n)], s, g.ravel()])]})
+            flat = np.concatenate([[float(n)], s, g.ravel()])
+            yield pa.RecordBatch.from_arrays([arrays(flat[None, :])], ["v"])
 
-    parts = df.select(vec).mapInPandas(partial, "v array<double>")
+    parts = df.select(vec).mapInArrow(partial, "v array<double>")
     rows = (parts.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
             .collect())
     if not rows:
@@ -323,7 +326,7 @@ def standardise(raw: DataFrame, lay: Layout | None = None) -> DataFrame:
 def feature_matrix(df: DataFrame, key: str, profile: list, with_text: bool = True) \
         -> tuple[DataFrame, Layout]:
     lay = plan_features(df, profile, with_text)
-    return standardise(raw_features(df, key, lay), lay), lay
+    return materialise(standardise(raw_features(df, key, lay), lay), "row_id"), lay
 
 
 def numeric_matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -331,4 +334,4 @@ def numeric_matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     med = quantiles(df, {c: V.number(df, c) for c in columns}, [0.5])
     lay = Layout(names=list(columns), sources=list(columns),
                  numeric={c: med[c][0] or 0.0 for c in columns})
-    return standardise(raw_features(df, key, lay), lay)
+    return materialise(standardise(raw_features(df, key, lay), lay), "row_id")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veracell.functions.session import materialise
 from veracell.operators import detectors as DT, features as X, knn
 from veracell.plans.registry import long, query, r, table
 
@@ -13,8 +14,9 @@ KNN = f"""n AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b)
 
 
 def vectors(spark, d):
-    return table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
+    return materialise(table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x")),
+        "row_id")
 
 
 def line_features(spark, d, columns=("l_quantity", "l_extendedprice", "l_discount", "l_tax")):

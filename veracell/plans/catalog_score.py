@@ -131,11 +131,11 @@ def _(spark, d):
     return out.select("event_id", "flagged", r("agreement").alias("agreement"))
 
 
-@query("ambiguous_rows_events", ENS + """ SELECT event_id FROM a WHERE (flagged AND agreement < 0.6) OR (NOT
- flagged AND agreement > 0.4)""")
+@query("ambiguous_rows_events", ENS + """ SELECT event_id FROM a WHERE (flagged AND agreement < 0.7) OR (NOT
+ flagged AND agreement > 0.3)""")
 def _(spark, d):
     out, _ = SC.ensemble(scores(spark, d), NAMES, WEIGHTS, 0.05)
-    return out.where("ambiguous").select("event_id")
+    return out.where(SC.ambiguous(F.col("flagged"), F.col("agreement"), 0.3)).select("event_id")
 
 
 @query("borderline_rows_events", ENS + """ SELECT event_id, round(fin, 4) AS score, round(cf, 4) AS threshold,
