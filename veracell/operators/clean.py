@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veracell.dims import Range
 from veracell.functions import values as V
@@ -209,6 +209,13 @@ def _repair(df: DataFrame, c: str, actions: set, consts: RepairValues, variants,
         F.lit(None), "flag_for_review", "manual_only", F.lit("Flagged, not changed")))
 
 
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """Replacement text as the column's type; whole-number columns take the nearest number."""
+    if isinstance(kind, T.IntegralType):
+        return F.round(text.try_cast("double")).try_cast(kind)
+    return text.try_cast(kind)
+
+
 CHANGES = ["winsorize", "impute_median", "impute_knn", "remove_field", "normalize_coding",
            "correct_pattern", "convert_unit"]
 
@@ -251,7 +258,7 @@ def apply_actions(df: DataFrame, key: str, recs: DataFrame,
         if c in cols:
             r = F.col(f"__r_{list(cols).index(c)}")
             kind = df.schema[c].dataType
-            new = F.when(r["applied"].isin(CHANGES), r["new"].try_cast(kind)).otherwise(old)
+            new = F.when(r["applied"].isin(CHANGES), _typed(r["new"], kind)).otherwise(old)
         cleaned.append(F.when(gone, F.lit(None)).otherwise(new).alias(c))
     entries = [F.when(F.col(f"__r_{i}").isNotNull(), F.struct(
         F.lit(c).alias("column_name"), V.as_text(df, c).alias("original_value"),
