@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions.arrow import arrays, matrix
 from veracell.functions.hashing import unit_hash
+from veracell.functions.joins import join_lines
 from veracell.functions.session import cut_lineage
 from veracell.operators import knn
 from veracell.operators.features import eigen, gram_matrix
@@ -167,7 +168,7 @@ def _weighted_edges(near: DataFrame, k: int) -> DataFrame:
 
 
 def lof_points(feats: DataFrame, k: int, block: int = knn.BLOCK) -> DataFrame:
-    """(pid, x, lof) per distinct point."""
+    """(pid, x, w, lof) per distinct point."""
     near = cut_lineage(knn.neighbours(feats, k, block))
     reach = near.select(F.col("pid").alias("npid"), F.when(F.col("copies") >= k, 0.0).otherwise(
         F.coalesce(F.array_max(F.transform("near", lambda s: s.d)), F.lit(0.0))).alias("kdist"))
@@ -179,8 +180,8 @@ def lof_points(feats: DataFrame, k: int, block: int = knn.BLOCK) -> DataFrame:
     around = links.join(lrd.select(F.col("pid").alias("npid"), F.col("lrd").alias("nlrd")),
                         "npid").groupBy("pid").agg(
         (F.sum(F.col("rows") * F.col("nlrd")) / F.sum("rows")).alias("mean_lrd"))
-    return near.select("pid", "x").join(around, "pid").join(lrd, "pid").select(
-        "pid", "x", (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
+    return near.select("pid", "x", "w").join(around, "pid").join(lrd, "pid").select(
+        "pid", "x", "w", (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
 
 
 def local_outlier_factor(feats: DataFrame, neighbours: int = 20, block: int = knn.BLOCK,
@@ -189,8 +190,8 @@ def local_outlier_factor(feats: DataFrame, neighbours: int = 20, block: int = kn
     if k < 2:
         return Detection("lof", _zeros(feats), {"k": k})
     points = cut_lineage(lof_points(feats, k, block))
-    scaled = min_max(points, "lof").select("x", "score", "lof")
-    return Detection("lof", feats.join(scaled, "x").select("row_id", "score", "lof"), {"k": k})
+    scaled = min_max(points, "lof").select("x", "w", "score", "lof")
+    return Detection("lof", knn.to_rows(feats, scaled).select("row_id", "score", "lof"), {"k": k})
 
 
 # ---- density clusters --------------------------------------------------------------------------
@@ -231,15 +232,16 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
         return cut_lineage(local.coalesce(1).mapInPandas(_union, f"node {kind}, label {kind}"))
     both = cut_lineage(local.unionByName(local.select(
         F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = both.count()
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("nl"))
-        pull = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("nl").alias("m"))
+        pull = join_lines(both, other, "b", links).groupBy(F.col("a").alias("node")).agg(F.min("nl").alias("m"))
         step = labels.join(pull, "node").select(
             "node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = cut_lineage(step.join(jump, "label", "left").select(
+        new = cut_lineage(join_lines(step, jump, "label", links, "left").select(
             "node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
         if new.where("label <> was").isEmpty():
             return new.select("node", "label")
@@ -283,6 +285,7 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
                           F.lit(None).cast("double").alias("densest"),
                           F.lit(None).cast("string").alias("chain"))
     members = cut_lineage(members)
+    points_n = members.count()
     big = None
     chains = []
     below = -1.0
@@ -294,7 +297,7 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
         lifted = band.join(la, "a").join(lb, "b").where("ca <> cb").select(
             F.col("ca").alias("a"), F.col("cb").alias("b"))
         labels = components(lifted).withColumnRenamed("node", "comp")
-        moved = members.join(labels, "comp", "left").withColumn(
+        moved = join_lines(members, labels, "comp", points_n, "left").withColumn(
             "comp", F.coalesce("label", "comp")).drop("label")
         sizes = moved.groupBy("comp").agg(F.sum("w").alias("size"),
                                           F.min("joined").alias("born"))
@@ -328,7 +331,7 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
             .alias("chain"),
             (F.col("sum") + F.col("size") * F.lit(width)).alias("sum"), "best"))
         seen = big.select("comp", F.col("born").alias("b"), F.col("chain").alias("c"))
-        members = cut_lineage(moved.join(seen, "comp", "left").select(
+        members = cut_lineage(join_lines(moved, seen, "comp", points_n, "left").select(
             "point", "comp", "w",
             F.coalesce("joined", F.when(F.col("b").isNotNull(), F.lit(float(eps))))
             .alias("joined"),
@@ -346,7 +349,8 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
                       .alias("cluster")))
     points = cut_lineage(points)
     scored = min_max(points, "raw")
-    rows = feats.join(near.select("x", F.col("pid").alias("point")), "x").join(scored, "point")
+    found = near.select("x", "w", F.col("pid").alias("point")).join(scored, "point")
+    rows = cut_lineage(knn.to_rows(feats, found).select("row_id", "score", "cluster"))
     noise = rows.agg(F.avg((F.col("cluster") == "-1").cast("double"))).first()[0]
     return Detection("hdbscan", rows.select("row_id", "score"),
                      {"min_cluster_size": mcs, "min_samples": ms, "levels": len(ladder)},

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
 from veracell.functions.hashing import fingerprint
-from veracell.functions.joins import join_group_facts
+from veracell.functions.joins import join_group_facts, join_lines
 from veracell.functions.session import cut_lineage
 from veracell.operators.typing import distinct_counts
 
@@ -136,20 +136,23 @@ def near_duplicates(df: DataFrame, key: str, compare: list[str], block: list[str
     theirs = rows.select(F.col("row_id").alias("leader_id"), fields.alias("theirs"))
     same = F.aggregate(F.zip_with("mine", "theirs", lambda x, y: x.eqNullSafe(y).cast("int")),
                        F.lit(0), lambda acc, v: acc + v)
-    return (pairs.join(mine, "row_id").join(theirs, "leader_id")
+    with_mine = pairs.join(mine, "row_id")
+    return (join_lines(with_mine, theirs, "leader_id", rows.count())
             .select("leader_id", "row_id", (same / float(len(compare))).alias("similarity")))
 
 
 def _leaders(links: DataFrame) -> DataFrame:
     """Decide leader (L) or follower (N) for every row, in rounds."""
     state = cut_lineage(links.select("row_id").distinct().withColumn("s", F.lit("U")))
+    total = links.count()
     while True:
         seen = links.join(state, "row_id")
         low = seen.groupBy("k").agg(
+            F.count(F.lit(1)).alias("n"),
             F.min(F.when(F.col("s") == "L", F.col("row_id"))).alias("min_leader"),
             F.min(F.when(F.col("s") == "U", F.col("row_id"))).alias("min_open"))
-        view = (seen.where("s = 'U'").join(low, "k").groupBy("row_id").agg(
-            F.min("min_leader").alias("leader"), F.min("min_open").alias("open")))
+        view = join_group_facts(seen.where("s = 'U'"), low, "k", total).groupBy("row_id").agg(
+            F.min("min_leader").alias("leader"), F.min("min_open").alias("open"))
         decided = view.select("row_id", F.when(F.col("leader") < F.col("row_id"), "N")
                               .when(F.col("open") >= F.col("row_id"), "L")
                               .otherwise("U").alias("new"))
@@ -161,9 +164,11 @@ def _leaders(links: DataFrame) -> DataFrame:
 
 def _assign(links: DataFrame, state: DataFrame) -> DataFrame:
     seen = links.join(state, "row_id")
-    leaders = seen.where("s = 'L'").groupBy("k").agg(F.min("row_id").alias("leader_id"))
-    return (seen.where("s = 'N'").join(leaders, "k").groupBy("row_id")
-            .agg(F.min("leader_id").alias("leader_id")))
+    leaders = seen.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(F.col("s") == "L", F.col("row_id"))).alias("leader_id"))
+    return (join_group_facts(seen.where("s = 'N'"), leaders, "k", links.count())
+            .groupBy("row_id").agg(F.min("leader_id").alias("leader_id")))
 
 
 def without_extra_copies(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

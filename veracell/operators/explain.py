@@ -120,10 +120,11 @@ def neighbour_contribution(feats: DataFrame, rows: DataFrame, k: int = 20,
     total = F.aggregate("l", F.lit(0).cast("long"), lambda a, s: a + s["r"])
     summed = F.aggregate("l", zero, lambda a, s: F.zip_with(
         a, s["nx"], lambda u, v: u + v * s["r"]))
-    means = near.select("pid", "x").join(grouped, "pid").select("x", F.transform(
-        summed, lambda v: v / total).alias("m"))
+    means = near.select("pid", "x", "w").join(grouped, "pid").select("x", "w", V.let(
+        F.struct(summed.alias("s"), total.alias("t")),
+        lambda z: F.transform(z["s"], lambda v: v / z["t"])).alias("m"))
     mine = feats.join(rows.select("row_id"), "row_id", "left_semi")
-    return mine.join(means, "x").select("row_id", F.zip_with(
+    return knn.to_rows(mine, means).select("row_id", F.zip_with(
         "x", "m", lambda a, b: (a - b) * (a - b)).alias("raw"))
 
 
@@ -182,12 +183,12 @@ def clean_twins(feats: DataFrame, flags: DataFrame, block: int = knn.BLOCK) -> D
     if good.isEmpty() or bad.isEmpty():
         return joined.limit(0).select("row_id", F.col("row_id").alias("twin_id"),
                                       F.lit(0.0).alias("distance"))
-    queries = bad.groupBy("x").agg(F.min("row_id").alias("qid"))
+    queries = bad.groupBy("x").agg(F.min("row_id").alias("qid"), F.count(F.lit(1)).alias("w"))
     found = knn.nearest(queries.select("qid", "x"), knn.distinct_points(good.select("row_id", "x")),
                         1, block)
     best = found.select("qid", F.col("c")[0]["pid"].alias("twin_id"),
                         F.col("c")[0]["d"].alias("distance"))
-    return bad.select("row_id", "x").join(queries, "x").join(best, "qid").select(
+    return knn.to_rows(bad.select("row_id", "x"), queries.join(best, "qid")).select(
         "row_id", "twin_id", "distance")
 
 

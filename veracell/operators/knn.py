@@ -14,10 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from veracell.functions.joins import join_group_facts
 from veracell.functions.session import cut_lineage
 
 BLOCK = 2048
 MAX_PIVOTS = 512
+MAX_BLOCKS = 20_000
 
 
 def distinct_points(rows: DataFrame) -> DataFrame:
@@ -25,6 +27,11 @@ def distinct_points(rows: DataFrame) -> DataFrame:
     return rows.groupBy("x").agg(F.min("row_id").alias("pid"), F.count(F.lit(1)).alias("w"))
 
 
+def to_rows(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Give every row what was found for its vector; ``points`` has x and its row count w."""
+    return join_group_facts(rows, points, "x", rows.count(), "w").drop("w")
+
+
 def _pivots(points: DataFrame, n: int, block: int) -> np.ndarray:
     """A repeatable sample of points, at most ``MAX_PIVOTS``."""
     want = min(MAX_PIVOTS, max(1, math.ceil(n / block)))
@@ -198,6 +205,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -
     """
     id_type = points.schema["pid"].dataType.simpleString()
     n = points.count()
+    block = max(block, math.ceil(n / MAX_BLOCKS))  # keeps the list of blocks bounded
     pivots = _pivots(points, n, block)
     placed, lines = _blocks(points, pivots, block)
     home = queries.withColumn("a", _nearest_pivot(pivots)("x")) if len(lines) > 1 else None
@@ -230,7 +238,7 @@ def edges(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     A row's own copies come first. Meant for results and small k; detectors use weights instead.
     """
     near = neighbours(rows, k, block)
-    members = rows.join(near.select("x", "pid"), "x").select("row_id", "pid")
+    members = to_rows(rows, near.select("x", "pid", "w")).select("row_id", "pid")
     copies = F.struct(F.lit(0.0).alias("d"), F.col("pid").alias("pid"),
                       F.col("w").alias("w"))
     lists = near.select("pid", F.explode(F.concat(F.array(copies), F.col("near"))).alias("s")) \

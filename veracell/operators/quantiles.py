@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veracell.functions.joins import join_group_facts
+
 SMALL = 4_000_000
 SKETCH = 10_000
 
@@ -138,7 +140,9 @@ def value_ranks(df: DataFrame, value: str, buckets: int = 64, weight: Column | N
 def with_average_rank(df: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:
     """Average rank (ties share their mean rank), 1-based; null values get no rank.
 
-    Duplicates of a hot value join one line of the rank table; adaptive execution splits them.
+    Rows of a hot value meet the one line of the value without moving.
     """
-    ranks = value_ranks(df, value).select(value, F.col("avg_rank").alias(out))
-    return df.join(ranks, value, "left")
+    ranks = value_ranks(df, value).select(value, "n", F.col("avg_rank").alias(out))
+    ranked = join_group_facts(df, ranks, value, df.count()).drop("n")
+    gaps = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.unionByName(gaps)

@@ -373,7 +373,7 @@ def unmatched_terms(values: DataFrame, column: str, concepts: DataFrame, k: int
 
 def lookup_loinc(codes: DataFrame, column: str, loinc: DataFrame) -> DataFrame:
     """Codes with their dimension line; unknown codes keep nulls."""
-    return codes.join(F.broadcast(loinc), codes[column] == loinc["loinc_num"], "left")
+    return codes.join(loinc, codes[column] == loinc["loinc_num"], "left")
 
 
 def loinc_ranges(spark) -> DataFrame:
@@ -396,7 +396,7 @@ def invalid_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 def canonical(df: DataFrame, column: str, vocab: DataFrame, out: str = "canonical") -> DataFrame:
     """Left join of raw values to their canonical form; unknown values keep null."""
     v = vocab.select(F.col("value").alias("__v"), F.col("canonical").alias(out))
-    return df.join(F.broadcast(v), V.col(column) == F.col("__v"), "left").drop("__v")
+    return df.join(v, V.col(column) == F.col("__v"), "left").drop("__v")
 
 
 # ---- units -------------------------------------------------------------------------------------
