@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
 from veracell.functions.hashing import unit_hash
-from veracell.operators.quantiles import quantiles, with_average_rank
+from veracell.functions.joins import join_group_facts
+from veracell.operators.quantiles import group_ranks, quantiles
 from veracell.operators.typing import distinct_counts, long_summary, simple_columns
 
 TOP_VALUES = 50
@@ -166,32 +167,52 @@ def table_profile(profile: DataFrame) -> DataFrame:
 # ---- correlation and missingness ---------------------------------------------------------------
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Spearman correlation of each column pair over rows where both are present."""
-    data = df.select(*[V.number(df, c).alias(c) for c in columns])
-    nulls = data.agg(*[F.count_if(V.col(c).isNull()).alias(c) for c in columns]).first()
-    full = [c for c in columns if nulls[c] == 0]
-    gaps = [p for p in itertools.combinations(columns, 2) if not set(p) <= set(full)]
-    out = None
-    if len(full) > 1:
-        ranked = data.select(*full)
-        for c in full:
-            ranked = with_average_rank(ranked, c, f"rank_{c}")
-        out = _pair_table(ranked, list(itertools.combinations(full, 2)))
-    for a, b in gaps:
-        both = data.select(a, b).where(V.col(a).isNotNull() & V.col(b).isNotNull())
-        for c in (a, b):
-            both = with_average_rank(both, c, f"rank_{c}")
-        part = _pair_table(both, [(a, b)])
-        out = part if out is None else out.unionByName(part)
-    return out
-
+    """Spearman correlation of each column pair over rows where both are present.
 
-def _pair_table(ranked: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    wide = ranked.agg(*[F.corr(V.col(f"rank_{a}"), V.col(f"rank_{b}")).alias(f"p{i}")
-                        for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                 F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])))
+    Columns without gaps are ranked once each; pairs with gaps are ranked on their own rows. All
+    ranks come from one grouped pass.
+    """
+    data = df.select(*[V.number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    counts = data.agg(F.count(F.lit(1)), *[F.count(c) for c in data.columns]).first()
+    total, full = counts[0], [i for i in range(len(columns)) if counts[i + 1] == counts[0]]
+    pairs = list(itertools.combinations(range(len(columns)), 2))
+    whole = [p for p in pairs if set(p) <= set(full)]
+    gaps = [p for p in pairs if not set(p) <= set(full)]
+    parts = []
+    if whole:
+        long = data.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("g"), F.col(f"v{i}").alias("v")) for i in full])))
+        ranks, ranked = group_ranks(long), data
+        for i in full:
+            lines = ranks.where(F.col("g") == i).select(
+                F.col("v").alias(f"v{i}"), "n", F.col("avg_rank").alias(f"r{i}"))
+            ranked = join_group_facts(ranked, lines, f"v{i}", total).drop("n")
+        wide = ranked.agg(*[F.corr(f"r{a}", f"r{b}").alias(f"p{k}")
+                            for k, (a, b) in enumerate(whole)])
+        parts.append(wide.select(F.inline(F.array(*[
+            F.struct(F.lit(columns[a]).alias("column_a"), F.lit(columns[b]).alias("column_b"),
+                     F.col(f"p{k}").alias("correlation")) for k, (a, b) in enumerate(whole)]))))
+    if gaps:
+        rows = data.select(F.inline(F.array(*[
+            F.struct(F.lit(2 * k).alias("p"), F.col(f"v{a}").alias("a"), F.col(f"v{b}").alias("b"))
+            for k, (a, b) in enumerate(gaps)]))).where("a IS NOT NULL AND b IS NOT NULL")
+        ranks = group_ranks(rows.select(F.inline(F.array(
+            F.struct(F.col("p").alias("g"), F.col("a").alias("v")),
+            F.struct((F.col("p") + 1).alias("g"), F.col("b").alias("v"))))))
+        for side, shift in (("a", 0), ("b", 1)):
+            lines = ranks.where(F.col("g") % 2 == shift).select(
+                F.struct((F.col("g") - shift).alias("p"), F.col("v").alias("v")).alias("k"), "n",
+                F.col("avg_rank").alias(f"r_{side}"))
+            keyed = rows.withColumn("k", F.struct("p", F.col(side).alias("v")))
+            rows = join_group_facts(keyed, lines, "k", total * len(gaps)).drop("k", "n")
+        name = lambda at: F.element_at(F.array(*[F.lit(columns[p[at]]) for p in gaps]),
+                                       (F.col("p") / 2).cast("int") + 1)
+        parts.append(rows.groupBy("p").agg(F.corr("r_a", "r_b").alias("correlation")).select(
+            name(0).alias("column_a"), name(1).alias("column_b"), "correlation"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def missing_correlations(df: DataFrame, columns: list[str] | None = None,

@@ -14,6 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veracell.functions.joins import join_group_facts
+from veracell.functions.session import cut_lineage
 
 SMALL = 4_000_000
 SKETCH = 10_000
@@ -146,3 +147,30 @@ def with_average_rank(df: DataFrame, value: str, out: str = "avg_rank") -> DataF
     ranked = join_group_facts(df, ranks, value, df.count()).drop("n")
     gaps = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
     return ranked.unionByName(gaps)
+
+
+def group_ranks(long: DataFrame, buckets: int = 64) -> DataFrame:
+    """(g, v, n, avg_rank) within each group of a (g int, v double) table.
+
+    All groups go through one counting shuffle; ranges are cut at literal bounds per group.
+    """
+    counts = cut_lineage(long.where(F.col("v").isNotNull()).groupBy("g", "v").agg(
+        F.count(F.lit(1)).alias("n")))
+    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = {r["g"]: sorted(set(r["q"])) for r in counts.groupBy("g").agg(
+        F.percentile_approx("v", steps, 1000).alias("q")).collect()}
+    if not cuts:
+        return counts.withColumn("avg_rank", F.lit(0.0))
+    bounds = F.create_map(*[x for g, q in cuts.items() for x in (
+        F.lit(g), F.array(*[F.lit(float(c)) for c in q]))])
+    ranged = counts.withColumn("__range", F.size(F.filter(
+        bounds[F.col("g")], lambda c: c <= F.col("v"))))
+    before = Window.partitionBy("g").orderBy("__range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("g", "__range").agg(F.sum("n").alias("__rows")).select(
+        "g", "__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("g", "__range").orderBy("v").rowsBetween(
+        Window.unboundedPreceding, -1)
+    below = F.col("__offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return ranged.join(F.broadcast(offsets), ["g", "__range"]).select(
+        "g", "v", "n", (below + (F.col("n") + 1) / 2.0).alias("avg_rank"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -64,14 +65,20 @@ def stability(feats: DataFrame, detector: Callable, contamination: float, runs:
     """Mean pairwise Jaccard overlap of the rows flagged by refits on resamples."""
     if feats.count() < 20 or runs < 2:
         return 0.5
-    flagged = None
-    for b in range(runs):
+
+    def refit(b: int) -> DataFrame:
         sample = cut_lineage(bootstrap(feats, b, seed))
         found = detector(sample.select("row_id", "x"), contamination=contamination, **options)
         hits = flag(found.scores, ["score"], contamination).where("flag_score")
-        part = sample.select("row_id", "origin").join(hits, "row_id").select(
-            "origin", F.lit(b).alias("b")).distinct()
-        flagged = part if flagged is None else flagged.unionByName(part)
+        return cut_lineage(sample.select("row_id", "origin").join(hits, "row_id").select(
+            "origin", F.lit(b).alias("b")).distinct())
+
+    # refits are independent jobs, so they may share the cluster
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(refit, range(runs)))
+    flagged = parts[0]
+    for part in parts[1:]:
+        flagged = flagged.unionByName(part)
     wide = flagged.groupBy("origin").agg(*[
         F.max(F.col("b") == b).alias(f"r{b}") for b in range(runs)])
     return mean_jaccard(wide, [f"r{b}" for b in range(runs)]).first()[0]
