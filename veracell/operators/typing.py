@@ -74,26 +74,49 @@ def _hidden(c: Column) -> dict[str, Column]:
     }
 
 
-def _type_metrics(df: DataFrame, name: str) -> dict[str, Column]:
-    text, is_string = V.as_text(df, name), isinstance(df.schema[name].dataType, T.StringType)
-    word = F.lower(V.strip(text))
+def _flag_metrics(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """(only true/false spellings, how many of them); a double is never a flag."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(False), F.lit(0)
+    if isinstance(kind, T.IntegralType):
+        c = V.col(name)
+        kinds = F.size(F.collect_set(F.when(c.isin(0, 1), c)))
+        return F.coalesce(F.bool_and(c.isin(0, 1)), F.lit(False)), kinds
     flags = V.TRUE_WORDS + V.FALSE_WORDS
-    dates = F.least(sum((F.avg(text.rlike(p).cast("double")) for p in V.DATE_SHAPES), F.lit(0.0)),
-                    F.lit(1.0))
-    hidden = _hidden(text) if is_string else {
-        "hidden_null_count": F.count_if(F.lit(False)),
-        "hidden_null_patterns": F.collect_set(F.lit(None).cast("string"))}
+    word = F.lower(V.strip(V.as_text(df, name)))
+    return (F.coalesce(F.bool_and(word.isin(flags)), F.lit(False)),
+            F.size(F.collect_set(F.when(word.isin(flags), word))))
+
+
+def _type_metrics(df: DataFrame, name: str) -> dict[str, Column]:
+    """Aggregates that decide a column's type; values are parsed only where the column is text."""
+    kind = df.schema[name].dataType
+    is_string = isinstance(kind, T.StringType)
+    c, text = V.present(df, name), V.as_text(df, name)
+    only_flags, flag_kinds = _flag_metrics(df, name)
+    none = {"hidden_null_count": F.lit(0).cast("long"),
+            "hidden_null_patterns": F.array().cast("array<string>")}
+    numeric, dates, length = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    if V.is_numeric(df, name):
+        numeric = F.lit(1.0)
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        dates = F.lit(1.0)
+    elif is_string:
+        numeric = F.avg(F.when(text.isNotNull(), V.to_number(text).isNotNull().cast("double")))
+        dates = F.least(sum((F.avg(text.rlike(p).cast("double")) for p in V.DATE_SHAPES),
+                            F.lit(0.0)), F.lit(1.0))
+        length = F.avg(F.length(text))
     return {
         "row_count": F.count(F.lit(1)),
-        "null_count": F.count_if(text.isNull()),
-        **hidden,
-        "only_flags": F.coalesce(F.bool_and(word.isin(flags)), F.lit(False)),
-        "flag_kinds": F.size(F.collect_set(F.when(word.isin(flags), word))),
-        "numeric_ratio": F.coalesce(F.avg(F.when(
-            text.isNotNull(), V.number(df, name).isNotNull().cast("double"))), F.lit(0.0)),
+        "null_count": F.count_if(c.isNull()),
+        **(_hidden(text) if is_string else none),
+        "only_flags": only_flags,
+        "flag_kinds": flag_kinds,
+        "numeric_ratio": F.coalesce(numeric, F.lit(0.0)),
         "date_ratio": F.coalesce(dates, F.lit(0.0)),
-        "mean_length": F.coalesce(F.avg(F.length(text)), F.lit(0.0)),
-        "is_text": F.max(F.lit(is_string)),
+        "mean_length": F.coalesce(length, F.lit(0.0)),
+        "is_text": F.lit(is_string),
     }
 
 
