@@ -248,8 +248,37 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
         labels = new.select("node", "label")
 
 
+LANDMARKS = 256
+
+
+def _bridges(core: DataFrame) -> list[tuple]:
+    """Minimum spanning tree over at most 256 sampled points, by mutual reachability.
+
+    Nearest-neighbour edges stay inside clusters; these few edges tell at which distance clusters
+    meet, so that outliers farther than that count as noise.
+    """
+    rows = core.orderBy(F.xxhash64("x")).limit(LANDMARKS).select("pid", "x", "core").collect()
+    if len(rows) < 2:
+        return []
+    x = np.array([r["x"] for r in rows], dtype=float)
+    c = np.array([r["core"] if r["core"] is not None else 0.0 for r in rows])
+    reach = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    reach = np.maximum(np.maximum(reach, c[:, None]), c[None, :])
+    near, via = reach[0].copy(), np.zeros(len(rows), dtype=int)
+    near[0], out = np.inf, []
+    inside = np.zeros(len(rows), dtype=bool)
+    inside[0] = True
+    for _ in range(len(rows) - 1):
+        j = int(np.argmin(np.where(inside, np.inf, near)))
+        out.append((rows[via[j]]["pid"], rows[j]["pid"], float(near[j])))
+        inside[j] = True
+        closer = reach[j] < near
+        near[closer], via[closer] = reach[j][closer], j
+    return out
+
+
 def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples: int = 5,
-                     levels: int = 8, block: int = knn.BLOCK, **_) -> Detection:
+                     levels: int = 6, block: int = knn.BLOCK, **_) -> Detection:
     """Density-based outliers on a ladder of distance levels.
 
     Mutual-reachability edges of the k-nearest-neighbour graph are added level by level; a point
@@ -265,7 +294,7 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
         return Detection("hdbscan", _zeros(feats), {"min_cluster_size": mcs})
     near = cut_lineage(knn.neighbours(feats, k, block))
     links = _weighted_edges(near, k)
-    core = near.select("pid", "w", F.when(F.col("copies") >= ms, 0.0).otherwise(
+    core = near.select("pid", "x", "w", F.when(F.col("copies") >= ms, 0.0).otherwise(
         F.element_at(F.transform(F.filter(F.transform("near", lambda s, i: F.struct(
             s.d.alias("d"), (F.col("copies") + F.aggregate(
                 F.slice("near", 1, i + 1), F.lit(0).cast("long"), lambda a, t: a + t["w"]))
@@ -277,7 +306,12 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
         F.col("pid").alias("a"), F.col("npid").alias("b"),
         F.greatest("core", "ncore", "d").alias("w")))
     probs = [i / levels for i in range(1, levels + 1)]
-    ladder = sorted({v for v in quantiles(edges, {"w": F.col("w")}, probs)["w"] if v is not None})
+    ladder = {v for v in quantiles(edges, {"w": F.col("w")}, probs)["w"] if v is not None}
+    bridges = _bridges(core)
+    ladder = sorted(ladder | {w for _, _, w in sorted(bridges, key=lambda e: -e[2])[:4]})
+    if bridges:
+        edges = cut_lineage(edges.unionByName(
+            feats.sparkSession.createDataFrame(bridges, edges.schema)))
 
     # comp: (label, node size, first level, chain and its sums); nodes: contracted components
     members = core.select(F.col("pid").alias("point"), F.col("pid").alias("comp"), "w",
