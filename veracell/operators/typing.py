@@ -213,5 +213,9 @@ def impossible_values(df: DataFrame, rules: list[tuple[str, float, float]]) -> D
 
 
 def impossible_counts(df: DataFrame, rules: list[tuple[str, float, float]]) -> DataFrame:
-    bad = impossible_values(df, rules)
-    return bad.groupBy("column_name").agg(F.count(F.lit(1)).alias("impossible_count"))
+    """Broken cells per ruled column, zero included; one wide aggregate."""
+    by_column: dict[str, list] = {}
+    for c, low, high in rules:
+        by_column.setdefault(c, []).append(F.count_if(_breaks(V.number(df, c), low, high)))
+    return long_summary(df, {c: {"impossible_count": sum(counts[1:], counts[0])}
+                             for c, counts in by_column.items()}).drop("position")

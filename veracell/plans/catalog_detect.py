@@ -76,7 +76,8 @@ def _(spark, d):
 @query("reconstruction_error_lineitem", """WITH z AS (SELECT l_orderkey, l_linenumber, l_partkey,
  l_suppkey, l_extendedprice AS price, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity)
  OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER ()
- AS b FROM lineitem), e AS (SELECT *, (a - b) * (a - b) / 4 AS raw FROM z) SELECT l_orderkey,
+ AS b FROM lineitem), e AS (SELECT *, CASE WHEN (SELECT corr(l_quantity,
+ l_extendedprice) FROM lineitem) >= 0 THEN (a - b) * (a - b) ELSE (a + b) * (a + b) END / 4 AS raw FROM z) SELECT l_orderkey,
  l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, price, round(raw, 6) AS raw,
  round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS score FROM e""")
 def _(spark, d):
