@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
 from veracell.functions.arrow import arrays, matrix
+from veracell.functions.hashing import fingerprint
+from veracell.functions.joins import join_group_facts
 from veracell.functions.session import materialise
 from veracell.functions.stop_words import STOP_WORDS
 from veracell.operators.quantiles import quantiles
@@ -88,11 +90,10 @@ def text_shape(text: Column) -> dict[str, Column]:
 def value_frequency(df: DataFrame, column: str) -> DataFrame:
     """Add ``value_freq`` and ``is_rare``.
 
-    Values are counted by 64-bit hash, so the exchanged tables hold no text; a hot value is one
-    line of the counts, and frequent lines are broadcast.
+    Values are counted by a 128-bit fingerprint, so the exchanged tables hold no text; a hot value
+    is one line of the counts, and frequent lines are broadcast.
     """
-    from veracell.functions.joins import join_group_facts
-    h = F.xxhash64(F.coalesce(V.as_text(df, column), F.lit("")))
+    h = fingerprint(F.coalesce(V.as_text(df, column), F.lit("")))
     hashed = df.withColumn("__h", h)
     counts = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
     out = join_group_facts(hashed, counts, "__h", df.count())

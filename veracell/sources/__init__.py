@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veracell.functions.session import scratch_path
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, strings: bool = False,
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, strings: bool = True,
                json_lines: bool = False) -> DataFrame:
     """CSV, TSV, JSON or Parquet by extension; refuses empty and one-column tables.
 
-    Text formats are read as strings, and column types are decided by ``operators.typing``;
-    with ``strings`` off, Spark's own inference is used.
+    Text formats are read as strings in one pass, and column types are decided by
+    ``operators.typing``; with ``strings`` off, Spark's own inference takes an extra pass.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt in ("csv", "tsv"):
