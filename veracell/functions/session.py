@@ -68,8 +68,8 @@ def with_row_id(df: DataFrame, key_cols: list[str] | None = None, name: str = "r
 
 
 def materialise(df: DataFrame, *keys: str) -> DataFrame:
-    """Write a table that many passes will read, spread evenly over all cores by its keys."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism,
-                int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return cut_lineage(df.repartition(parts, *keys))
+    """Write a table that many passes will read, spread evenly over all cores by its keys.
+
+    Later scans split the written files by ``spark.sql.files.maxPartitionBytes``.
+    """
+    return cut_lineage(df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys))

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veracell.functions.arrow import arrays, matrix
 from veracell.functions.hashing import unit_hash
@@ -578,6 +578,6 @@ def choose(requested: str | list[str] = "auto") -> list[str]:
     return [m for m in DETECTORS if m in names]
 
 
-__all__ = ["Column", "DETECTORS", "Detection", "choose", "components", "contamination_level",
+__all__ = ["DETECTORS", "Detection", "choose", "components", "contamination_level",
            "density_clusters", "forest", "isolation_forest", "local_outlier_factor", "min_max",
            "penalty", "reconstruction_error", "register", "robust_pca", "split_shares"]

@@ -123,7 +123,7 @@ def _(spark, d):
                       r("exact_rate").alias("exact_rate"), r("total_rate").alias("total_rate"))
 
 
-@query("blocking_columns_lineitem")
+@query("blocking_columns_orders")
 def _(spark, d):
     df = table(spark, d, "orders")
     found = D.blocking_columns(df.withColumnRenamed("o_custkey", "patient_id"), [
