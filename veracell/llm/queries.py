@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veracell.llm import (classifier, contamination, licenses, near_duplicates, packing,
+from veracell.llm import (chat_format, classifier, contamination, context_mixing, licenses, near_duplicates, packing,
                           quality_rules, repeats, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,13 @@ def near_duplicate_query(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_context_mixing")
+def mixing_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = context_mixing.fit(docs.where(fold(10) != 0))
+    return context_mixing.score_texts(docs, model, fold(10) == 0)
+
+
 @query("op5_quality_classifier")
 def classifier_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +70,11 @@ def repeat_query(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op7_chat_format")
+def chat_query(spark, sf_dir):
+    return chat_format.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 @query("op8_quality_rules")
 def rule_query(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
