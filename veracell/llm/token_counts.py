@@ -13,6 +13,7 @@ rows too; the strings of special tokens inside a text count one token each, as i
 """
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,14 +90,26 @@ def compile_lexer() -> tuple[np.ndarray, np.ndarray]:
     return to, out
 
 
-def class_table() -> np.ndarray:
-    """The class of every code point."""
+def class_table(split) -> np.ndarray:
+    """The class of every code point. Where two editions of Unicode differ, ``split`` (the
+    library's splitting) shows which one it goes by."""
     import regex
     table = np.full(0x110000, CLASSES.index("other"), np.uint8)
+    newer = table.copy()
+    kinds = {"L": CLASSES.index("letter"), "N": CLASSES.index("number")}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in kinds:
+            table[c] = kinds[kind]
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, name in ((r"\p{L}", "letter"), (r"\p{N}", "number")):
-        found = "".join(regex.findall(pattern + "+", every))
-        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = CLASSES.index(name)
+    for kind, k in kinds.items():
+        found = "".join(regex.findall(rf"\p{{{kind}}}+", every))
+        newer[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = k
+    for c in np.flatnonzero(table != newer).tolist():
+        if not 0xD800 <= c < 0xE000:
+            one = [k for k, x in (("letter", "a"), ("number", "1"))
+                   if len(split.pre_tokenize_str(x + chr(c) + x)) == 1]
+            table[c] = CLASSES.index(one[0] if one else "other")
     table[WHITE] = CLASSES.index("blank")
     table[32], table[39] = CLASSES.index("space"), CLASSES.index("quote")
     for c in "stmdrvle":
@@ -146,7 +159,7 @@ class Counter:
         with open(path) as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"] if t["special"]]
         self.to, self.out = compile_lexer()
-        self.table = class_table()
+        self.table = class_table(self.tokenizer.pre_tokenizer)
         self.arcs: dict[str, int] = {}
 
     def _count(self, pieces: list[str]) -> np.ndarray:
