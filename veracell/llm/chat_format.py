@@ -252,8 +252,8 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
                              F.lit(10)) == 0, F.lit(False))
     out = render(parse(chunks, learn(chunks.where(~held))))
     hit = F.size(F.filter(F.zip_with("path", "truth", lambda a, b: a == b), lambda x: x))
-    count = [F.sum(F.size(F.filter("path", lambda s, r=r: F.floor(s / 2) == r))).cast(
-        "long").alias(f"{name}_lines") for r, name in enumerate(ROLES)]
+    count = [F.sum(F.expr(f"size(filter(path, s -> s div 2 = {r}))")).cast("long").alias(
+        f"{name}_lines") for r, name in enumerate(ROLES)]
     return out.groupBy("conv_id").agg(
         F.first(held).alias("held_out"), F.sum(F.size("lines")).cast("long").alias("n_lines"),
         F.sum("n_turns").alias("n_turns"), *count, F.sum(hit).cast("long").alias("n_right"),
