@@ -48,6 +48,10 @@ def near(rows, percent=75):
 
 
 def repeats(rows, length=400):
+    return [(*r, hashlib.sha256(kept).hexdigest()) for *r, kept in cut(rows, length)]
+
+
+def cut(rows, length=400):
     texts = [(t or "").encode() for _, t in rows]
     seen = Counter(t[p:p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
@@ -58,7 +62,7 @@ def repeats(rows, length=400):
                 gone[p:p + length] = b"\1" * length
         kept = bytes(b for b, g in zip(t, gone) if not g)
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        out.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(t), sum(gone), spans, kept))
     return out
 
 

@@ -275,27 +275,36 @@ def removed_spans(starts, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_CUT = "struct<kept: binary, n_removed: bigint, n_spans: bigint>"
+def _cut(data: bytes, starts: list[dict] | None, length: int) -> tuple[bytes, int, int]:
+    """The bytes that stay, and how many bytes and runs went."""
+    spans = removed_spans([(i["a"], i["z"]) for i in starts or []], length)
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(data[at:a])
+        at = b
+    kept.append(data[at:])
+    return b"".join(kept), sum(b - a for a, b in spans), len(spans)
 
 
-def cut_text(text: Column, starts: Column, length: int = LENGTH) -> Column:
-    """The bytes that stay, and how many bytes and runs went."""
+def cut_bytes(text: Column, starts: Column, length: int = LENGTH) -> Column:
+    """kept (binary), n_removed, n_spans."""
     kind = pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
 
-    @F.arrow_udf(_CUT)
+    @F.arrow_udf("struct<kept: binary, n_removed: bigint, n_spans: bigint>")
+    def cut(t: pa.Array, s: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(("kept", "n_removed", "n_spans"), _cut(
+            x.as_buffer().to_pybytes(), y.as_py(), length)))
+            for x, y in zip(tb.text_array(t), s)], kind)
+
+    return cut(text, starts)
+
+
+def cut_text(text: Column, starts: Column, length: int = LENGTH) -> Column:
+    """The text that stays; a character that a cut splits goes too."""
+    @F.arrow_udf("string")
     def cut(t: pa.Array, s: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(tb.text_array(t), s):
-            data = x.as_buffer().to_pybytes()
-            spans = removed_spans([(i["a"], i["z"]) for i in y.as_py() or []], length)
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            out.append({"kept": b"".join(kept), "n_removed": sum(b - a for a, b in spans),
-                        "n_spans": len(spans)})
-        return pa.array(out, kind)
+        return pa.array([_cut(x.as_buffer().to_pybytes(), y.as_py(), length)[0].decode(
+            "utf-8", "ignore") for x, y in zip(tb.text_array(t), s)], pa.string())
 
     return cut(text, starts)
 
@@ -315,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     cut = texts.join(starts, ["h1", "h2"], "left").select(
         F.struct("h1", "h2").alias("k"), "n", size.alias("n_bytes"),
-        F.when((F.col("n") == 1) & F.col("starts").isNotNull(), cut_text(
+        F.when((F.col("n") == 1) & F.col("starts").isNotNull(), cut_bytes(
             F.col("text"), F.col("starts"), length)).alias("c"),
         F.sha2("text", 256).alias("whole"))
     one, gone = F.col("n") == 1, F.sha2(F.lit(""), 256)
@@ -339,11 +348,12 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     long = F.coalesce(F.octet_length(text) >= length, F.lit(False))
     # Short texts, of which very many may be equal, take no part in the join.
     keyed = docs.where(long).withColumn("__k", text_key(text))
-    copies = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(
+    copies = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("__k.h1").alias("h1"), F.col("__k.h2").alias("h2"), F.lit(True).alias("copied"))
     facts = starts.join(copies, ["h1", "h2"], "full").select(
-        F.struct("h1", "h2").alias("__k"), "starts", "copied")
-    kept = F.when(F.col("copied"), F.lit("")).when(F.col("starts").isNull(), text).otherwise(
-        F.decode(cut_text(text, F.col("starts"), length)["kept"], F.lit("UTF-8")))
+        F.struct("h1", "h2").alias("__k"), F.col("starts").alias("__starts"),
+        F.col("copied").alias("__copied"))
+    kept = F.when(F.col("__copied"), F.lit("")).when(F.col("__starts").isNull(), text).otherwise(
+        cut_text(text, F.col("__starts"), length))
     cut = keyed.join(facts, "__k", "left").withColumn(text_col, kept).select(*docs.columns)
     return cut.unionByName(docs.where(~long))
