@@ -23,6 +23,34 @@ def test_bracketed_quantiles_are_exact(spark):
     np.testing.assert_allclose(got["w"], pdf["w"].quantile(probs), rtol=1e-9)
 
 
+def test_bracketed_quantiles_end_on_stepped_columns(spark):
+    """Flags, three values, a constant, heavy steps, infinities: each round must shrink the rest."""
+    n = 2000
+    i = np.arange(n)
+    pdf = pd.DataFrame({
+        "flag": (i % 2).astype(float), "three": (i % 3).astype(float), "same": 4.0,
+        "step": np.where(i < 1000, 1.0, np.where(i < 1990, 2.0, i)),
+        "wide": np.where(i == 0, -np.inf, np.where(i == 1, np.inf, i % 7))})
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.25, 0.3333, 0.4999, 0.5, 0.75, 1.0]
+    for small in (1, 10, 100):
+        got = quantiles(df, {c: F.col(c) for c in pdf}, probs, small=small)
+        for c in pdf:
+            v = np.sort(pdf[c].to_numpy())
+            for p, x in zip(probs, got[c]):
+                lo, hi = int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1)))
+                w = p * (n - 1) - lo
+                want = v[lo] if v[lo] == v[hi] or w == 0 else (1 - w) * v[lo] + w * v[hi]
+                assert x == want or abs(x - want) < 1e-12 * abs(want)
+
+
+def test_quantiles_of_empty_and_null_columns(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
+    for small in (0, 10):
+        got = quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.5], small=small)
+        assert got == {"a": [None], "b": [1.5]}
+
+
 def test_average_ranks(spark):
     pdf = skewed()
     got = with_average_rank(spark.createDataFrame(pdf[["v"]]), "v").toPandas().sort_values("v")

@@ -67,6 +67,31 @@ def with_row_id(df: DataFrame, key_cols: list[str] | None = None, name: str = "r
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def check_unique(df: DataFrame, key: str) -> None:
+    """Raise if a key is null or repeated: later joins by the key would lose or multiply rows."""
+    rows, keys, worst = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n"), F.count(F.when(F.col(key).isNotNull(), 1)), F.max("n")).first()
+    nulls = rows is not None and not df.where(F.col(key).isNull()).isEmpty()
+    if nulls or (worst or 0) > 1:
+        raise ValueError(f"{key} does not identify rows: {keys} keys for {rows} rows"
+                         + (", some null" if nulls else "")
+                         + "; name another key or none (rows are then numbered)")
+
+
+def ship(spark: SparkSession) -> str:
+    """Give the executors this package, which Python functions on them import.
+
+    Needed where it is neither installed on the executors nor on their PYTHONPATH.
+    """
+    import shutil
+    from pathlib import Path
+    root = Path(__file__).resolve().parents[2]
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "veracell"), "zip",
+                               root, "veracell")
+    spark.sparkContext.addPyFile(made)
+    return made
+
+
 def materialise(df: DataFrame, *keys: str) -> DataFrame:
     """Write a table that many passes will read, spread evenly over all cores by its keys.
 

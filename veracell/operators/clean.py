@@ -64,8 +64,14 @@ def default_action(anomaly_type: Column) -> Column:
 
 
 def recommend(anomalies: DataFrame, values: str = "values") -> DataFrame:
-    """One line per anomaly and flagged column; ``values`` maps a column to its raw text."""
-    each = anomalies.withColumn("column_name", F.explode("flagged_columns")).withColumn(
+    """One line per anomaly and flagged column; ``values`` maps a column to its raw text.
+
+    An anomaly of the whole row, such as a copy, has no flagged column and gives one line for
+    column ``*``.
+    """
+    columns = F.when(F.size("flagged_columns") > 0, F.col("flagged_columns")).otherwise(
+        F.array(F.lit("*")))
+    each = anomalies.withColumn("column_name", F.explode(columns)).withColumn(
         "__a", _action(F.col("anomaly_type")))
     return each.select(
         "row_id", "column_name", "anomaly_type", "severity", "confidence",

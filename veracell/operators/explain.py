@@ -416,7 +416,8 @@ def narrative(anomalies: DataFrame, drivers: DataFrame, total_rows: int,
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"),
         F.count_if(F.col("severity") == "high").alias("high"))
     top = anomalies.groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("c")).agg(
-        F.max_by("anomaly_type", "c").alias("kind"), F.max("c").alias("kind_n"))
+        F.min_by("anomaly_type", F.struct(-F.col("c"), "anomaly_type")).alias("kind"),
+        F.max("c").alias("kind_n"))
     name = words(labels, F.col("column_name"), F.col("column_name")) if labels else \
         F.col("column_name")
     lines = drivers.orderBy(F.desc("contribution_pct"), "column_name").limit(5).agg(F.collect_list(

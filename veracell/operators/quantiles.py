@@ -1,9 +1,11 @@
 """Exact quantiles and exact average ranks at any row count.
 
 Small inputs use Spark's ``percentile``. Its buffer holds every distinct value, so beyond
-``SMALL`` rows the wanted order statistics are bracketed with ``percentile_approx``, the bracket
-is verified by counting, narrowed until it is small, and only then resolved exactly. Every round
-is a scan with map-side aggregation; no value is shuffled.
+``SMALL`` rows each quantile is taken from its two order statistics. An order statistic is kept
+between two open bounds; a round picks two values near it with ``percentile_approx`` and counts
+the rows below and at them. It then is one of the two, or lies between two closer bounds that
+leave both values out, so every round ends or shrinks the rest. Every round is a scan with
+map-side aggregation; no value is shuffled.
 """
 from __future__ import annotations
 
@@ -16,27 +18,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veracell.functions.joins import join_group_facts
 from veracell.functions.session import cut_lineage
 
-SMALL = 4_000_000
+SMALL = 100_000
 SKETCH = 10_000
+MAX_ROUNDS = 100
+#: Columns whose values one aggregation holds or sketches at once.
+TOGETHER = 24
 
 
 @dataclass
-class _Bracket:
+class _Rank:
+    """The order statistic ``rank`` (from 0) of column ``name``, between two open bounds."""
     name: str
-    p: float
-    n: int
-    low: float
-    high: float
-    below: int
-    inside: int
-
-    @property
-    def position(self) -> float:
-        return self.p * (self.n - 1)
-
-    @property
-    def settled(self) -> bool:
-        return self.low == self.high
+    rank: int
+    below: int  # rows at or under the lower bound
+    inside: int  # rows between the bounds
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def open_rows(self) -> Column:
+        v = F.col(self.name)
+        ok = v.isNotNull()
+        if self.low is not None:
+            ok &= v > F.lit(self.low)
+        if self.high is not None:
+            ok &= v < F.lit(self.high)
+        return F.when(ok, v)
 
 
 def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
@@ -46,67 +53,98 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     The answer is ``len(exprs) x len(probs)`` numbers, so it may live on the driver.
     """
     names = list(exprs)
-    data = df.select(*[exprs[c].alias(f"q{i}") for i, c in enumerate(names)])
-    if (df.count() if rows is None else rows) <= small:
-        row = data.agg(*[F.percentile(f"q{i}", F.array(*map(F.lit, probs))).alias(f"q{i}")
-                         for i in range(len(names))]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs)
-                for i, c in enumerate(names)}
-    first = data.agg(*[f(f"q{i}").alias(f"{k}{i}") for i in range(len(names))
-                       for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    found = [_Bracket(f"q{i}", p, first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"], 0,
-                      first[f"n{i}"])
-             for i in range(len(names)) if first[f"n{i}"] for p in probs]
-    slack = 2.0 / SKETCH
-    while True:
-        todo = [b for b in found if b.inside > small and not b.settled]
+    rows = df.count() if rows is None else rows
+    out: dict[str, list[float | None]] = {}
+    for i in range(0, len(names), TOGETHER):
+        part = {c: exprs[c] for c in names[i:i + TOGETHER]}
+        out |= (_direct if rows <= small else _bracketed)(df, part, probs, small)
+    return out
+
+
+def _named(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
+    return df.select(*[e.cast("double").alias(f"q{i}") for i, e in enumerate(exprs.values())])
+
+
+def _direct(df, exprs, probs, small):
+    data = _named(df, exprs)
+    row = data.agg(*[F.percentile(f"q{i}", F.array(*map(F.lit, probs))).alias(f"q{i}")
+                     for i in range(len(exprs))]).first()
+    return {c: list(row[i]) if row[i] is not None else [None] * len(probs)
+            for i, c in enumerate(exprs)}
+
+
+def _bracketed(df, exprs, probs, small):
+    data = _named(df, exprs)
+    counts = data.agg(*[F.count(c).alias(c) for c in data.columns]).first()
+    ranks: dict[tuple[str, int], _Rank] = {}
+    for c in data.columns:
+        for p in probs if counts[c] else []:
+            at = p * (counts[c] - 1)
+            for k in (math.floor(at), math.ceil(at)):
+                ranks.setdefault((c, k), _Rank(c, k, 0, counts[c]))
+    for _ in range(MAX_ROUNDS):
+        todo = [r for r in ranks.values() if r.value is None and r.inside > small]
         if not todo:
             break
-        slack = _narrow(data, todo, slack)
-    return _resolve(data, found, names, probs)
-
-
-def _inside(b: _Bracket) -> Column:
-    return F.when(F.col(b.name).between(b.low, b.high), F.col(b.name))
-
-
-def _narrow(data: DataFrame, todo: list[_Bracket], slack: float) -> float:
-    row = data.agg(*[
-        F.percentile_approx(_inside(b), F.array(*[
-            F.lit(min(max((b.position - b.below) / max(b.inside - 1, 1) + d, 0.0), 1.0))
-            for d in (-slack, slack)]), SKETCH).alias(f"b{i}")
-        for i, b in enumerate(todo)]).first()
-    bounds = [row[i] for i in range(len(todo))]
-    counts = data.agg(*[
-        F.count_if(cond).alias(f"{k}{i}")
-        for i, (b, (lo, hi)) in enumerate(zip(todo, bounds))
-        for k, cond in (("below", F.col(b.name) < lo), ("upto", F.col(b.name) <= hi))]).first()
-    wider = slack
-    for i, (b, (lo, hi)) in enumerate(zip(todo, bounds)):
-        below, upto = counts[f"below{i}"], counts[f"upto{i}"]
-        holds = below <= math.floor(b.position) and upto > math.ceil(b.position)
-        if holds and upto - below < b.inside:
-            b.low, b.high, b.below, b.inside = lo, hi, below, upto - below
-        else:
-            wider = slack * 4
-    return wider
-
-
-def _resolve(data, found, names, probs):
-    aggs = []
-    for i, b in enumerate(found):
-        q = 0.0 if b.inside <= 1 else (b.position - b.below) / (b.inside - 1)
-        value = F.lit(float(b.low)) if b.settled else F.percentile(
-            _inside(b), F.lit(min(max(q, 0.0), 1.0)))
-        aggs.append(value.alias(f"r{i}"))
-    row = data.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
-    out = {c: [None] * len(probs) for c in names}
-    for i, b in enumerate(found):
-        out[names[int(b.name[1:])]][probs.index(b.p)] = row[f"r{i}"]
+        for i in range(0, len(todo), TOGETHER):
+            _narrow(data, todo[i:i + TOGETHER])
+    else:
+        raise RuntimeError(f"quantiles are not settled after {MAX_ROUNDS} rounds")
+    left = [r for r in ranks.values() if r.value is None]
+    for i in range(0, len(left), TOGETHER):
+        part = left[i:i + TOGETHER]
+        # The middle of the rank's share picks exactly one value, without interpolation.
+        got = data.select(*[r.open_rows().alias(f"o{j}") for j, r in enumerate(part)]).agg(*[
+            F.expr(f"percentile_disc({(r.rank - r.below + 0.5) / r.inside!r}D) "
+                   f"within group (order by o{j})").alias(f"v{j}")
+            for j, r in enumerate(part)]).first()
+        for j, r in enumerate(part):
+            r.value = got[j]
+    out = {}
+    for c, name in zip(data.columns, exprs):
+        out[name] = [None] * len(probs)
+        for j, p in enumerate(probs if counts[c] else []):
+            at = p * (counts[c] - 1)
+            lo, hi = math.floor(at), math.ceil(at)
+            a, b = ranks[c, lo].value, ranks[c, hi].value
+            out[name][j] = a if a == b or lo == hi else (hi - at) * a + (at - lo) * b
     return out
 
 
-def value_ranks(df: DataFrame, value: str, buckets: int = 64, weight: Column | None = None,
+def _narrow(data: DataFrame, todo: list[_Rank]) -> None:
+    slack = 2.0 / SKETCH
+    at = [(r.rank - r.below) / max(r.inside - 1, 1) for r in todo]
+    picked = data.agg(*[F.percentile_approx(r.open_rows(), F.array(*[
+        F.lit(min(max(q + d, 0.0), 1.0)) for d in (-slack, slack)]), SKETCH).alias(f"p{i}")
+        for i, (r, q) in enumerate(zip(todo, at))]).first()
+    n = data.agg(*[F.count_if(cond).alias(f"{k}{i}") for i, r in enumerate(todo)
+                   for k, cond in zip("abcd", (
+                       F.col(r.name) < picked[i][0], F.col(r.name) <= picked[i][0],
+                       F.col(r.name) < picked[i][1], F.col(r.name) <= picked[i][1]))]).first()
+    for i, r in enumerate(todo):
+        (lo, hi), (a, b, c, d) = picked[i], (n[f"{k}{i}"] for k in "abcd")
+        if a <= r.rank < b:
+            r.value = lo
+        elif c <= r.rank < d:
+            r.value = hi
+        elif r.rank < a:
+            r.high, r.inside = lo, a - r.below
+        elif r.rank >= d:
+            r.low, r.inside, r.below = hi, r.below + r.inside - d, d
+        else:
+            r.low, r.high, r.inside, r.below = lo, hi, c - b, b
+
+
+#: Distinct values that one ordered range holds, about.
+RANGE_VALUES = 500_000
+
+
+def _ranges(counts: DataFrame, buckets: int | None) -> int:
+    """How many ranges to order apart: more where there are more distinct values."""
+    return buckets or max(64, -(-counts.count() // RANGE_VALUES))
+
+
+def value_ranks(df: DataFrame, value: str, buckets: int | None = None, weight: Column | None = None,
                 extra: Column | None = None) -> DataFrame:
     """(value, n, below, avg_rank) for every distinct value of a double column.
 
@@ -118,6 +156,7 @@ def value_ranks(df: DataFrame, value: str, buckets: int = 64, weight: Column | N
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(
         F.sum(F.lit(1) if weight is None else weight).alias("n"),
         F.sum(F.lit(0) if extra is None else extra).alias("extra"))
+    buckets = _ranges(counts, buckets)
     steps = [i / buckets for i in range(1, buckets)]
     cuts = counts.agg(F.percentile_approx(value, F.array(*map(F.lit, steps)), 1000)).first()[0]
     splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
@@ -149,13 +188,14 @@ def with_average_rank(df: DataFrame, value: str, out: str = "avg_rank") -> DataF
     return ranked.unionByName(gaps)
 
 
-def group_ranks(long: DataFrame, buckets: int = 64) -> DataFrame:
+def group_ranks(long: DataFrame, buckets: int | None = None) -> DataFrame:
     """(g, v, n, avg_rank) within each group of a (g int, v double) table.
 
     All groups go through one counting shuffle; ranges are cut at literal bounds per group.
     """
     counts = cut_lineage(long.where(F.col("v").isNotNull()).groupBy("g", "v").agg(
         F.count(F.lit(1)).alias("n")))
+    buckets = _ranges(counts, buckets)
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = {r["g"]: sorted(set(r["q"])) for r in counts.groupBy("g").agg(
         F.percentile_approx("v", steps, 1000).alias("q")).collect()}

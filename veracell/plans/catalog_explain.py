@@ -121,10 +121,10 @@ RANGES = {"p_size": Range("p_size", 4, 30, "cm")}
 
 
 def anomalies(spark, d):
-    """Flagged parts with the inputs of the type cascade."""
+    """All parts with the inputs of the type cascade."""
     df = table(spark, d, "part")
     k = F.col("p_partkey")
-    rows = df.where(k % 2 == 0).select(
+    rows = df.select(
         k.alias("row_id"), (k % 100 / 100.0).alias("score"), (k % 3 / 3.0).alias("agreement"),
         (k % 5 == 0).alias("noise"),
         F.when(k % 4 == 0, F.array(F.lit("p_size"), F.lit("p_retailprice"))).otherwise(
@@ -138,7 +138,7 @@ def anomalies(spark, d):
 
 ANOM = """a AS (SELECT p_partkey AS row_id, p_brand, p_size, p_retailprice, k % 100 / 100.0::DOUBLE AS score,
  k % 3 / 3.0::DOUBLE AS agreement, k % 5 = 0 AS noise, k % 4 = 0 AS two, k % 7 = 0 AS top FROM (SELECT *,
- p_partkey AS k FROM part) WHERE k % 2 = 0), b AS (SELECT *, CASE WHEN two AND (p_size < 2 OR p_size > 45)
+ p_partkey AS k FROM part)), b AS (SELECT *, CASE WHEN two AND (p_size < 2 OR p_size > 45)
  THEN 'impossible_biological_value' WHEN top THEN 'extreme_numeric_outlier' WHEN noise AND score > 0.8 THEN
  'rare_and_implausible' WHEN noise THEN 'latent_cluster_isolated' WHEN agreement < 0.5 THEN
  'contextual_outlier' WHEN score > 0.7 THEN 'extreme_numeric_outlier' ELSE 'distributional_contamination' END

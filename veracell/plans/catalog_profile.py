@@ -31,6 +31,13 @@ def _(spark, d):
     return _customer(sources.round_trip(table(spark, d, "customer"), "tsv"))
 
 
+@query("csv_line_breaks_documents", """SELECT doc_id::VARCHAR AS doc_id, text, lang, source
+ FROM documents""")
+def _(spark, d):
+    df = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return sources.round_trip(df, "csv")
+
+
 @query("json_scan_round_trip", CUSTOMER_SQL)
 def _(spark, d):
     return _customer(sources.round_trip(table(spark, d, "customer"), "json"))
@@ -48,9 +55,9 @@ def _(spark, d):
  'extreme_numeric_outlier' AS anomaly_type, 'high' AS severity,
  printf('%.3f', CASE WHEN o_orderstatus = 'F' THEN 0.9 ELSE 0.5 END) AS confidence,
  'o_totalprice; ' || o_orderpriority AS flagged_columns, o_orderstatus AS rationale
- FROM orders WHERE o_totalprice > 400000""")
+ FROM orders""")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 400000")
+    o = table(spark, d, "orders")
     return sources.anomaly_log(o.select(
         F.col("o_orderkey").alias("row_id"),
         F.lit("extreme_numeric_outlier").alias("anomaly_type"), F.lit("high").alias("severity"),

@@ -7,9 +7,12 @@ from veracell.functions.session import scratch_path
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, strings: bool = True,
-               json_lines: bool = False) -> DataFrame:
+               json_lines: bool = False, multi_line: bool = True) -> DataFrame:
     """CSV, TSV, JSON or Parquet by extension; refuses empty and one-column tables.
 
+    Line breaks inside quotes belong to their cell. Such a file is read by one task; for large
+    files without them, ``multi_line=False`` lets Spark split each file.
+
     Text formats are read as strings in one pass, and column types are decided by
     ``operators.typing``; with ``strings`` off, Spark's own inference takes an extra pass.
     """
@@ -17,7 +20,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, strings:
     if fmt in ("csv", "tsv"):
         df = (spark.read.option("header", True).option("sep", "\t" if fmt == "tsv" else ",")
               .option("inferSchema", not strings).option("quote", '"').option("escape", '"')
-              .option("multiLine", False).csv(path))
+              .option("multiLine", multi_line).csv(path))
     elif fmt == "json":
         reader = spark.read.option("multiLine", not json_lines)
         df = reader.option("primitivesAsString", strings).json(path)
@@ -38,8 +41,9 @@ def check_input(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str) -> str:
     if fmt in ("csv", "tsv"):
-        df.write.mode("overwrite").option("header", True).option("escape", '"') \
-            .option("sep", "\t" if fmt == "tsv" else ",").csv(path)
+        (df.write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .option("sep", "\t" if fmt == "tsv" else ",").csv(path))
     elif fmt == "json":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
@@ -77,6 +81,16 @@ def method_log(methods: DataFrame) -> DataFrame:
     return methods.select("method", *four, "anomaly_count", "duration_ms", "selected")
 
 
+def write_logs(path: str, anomalies: DataFrame, methods: DataFrame,
+               ledger: DataFrame | None = None) -> dict[str, str]:
+    """The anomaly log, the method table and the audit log as CSV folders under ``path``."""
+    logs = {"anomaly_log": anomaly_log(anomalies), "method_benchmarks": method_log(methods)}
+    if ledger is not None:
+        logs["audit_log"] = audit_log(ledger)
+    return {name: write_table(df, f"{path.rstrip('/')}/{name}", "csv")
+            for name, df in logs.items()}
+
+
 def write_results(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
     """Result tables as parquet, partitioned by run."""
     for name, df in tables.items():
