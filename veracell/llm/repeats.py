@@ -234,9 +234,9 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGT
     long = docs.select(F.col(text_col).cast("string").alias("text")).where(
         F.octet_length("text") >= length).select(text_key(F.col("text")).alias("k"), "text").select(
         "k.h1", "k.h2", "text")
-    rows = cut_lineage(long.mapInArrow(
-        _anchor_rows(length, gram),
-        "key long, h1 long, h2 long, place int, first int, last int"))
+    # Found anew for counting and for fetching: cheaper than holding a line for every anchor.
+    rows = long.select("h1", "h2", "text").mapInArrow(
+        _anchor_rows(length, gram), "key long, h1 long, h2 long, place int, first int, last int")
     # Copies of a text give the same occurrence, which counts once.
     mark = F.xxhash64("h1", "h2", "place")
     twice = rows.groupBy("key").agg(F.min(mark).alias("x"), F.max(mark).alias("y"),
