@@ -31,6 +31,38 @@ def fold(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
+def _sets(table_: str, key: str) -> str:
+    """SQL of (key, s): the distinct shingles of a table's texts."""
+    low = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+           "'abcdefghijklmnopqrstuvwxyz')")
+    return f"""SELECT DISTINCT {key}, s FROM (SELECT {key}, unnest(CASE WHEN len(w) < 5
+ THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3),
+ lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM (SELECT {key},
+ regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table_}) WHERE len(w) > 0)"""
+
+
+NEAR_SQL = f"""WITH RECURSIVE ds AS MATERIALIZED ({_sets("documents", "doc_id")}),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM ds GROUP BY 1),
+ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM ds a JOIN ds b ON a.s = b.s
+ AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS MATERIALIZED (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON
+ ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+ sides AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ reach AS (SELECT x, y FROM sides UNION SELECT reach.x, sides.y FROM reach JOIN sides ON
+ reach.y = sides.x),
+ least AS (SELECT x, min(y) AS m FROM reach GROUP BY 1)
+ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id))
+ AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON x = d.doc_id"""
+
+CONTAINED_SQL = f"""WITH ds AS ({_sets("documents", "doc_id")}),
+ bs AS ({_sets("benchmark", "item_id")}),
+ n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM bs GROUP BY 1)
+ SELECT item_id, doc_id, n_item, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / n_item AS
+ containment FROM bs JOIN ds USING (s) JOIN n USING (item_id) GROUP BY 1, 2, 3
+ HAVING 100 * count(*) >= 75 * n_item"""
+
+
 @query("op1_packing")
 def packing_query(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"),
@@ -44,7 +76,7 @@ def license_query(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
-@query("op3_near_duplicates")
+@query("op3_near_duplicates", NEAR_SQL)
 def near_duplicate_query(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -82,7 +114,7 @@ def rule_query(spark, sf_dir):
         "base_failed", "kept", "reasons")
 
 
-@query("op9_contamination")
+@query("op9_contamination", CONTAINED_SQL)
 def contamination_query(spark, sf_dir):
     return contamination.contained_items(table(spark, sf_dir, "documents"),
                                          table(spark, sf_dir, "benchmark"))
