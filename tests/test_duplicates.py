@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veracell.operators import duplicates as D
 
@@ -36,6 +37,38 @@ def test_near_duplicates_match_brute_force(spark, threshold, block):
     assert (got["similarity"] >= threshold).all()
 
 
+@pytest.mark.parametrize("width,keys", [(8, 5), (40, 512), (27, 64)])
+def test_near_duplicates_of_wide_tables(spark, width, keys, monkeypatch):
+    """More choices of fields than keys a row may have: leaders are compared, not enumerated."""
+    monkeypatch.setattr(D, "KEYS", keys)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 50, (12, width)).astype(object)
+    rows = []
+    for i in range(150):
+        r = base[i % 12].copy()
+        hit = rng.choice(width, rng.integers(0, width // 3 + 1), replace=False)
+        r[hit] = [f"x{v}" for v in rng.integers(0, 3, len(hit))]
+        r[rng.random(width) < 0.03] = None
+        rows.append(r)
+    cols = [f"c{i}" for i in range(width)]
+    pdf = pd.DataFrame(rows, columns=cols).map(lambda v: None if v is None else str(v))
+    pdf.insert(0, "k", np.arange(150))
+    got = D.near_duplicates(spark.createDataFrame(pdf), "k", cols, [], 0.8).toPandas()
+    want = greedy(pdf, cols, [], 0.8)
+    assert dict(zip(got["row_id"], got["leader_id"])) == want and want
+    assert (got["similarity"] >= 0.8).all()
+
+
+def test_report_of_a_wide_table(spark):
+    df = spark.range(60).select("id", *[
+        F.when(F.col("id") % 20 == 0, F.lit("a")).otherwise(
+            F.concat(F.lit(f"v{i}"), F.col("id"))).alias(f"f{i}") for i in range(27)],
+        (F.col("id") % 7).alias("g"))
+    cols = [c for c in df.columns if c != "id"]
+    rep = D.duplicate_report(df, "id", cols).first()
+    assert rep["exact_duplicates"] == 0 and rep["near_duplicates"] == 2
+
+
 def test_exact_count_grows_by_copies(spark):
     pdf = pd.DataFrame({"k": range(30), "a": [f"x{i % 25}" for i in range(30)], "b": 1.0})
     df = spark.createDataFrame(pdf)
@@ -61,7 +94,6 @@ def test_report_and_blocking(spark):
 
 
 def test_hot_key_join_is_whole(spark):
-    from pyspark.sql import functions as F
     from veracell.functions.joins import join_group_facts, join_lines
     rows = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
     groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))

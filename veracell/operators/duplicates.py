@@ -1,10 +1,12 @@
 """Exact and near duplicates without pair lists.
 
 Exact copies are counted by fingerprint. Rows whose fields agree in all but ``t`` places share
-at least one of ``t + 1`` field groups in full (pigeonhole), which leaves few candidates; those
-are then keyed by every choice of ``m - t`` fields, so that two rows share such a key exactly
-when they are similar enough. Leaders and members follow from minima over these keys: a set of
-s similar rows costs s lines, never s * s pairs.
+at least one of ``t + 1`` field groups in full (pigeonhole), which leaves few candidates. Those are
+keyed by every choice of ``g - t`` out of ``g`` field groups, with as many groups as ``KEYS``
+allows. If every field is a group, two rows share a key exactly when they are similar enough, and
+leaders and members follow from minima over the keys. In wider tables sharing a key is only
+necessary: leaders are then taken round by round, each compared with the rows of its keys. Either
+way a set of s similar rows costs s lines, never s * s pairs.
 """
 from __future__ import annotations
 
@@ -22,7 +24,8 @@ from veracell.operators.typing import distinct_counts
 # Name parts of columns fit for blocking.
 BLOCK_WORDS = ["patient", "subject", "subj", "ptid", "record", "id", "identifier", "mrn", "ssn",
                "enrollment"]
-MAX_KEYS_PER_ROW = 5000
+#: Keys that a row may have.
+KEYS = 128
 
 
 def blocking_columns(df: DataFrame, columns: list[str], most: int = 2) -> list[str]:
@@ -122,25 +125,66 @@ def near_duplicates(df: DataFrame, key: str, compare: list[str], block: list[str
         alive = join_group_facts(keyed, sizes, "k", rows.count() * (t + 1)) \
             .select("row_id").distinct()
         rows = rows.join(alive, "row_id", "left_semi")
-    n_keys = math.comb(len(compare), len(compare) - t)
-    if n_keys > MAX_KEYS_PER_ROW:
-        raise ValueError(f"{len(compare)} fields with {t} mismatches need {n_keys} keys a row; "
-                         "raise the threshold or compare fewer columns")
-    subsets = list(itertools.combinations(compare, len(compare) - t))
+    parts = _key_groups(df, compare, t)
+    subsets = [tuple(c for g in s for c in g)
+               for s in itertools.combinations(parts, len(parts) - t)]
     keyed = rows.select("row_id", F.explode(_keys(b, f, subsets)).alias("k"))
     links = cut_lineage(_shared(keyed))
-    state = _leaders(links)
-    pairs = _assign(links, state)
     fields = F.array(*f.values())
     mine = rows.select("row_id", fields.alias("mine"))
     theirs = rows.select(F.col("row_id").alias("leader_id"), fields.alias("theirs"))
     same = F.aggregate(F.zip_with("mine", "theirs", lambda x, y: x.eqNullSafe(y).cast("int")),
                        F.lit(0), lambda acc, v: acc + v)
+    if len(parts) == len(compare):
+        pairs = _assign(links, _leaders(links))
+    else:
+        def alike(pairs: DataFrame) -> DataFrame:
+            return join_lines(pairs.distinct().join(mine, "row_id"), theirs, "leader_id",
+                              rows.count()).where(same >= len(compare) - t).select(
+                "row_id", "leader_id")
+        pairs = _compared(links, alike)
     with_mine = pairs.join(mine, "row_id")
     return (join_lines(with_mine, theirs, "leader_id", rows.count())
             .select("leader_id", "row_id", (same / float(len(compare))).alias("similarity")))
 
 
+def _key_groups(df: DataFrame, compare: list[str], t: int) -> list[tuple]:
+    """The fields in as many groups as KEYS allows; each field its own where it can be."""
+    if math.comb(len(compare), t) <= KEYS:
+        return [(c,) for c in compare]
+    g = max(n for n in range(t + 1, len(compare)) if math.comb(n, t) <= KEYS or n == t + 1)
+    return _pigeonhole_groups(df, compare, g)
+
+
+def _compared(links: DataFrame, alike) -> DataFrame:
+    """(row_id, leader_id) by rounds. A row that is the smallest open one under all its keys has no
+    open row before it that could be similar, so it leads; the open rows of its keys are compared
+    with it, and those similar follow. Each round decides at least the smallest open row."""
+    total = links.count()
+    opened = links
+    leaders = None
+    while not opened.isEmpty():
+        low = opened.groupBy("k").agg(F.count(F.lit(1)).alias("n"),
+                                      F.min("row_id").alias("leader_id"))
+        seen = cut_lineage(join_group_facts(opened, low, "k", total))
+        new = seen.groupBy("row_id").agg(F.bool_and(
+            F.col("leader_id") == F.col("row_id")).alias("leads")).where("leads").select("row_id")
+        new = cut_lineage(new)
+        leads = new.withColumnRenamed("row_id", "leader_id")
+        follow = alike(seen.where("row_id <> leader_id").join(leads, "leader_id").select(
+            "row_id", "leader_id")).select("row_id")
+        leaders = new if leaders is None else leaders.unionByName(new)
+        done = new.unionByName(follow).distinct()
+        opened = cut_lineage(opened.join(done, "row_id", "left_anti"))
+    if leaders is None:
+        return links.select("row_id", F.col("row_id").alias("leader_id")).limit(0)
+    # Every follower with all leaders before it that share a key; the smallest similar one counts.
+    of_key = links.join(leaders, "row_id").select("k", F.col("row_id").alias("leader_id"))
+    pairs = join_lines(links.join(leaders, "row_id", "left_anti"), of_key, "k", total).where(
+        "leader_id < row_id").select("row_id", "leader_id")
+    return alike(pairs).groupBy("row_id").agg(F.min("leader_id").alias("leader_id"))
+
+
 def _leaders(links: DataFrame) -> DataFrame:
     """Decide leader (L) or follower (N) for every row, in rounds."""
     state = cut_lineage(links.select("row_id").distinct().withColumn("s", F.lit("U")))
