@@ -5,7 +5,12 @@ The layout (names, medians, levels, vocabulary) is metadata; the matrix itself i
 """
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +19,7 @@ from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normal
                                 RegexTokenizer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veracell.functions import values as V
 from veracell.functions.arrow import arrays, matrix
@@ -32,55 +37,72 @@ MISSING = "__MISSING__"
 
 # ---- text expressions --------------------------------------------------------------------------
 
-def _share(text: Column, unwanted: str) -> Column:
-    """Characters left after removing a class, over all characters."""
-    return F.length(F.regexp_replace(text, unwanted, "")) / F.greatest(
-        F.length(text), F.lit(1)).cast("double")
-
-
-def word_count(text: Column) -> Column:
-    t = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    return F.when(F.length(t) == 0, 0.0).otherwise(
-        F.size(F.split(t, r"[\s\p{Z}]+")).cast("double"))
+#: Character classes of the text counts.
+_DIGIT, _NUMBER, _LETTER, _UPPER, _SPACE = 1, 2, 4, 8, 16
+_SHAPE = ["len", "words", "digits", "letters", "uppers", "spaces", "specials", "entropy"]
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class bits of every code point."""
+    table = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        table[c] = ((_DIGIT if kind == "Nd" else 0) | (_NUMBER if kind[0] == "N" else 0)
+                    | (_LETTER if kind[0] == "L" else 0) | (_UPPER if kind == "Lu" else 0)
+                    | (_SPACE if kind[0] == "Z" else 0))
+    table[[9, 10, 11, 12, 13]] |= _SPACE
+    return table
+
+
+def _entropy(points: np.ndarray) -> float:
+    if not len(points):
+        return 0.0
+    n = np.unique(points, return_counts=True)[1].astype(float)
+    return float(np.log2(len(points)) - (n * np.log2(n)).sum() / len(points))
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _SHAPE]))
+def _shape(column: pa.Array) -> pa.Array:
+    """Counts over the code points of whole texts, all texts of a batch at once."""
+    texts = [t or "" for t in column.to_pylist()]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(size)
+    begin = ends - size
+    kinds = _classes()[points]
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[ends] - total[begin]
+
+    inside = (kinds & _SPACE) == 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[begin[size > 0]] = inside[begin[size > 0]]
+    out = {"len": size, "words": count(first), "digits": count(kinds & _DIGIT > 0),
+           "letters": count(kinds & _LETTER > 0), "uppers": count(kinds & _UPPER > 0),
+           "spaces": count(~inside), "specials": count(kinds & (_LETTER | _NUMBER | _SPACE) == 0),
+           "entropy": [_entropy(points[a:z]) for a, z in zip(begin, ends)]}
+    return pa.StructArray.from_arrays(
+        [pa.array(np.asarray(out[c], float)) for c in _SHAPE], names=_SHAPE)
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits, row by row inside the executor.
-
-    Counting is over the sorted characters' runs, so the work is n log n in the text length.
-    """
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
-
-    def plogp(n):
-        return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
-
-    def step(acc, c):
-        same = acc["last"] == c
-        return F.struct(
-            c.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"),
-            F.when(same, acc["sum"]).otherwise(acc["sum"] + plogp(acc["run"])).alias("sum"))
-
-    def finish(acc):
-        return acc["sum"] + plogp(acc["run"])
-
-    n = F.length(text)
-    total = F.aggregate(chars, start, step, finish)
-    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(0.0)
+    """Shannon entropy of the characters in bits."""
+    return _shape(text)["entropy"]
 
 
 def text_shape(text: Column) -> dict[str, Column]:
     """Row-local text features by name."""
     t = F.coalesce(text, F.lit(""))
+    got = _shape(t)  # the same call in all columns, so it runs once a row
+    size = F.greatest(got["len"], F.lit(1.0))
     return {
-        "len": F.length(t).cast("double"),
-        "words": word_count(t),
-        "digit_ratio": _share(t, r"[^\p{Nd}]"),
-        "alpha_ratio": _share(t, r"[^\p{L}]"),
-        "upper_ratio": _share(t, r"[^\p{Lu}]"),
-        "space_ratio": _share(t, r"[^\s\p{Z}]"),
-        "special_ratio": _share(t, r"[\p{L}\p{N}\s\p{Z}]"),
-        "entropy": char_entropy(t),
+        "len": got["len"], "words": got["words"],
+        "digit_ratio": got["digits"] / size, "alpha_ratio": got["letters"] / size,
+        "upper_ratio": got["uppers"] / size, "space_ratio": got["spaces"] / size,
+        "special_ratio": got["specials"] / size, "entropy": got["entropy"],
         "is_empty": (F.length(t) == 0).cast("double"),
         "looks_numeric": V.strip(t).rlike(r"^[\d.\-+eE,]+$").cast("double"),
         "has_date_pattern": t.rlike(r"\d{2,4}[-/]\d{1,2}[-/]\d{1,2}").cast("double"),
@@ -104,6 +126,7 @@ def value_frequency(df: DataFrame, column: str) -> DataFrame:
 # ---- TF-IDF ------------------------------------------------------------------------------------
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
+_WORD = re.compile(r"\w+")
 
 
 @dataclass
@@ -112,15 +135,24 @@ class Vocabulary:
     idf: list[float]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms with their occurrences and texts, added up within a batch."""
+    for b in batches:
+        tf, docs = Counter(), Counter()
+        for text in b.column(0).to_pylist():
+            found = _WORD.findall(text.lower())
+            tf.update(found)
+            docs.update(set(found))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64()),
+             pa.array([docs[t] for t in tf], pa.int64())], names=["term", "tf", "docs"])
+
+
 def vocabulary(df: DataFrame, column: str, most: int = 20, least_docs: int = 2) -> Vocabulary:
     """The commonest terms but stop words with their smooth idf: one counting shuffle, a top-k."""
     text = F.coalesce(V.as_text(df, column), F.lit(""))
-    docs = df.select(F.split(F.lower(text), WORD_BREAK).alias("t"))
-    pairs = docs.select(
-        F.explode("t").alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")).unionByName(
-        docs.select(F.explode(F.array_distinct("t")).alias("term"), F.lit(0).alias("tf"),
-                    F.lit(1).alias("df")))
-    top = (pairs.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("docs"))
+    top = (df.select(text.alias("t")).mapInArrow(_terms, "term string, tf long, docs long")
+           .groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs"))
            .where((F.col("docs") >= least_docs) & ~F.col("term").isin(["", *STOP_WORDS]))
            .orderBy(F.desc("tf"), "term").limit(most).collect())
     n = df.count()
