@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veracell import sources
+from veracell.functions import session
 from veracell.functions.session import check_unique
 from veracell.operators import clean as C, detectors as DT
 from veracell.plans.analysis import Config, analyze
@@ -76,6 +77,14 @@ def test_csv_logs_are_written(spark, tmp_path):
     assert sources.read_table(spark, paths["method_benchmarks"], "csv").first().composite == "0.5000"
 
 
+def test_scratch_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_handed_out", [])
+    df = session.cut_lineage(spark.range(5))
+    path = Path(session._handed_out[0].removeprefix("file:"))
+    assert df.count() == 5 and path.exists()
+    assert session.drop_scratch(spark) == 1 and not path.exists()
+
+
 def test_package_reaches_executors_from_elsewhere(tmp_path):
     code = f"""
 import sys

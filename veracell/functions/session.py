@@ -39,8 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders handed out by ``scratch_path`` and not dropped yet.
+_handed_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every written step of this session; returns how many folders went.
+
+    Call it when the results that were built on them are stored: DataFrames that still read a
+    step fail afterwards.
+    """
+    jvm, gone = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _handed_out:
+        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
