@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veracell.functions.joins import join_group_facts
 from veracell.functions.session import cut_lineage
 
-SMALL = 100_000
+SMALL = 1_000_000
+#: Values that ``percentile`` may hold at once, over all columns of one aggregation.
+HELD_VALUES = 6_000_000
 SKETCH = 10_000
 MAX_ROUNDS = 100
 #: Columns whose values one aggregation holds or sketches at once.
@@ -55,8 +57,9 @@ def quantiles(df: DataFrame, exprs: dict[str, Column], probs: list[float],
     names = list(exprs)
     rows = df.count() if rows is None else rows
     out: dict[str, list[float | None]] = {}
-    for i in range(0, len(names), TOGETHER):
-        part = {c: exprs[c] for c in names[i:i + TOGETHER]}
+    step = TOGETHER if rows > small else max(1, min(TOGETHER, HELD_VALUES // max(rows, 1)))
+    for i in range(0, len(names), step):
+        part = {c: exprs[c] for c in names[i:i + step]}
         out |= (_direct if rows <= small else _bracketed)(df, part, probs, small)
     return out
 
