@@ -130,7 +130,7 @@ def test_word_encoder_past_its_memory(rows, monkeypatch):
     enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
     for _ in range(2):
         for d, t in rows:
-            ids, n = enc.encode([(t or "").encode()])
+            ids, n = enc.encode(*textbatch.flat(pa.array([t or ""], pa.large_string())))
             assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids + [1]
 
 

@@ -11,6 +11,7 @@ table gives no pieces; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,53 +22,109 @@ from veracell.functions.session import scratch_path
 from veracell.llm import textbatch as tb
 
 #: Words a worker remembers; others are tokenised again when they come back.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
+#: Marks that the splitting pattern parts from the letters before them.
+CLOSING = [".", ",", ";", ":", "!", "?"]
 _workers: dict = {}
 
 
 class WordEncoder:
-    """Token ids of texts for tokenizers that drop white space, so that words are independent."""
+    """Token ids of texts for tokenizers that drop white space, so that words are independent.
+
+    Words are looked up by their 64-bit hash, all words of a slab at once. A new word that is
+    letters and one closing mark is put together from both, as the splitting pattern parts them
+    anyway; the library encodes the rest.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {b"": 0}  # b"" stands for the end of a text
-        self.ids = np.array([end_id], np.uint32)
-        self.start = np.array([0], np.int64)
-        self.size = np.array([1], np.int64)
-
-    def _extend(self, new: list[bytes]):
+        # Tables with room to grow: where the ids of a word begin, and how many it has.
+        self.ids, self.start, self.size = (np.zeros(1 << 16, k) for k in (
+            np.uint32, np.int64, np.int64))
+        self.n_words = self.n_ids = 0
+        self._append([[end_id]], keep=True)  # word 0 is the end of a text
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.marks = {ord(m): e.ids for m, e in zip(CLOSING, self.tokenizer.encode_batch_fast(
+            CLOSING, add_special_tokens=False))}
+
+    def _find(self, hashed: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashed), -1)
+        i = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
+        return np.where(self.keys[i] == hashed, self.at[i], -1)
+
+    def _encode(self, words: list[bytes], bases: np.ndarray) -> list[list[int]]:
+        """Ids of new words; ``bases`` has the number of each word without its last byte, or -1."""
+        pieces: dict[str, int] = {}
+        parts = []  # (a known word or else a piece to encode, closing mark)
+        for w, at in zip(words, bases.tolist()):
+            mark = self.marks.get(w[-1])
+            text = w.decode("utf-8")
+            if mark is not None and text[:-1].isalpha():
+                text = text[:-1]
+            else:
+                at, mark = -1, []
+            parts.append((at, pieces.setdefault(text, len(pieces)) if at < 0 else 0, mark))
         got = [e.ids for e in self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8") for w in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-        start = len(self.ids) + np.cumsum(size) - size
-        return (np.concatenate([self.ids, ids]), np.concatenate([self.start, start]),
-                np.concatenate([self.size, size]))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            list(pieces), add_special_tokens=False)]
+        return [(got[i] if at < 0 else self.ids[self.start[at]:self.start[at] + self.size[at]]
+                 .tolist()) + mark for at, i, mark in parts]
+
+    def _append(self, own: list[list[int]], keep: bool) -> None:
+        """Write the words behind those known; without ``keep`` the next call overwrites them."""
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        total = int(size.sum())
+        if self.n_ids + total > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.n_ids + total))
+        if self.n_words + len(own) > len(self.start):
+            self.start = np.resize(self.start, 2 * (self.n_words + len(own)))
+            self.size = np.resize(self.size, 2 * (self.n_words + len(own)))
+        self.ids[self.n_ids:self.n_ids + total] = np.fromiter(
+            chain.from_iterable(own), np.uint32, total)
+        to = slice(self.n_words, self.n_words + len(own))
+        self.size[to] = size
+        self.start[to] = self.n_ids + np.cumsum(size) - size
+        if keep:
+            self.n_words += len(own)
+            self.n_ids += total
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has (its end id included)."""
-        every: list[bytes] = []
-        ends = []
-        for t in texts:
-            every.extend(t.split())
-            every.append(b"")
-            ends.append(len(every))
-        known = self.known
-        new = [w for w in set(every) if w not in known]
-        tables = self._extend(new) if new else (self.ids, self.start, self.size)
-        if len(known) + len(new) <= CACHE_WORDS:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.ids, self.start, self.size = tables
-        elif new:
-            known = known | dict(zip(new, range(len(known), len(known) + len(new))))
-        ids, start, size = tables
-        which = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
-        sizes = size[which]
+        raw, n = data.tobytes(), len(offsets) - 1
+        low = tb.LOWER[data]
+        at = raw.find(b"<|")
+        while at >= 0:  # the strings of special tokens count only as they are written
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            low[offsets[row]:offsets[row + 1]] = data[offsets[row]:offsets[row + 1]]
+            at = raw.find(b"<|", int(offsets[row + 1]))
+        starts, ends, doc = tb.words(low, offsets, tb.PLAIN_WORD)
+        prefix = tb.prefix_hash(low)
+        hashed = tb.span_hash(prefix, starts, ends)
+        which = self._find(hashed)
+        miss = np.flatnonzero(which < 0)
+        if len(miss):
+            new, first, inverse = np.unique(hashed[miss], return_index=True, return_inverse=True)
+            s, e = starts[miss[first]], ends[miss[first]]
+            text = low.tobytes()
+            own = self._encode([text[a:b] for a, b in zip(s.tolist(), e.tolist())],
+                               self._find(tb.span_hash(prefix, s, e - 1)))
+            which[miss] = self.n_words + inverse
+            keep = self.n_words + len(new) <= CACHE_WORDS
+            if keep:
+                to = np.searchsorted(self.keys, new)
+                self.keys = np.insert(self.keys, to, new)
+                self.at = np.insert(self.at, to, self.n_words + np.arange(len(new)))
+            self._append(own, keep)
+        every = np.zeros(len(which) + n, np.int64)  # word 0 closes every text
+        every[np.arange(len(which)) + doc] = which
+        sizes = self.size[every]
         begin = np.cumsum(sizes) - sizes
-        out = ids[np.repeat(start[which] - begin, sizes) + np.arange(int(sizes.sum()))]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return out, np.diff(total[np.concatenate([[0], ends])])
+        ids = self.ids[np.repeat(self.start[every] - begin, sizes)
+                       + np.arange(int(sizes.sum()))]
+        count = np.bincount(doc, minlength=n) + 1
+        return ids, np.add.reduceat(sizes, np.cumsum(count) - count)
 
 
 def _encoder(path: str, end_id: int) -> WordEncoder:
@@ -83,8 +140,7 @@ def _tokenise(path: str, end_id: int):
         for b in batches:
             texts = tb.text_array(b.column(1))
             for lo, hi in tb.slabs(texts):
-                ids, n = encoder.encode([t.as_buffer().to_pybytes()
-                                         for t in texts.slice(lo, hi - lo)])
+                ids, n = encoder.encode(*tb.flat(texts.slice(lo, hi - lo)))
                 begin = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(hi - lo, part, np.int64)),
