@@ -4,13 +4,14 @@ Every function works on whole texts; a null text counts as empty unless a caller
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB = 2 << 20
+SLAB = 1 << 20
 SHINGLE = 5
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,10 +25,12 @@ ALNUM_WORD[48:58] = ALNUM_WORD[97:123] = ALNUM_WORD[128:] = True
 
 
 def text_array(column) -> pa.Array:
-    """A string column as one large_string array without nulls."""
+    """A string column as one array without nulls; not copied where it is one."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    return pc.fill_null(column, "") if column.null_count else column
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +39,21 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     if n == 0 or data is None:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
-    offs = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offs = np.frombuffer(offsets, kind)[texts.offset:texts.offset + n + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: workers live on between tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slabs(texts: pa.Array, target: int = SLAB) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about ``target`` bytes; a longer text stands alone."""
     n = len(texts)
@@ -51,6 +65,7 @@ def slabs(texts: pa.Array, target: int = SLAB) -> Iterator[tuple[int, int]]:
         to = min(max(to, at + 1), n)
         yield at, to
         at = to
+    hand_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
@@ -87,7 +102,7 @@ _inverse = np.ones(1, np.uint64)
 def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) <= n:
-        size = 1 << int(n + 1).bit_length()
+        size = (n // (1 << 18) + 1 << 18) + 1
         up = np.full(size, _ROOT, np.uint64)
         down = np.full(size, _ROOT_INVERSE, np.uint64)
         up[0] = down[0] = 1
