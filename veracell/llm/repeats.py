@@ -1,6 +1,6 @@
 """Removal of repeated byte strings through Burrows-Wheeler steps over anchored suffixes.
 
-Every 400-byte window has an anchor, the 128-byte string with the smallest hash inside it, so
+Every 400-byte window has an anchor, the 48-byte string with the smallest hash inside it, so
 equal windows have equal anchors at equal places. Only anchors found at two places or more can
 belong to repeats; their surroundings are brought together by anchor, from all shards of the
 input. Within an anchor the suffixes that begin at the anchor are ordered once; all suffixes that
@@ -30,7 +30,7 @@ from veracell.llm import textbatch as tb
 from veracell.llm.near_duplicates import Groups
 
 LENGTH = 400
-GRAM = 128
+GRAM = 48
 _PLACE_BITS = np.uint64(28)
 #: Occurrences that one refinement takes at once.
 TOGETHER = 40_000
@@ -239,9 +239,11 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGT
         _anchor_rows(length, gram), "key long, h1 long, h2 long, place int, first int, last int")
     # Copies of a text give the same occurrence, which counts once.
     mark = F.xxhash64("h1", "h2", "place")
-    twice = rows.groupBy("key").agg(F.min(mark).alias("x"), F.max(mark).alias("y"),
-                                    F.count(F.lit(1)).alias("n")).where("x <> y")
-    wanted = rows.join(twice.select("key", "n"), "key").groupBy("h1", "h2").agg(
+    # Written, so that it is counted once and the join below can split a hot key.
+    twice = cut_lineage(rows.groupBy("key").agg(
+        F.min(mark).alias("x"), F.max(mark).alias("y"), F.count(F.lit(1)).alias("n")).where(
+        "x <> y").select("key", "n"))
+    wanted = rows.join(twice, "key").groupBy("h1", "h2").agg(
         F.collect_set(F.struct("key", "place", "first", "last", (F.col("n") > hot).alias(
             "hot"))).alias("found"))
     texts = long.groupBy("h1", "h2").agg(F.first("text").alias("text"))
