@@ -4,23 +4,27 @@ A text is coded byte by byte, each byte as eight binary decisions, and closed by
 the last two to five bytes each, and for the present word so far, there is a predictor: counts of
 both outcomes under the hash of context and decided bits, gathered over all learning texts. Their log odds are mixed with weights
 that a gate selects (the longest context with evidence, and how much evidence each has); the
-weights are learned online, batch by batch, on every learning text, against counts that leave the
-present occurrence out, and averaged over the tasks by the bits they saw. A last table refines the
-mixed probability by what it met in practice. The score is log10 of the probability of the whole
-text; ``bits_per_byte`` follows from it.
+weights are learned online, batch by batch, on every distinct byte in context of the learning
+texts as often as it occurs, against counts that leave the present occurrence out, and averaged
+over the tasks by the bits they saw. A last table refines the mixed probability by what it met in
+practice. The score is log10 of the probability of the whole text; ``bits_per_byte`` follows.
+
+All work on bits is done once per distinct gram (context and byte): learning texts send grams with
+their counts, dealt out by the last two context bytes, so that a context is summed in one place.
 
 Beside it stands the unigram base over words, closed by one end per text. Word counts are exact:
 words travel as 64-bit hashes with lists of the texts of a slab that hold them, cut by hash range
 into as many buckets as the scan has partitions.
 
-The model's size is fixed by ``BITS`` (about 45 MB), whatever the corpus; tables of the corpus are
-summed by hash range and only the finished model goes to the tasks.
+The model's size is fixed by ``BITS`` (31 MB), whatever the corpus; tables of the corpus are summed
+by hash range and only the finished model goes to the tasks.
 
 Defined cases: a null or empty text has one token, the end; repeated rows are scored each; texts
 are lower-cased (A-Z); an empty table gives no rows; without learning texts all is unknown.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +39,21 @@ from veracell.llm.near_duplicates import Groups
 #: log2 of the slots of each predictor: the last 2 to 5 bytes, and (WORD) those of the last 5
 #: that belong to the present word.
 WORD = 1
-BITS = {2: 20, WORD: 21, 3: 21, 4: 22, 5: 22}
+BITS = {2: 18, WORD: 20, 3: 19, 4: 21, 5: 22}
 ORDERS = list(BITS)
 REACH = max(ORDERS)
 SEGMENTS = 64
-SLAB = 6 << 20
+SLAB = tb.SLAB
 LEVELS = 8
 PRIOR = 0.3
 CELLS = 33
 BATCH = 8192
+#: Grams of one online step, passes over them, and the least steps of a task.
+STEP, EPOCHS, STEPS = 1024, 3, 600
+#: Grams are dealt into as many parts as the scan has partitions, and these at least.
+PARTS = 64
+#: Distinct grams that a task holds before it sends them, and a worker remembers scored.
+HELD = 2_000_000
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _LEVEL = np.minimum(np.ceil(np.log2(np.arange(256) + 1)), LEVELS - 1).astype(np.uint8)
@@ -101,28 +111,81 @@ def _texts(b: pa.RecordBatch, column: int, slab: int = SLAB):
         yield lo, hi, tb.LOWER[data], offsets
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = {o: np.zeros(2 << BITS[o], np.uint32) for o in ORDERS}
-    for b in batches:
-        for _, _, data, offsets in _texts(b, 0):
-            u, c = np.unique(grams(data, offsets)[0], return_counts=True)
-            for o in reversed(ORDERS):
+def _merged(u: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    grams_, inverse = np.unique(np.concatenate(u), return_inverse=True)
+    return grams_, np.bincount(inverse, weights=np.concatenate(c)).astype(np.int64)
+
+
+def _packed(u: np.ndarray) -> bytes:
+    """Grams byte by byte: sorted, so that the first bytes hardly change."""
+    return u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :REACH + 1].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(REACH + 1, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :REACH + 1] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _count(parts: int):
+    """Distinct grams and their counts, by the last two context bytes."""
+    def send(us: list[np.ndarray], cs: list[np.ndarray]) -> pa.RecordBatch:
+        u, c = _merged(us, cs)
+        part = (tb.mix64((u >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts)).astype(
+            np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        live = np.flatnonzero(np.diff(cut))
+        rows = [order[cut[k]:cut[k + 1]] for k in live]
+        return pa.RecordBatch.from_arrays([
+            pa.array(live), pa.array([_packed(u[r]) for r in rows], pa.binary()),
+            pa.array([c[r].astype("<u4").tobytes() for r in rows], pa.binary())],
+            names=["part", "u", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, cs = [], []
+        for b in batches:
+            for _, _, data, offsets in _texts(b, 0):
+                u, c = np.unique(grams(data, offsets)[0], return_counts=True)
+                us.append(u)
+                cs.append(c)
+                if sum(map(len, us)) > HELD:
+                    u, c = _merged(us, cs)
+                    us, cs = [u], [c]
+                    if len(u) > HELD // 2:
+                        yield send(us, cs)
+                        us, cs = [], []
+        if us:
+            yield send(us, cs)
+    return run
+
+
+def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part: its grams (segment -1), and what they add to the segments of the tables."""
+    for t, first in Groups(0).feed(batches):
+        for f, to in zip(first.tolist(), np.append(first[1:], t.num_rows).tolist()):
+            part = t.slice(f, to - f)
+            u, c = _merged([_unpacked(x) for x in part.column("u").to_pylist()],
+                           [np.frombuffer(x, "<u4") for x in part.column("c").to_pylist()])
+            rows = [(-1, _packed(u), c.astype("<u8").tobytes())]
+            for o in ORDERS:
                 short, inverse = np.unique(_seen(u, o), return_inverse=True)
-                n = np.bincount(inverse, weights=c).astype(np.uint32)
+                n = np.bincount(inverse, weights=c).astype(np.int64)
                 hashed = _context(short, o)
-                for node, bit in _decisions(short):
-                    np.add.at(tables[o], _slot(hashed, node, o) * 2 + bit, n)
-    for o in ORDERS:
-        size = (2 << BITS[o]) // SEGMENTS
-        for s in range(SEGMENTS):
-            part = tables[o][s * size:(s + 1) * size]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([o * SEGMENTS + s], pa.int64()),
-                    pa.array([at.astype("<u4").tobytes()], pa.binary()),
-                    pa.array([part[at].astype("<u4").tobytes()], pa.binary())],
-                    names=["part", "at", "n"])
+                at = np.concatenate([_slot(hashed, node, o) * 2 + bit
+                                     for node, bit in _decisions(short)])
+                at, inverse = np.unique(at, return_inverse=True)
+                n = np.bincount(inverse, weights=np.tile(n, 8)).astype("<u8")
+                size = (2 << BITS[o]) // SEGMENTS
+                cut = np.searchsorted(at, np.arange(SEGMENTS + 1) * size)
+                rows += [(o * SEGMENTS + k, (at[cut[k]:cut[k + 1]] - k * size).astype(
+                    "<u4").tobytes(), n[cut[k]:cut[k + 1]].tobytes())
+                    for k in range(SEGMENTS) if cut[k] < cut[k + 1]]
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
+                pa.array(cols[2], pa.binary())], names=["part", "at", "n"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +206,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if part is not None:
                     yield done()
                 part, total = k, np.zeros((2 << BITS[k // SEGMENTS]) // SEGMENTS, np.int64)
-            total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4")
+            total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u8").astype(np.int64)
     if part is not None:
         yield done()
 
@@ -151,8 +214,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Counts, mixing weights and the refining table."""
 
-    def __init__(self, counts: dict[int, np.ndarray]):
-        self.counts = counts
+    def __init__(self, counts: dict[int, np.ndarray], shared=None):
+        self.counts, self.shared = counts, shared
         self.weights = np.full((len(ORDERS) + 1, len(ORDERS), LEVELS), 0.35)
         self.cells = np.zeros((256, CELLS, 2))
 
@@ -193,22 +256,26 @@ class Model:
         return np.clip(np.round(z * 2) + CELLS // 2, 0, CELLS - 1).astype(np.int64)
 
     def learn(self, u: np.ndarray, c: np.ndarray, slope: np.ndarray, rng) -> int:
-        """One pass of online steps over distinct grams of multiplicity c."""
-        order = rng.permutation(len(u))
-        for i in range(0, len(u), BATCH):
-            take = order[i:i + BATCH]
-            odds, level, nodes, bits = self.inputs(u[take], True)
-            z, where = self.mixed(odds, level)
-            share = c[take] / c[take].sum()
-            wrong = (bits - 1 / (1 + np.exp(-z))) * share
-            grad = np.zeros(self.weights.size)
-            for k, at in enumerate(where):
-                grad += np.bincount(at.ravel(), (wrong * odds[k]).ravel(), self.weights.size)
-            slope += grad ** 2
-            self.weights += (0.05 * grad / np.sqrt(slope + 1e-8)).reshape(self.weights.shape)
-            at = (nodes * CELLS + self.cell(z)) * 2 + bits
-            self.cells += np.bincount(at.ravel(), np.broadcast_to(c[take], bits.shape).ravel(),
-                                      self.cells.size).reshape(self.cells.shape)
+        """Online steps over distinct grams of multiplicity c; the last pass fills the table."""
+        share = c / c.mean()
+        epochs = max(EPOCHS, -(-STEPS * STEP // max(len(u), 1)))
+        for epoch in range(epochs):
+            order = rng.permutation(len(u))
+            for i in range(0, len(u), STEP):
+                take = order[i:i + STEP]
+                odds, level, nodes, bits = self.inputs(u[take], True)
+                z, where = self.mixed(odds, level)
+                wrong = (bits - 1 / (1 + np.exp(-z))) * share[take]
+                grad = np.zeros(self.weights.size)
+                for k, at in enumerate(where):
+                    grad += np.bincount(at.ravel(), (wrong * odds[k]).ravel(), self.weights.size)
+                slope += grad ** 2
+                self.weights += (0.05 * grad / np.sqrt(slope + 1e-8)).reshape(self.weights.shape)
+                if epoch == epochs - 1:
+                    at = (nodes * CELLS + self.cell(z)) * 2 + bits
+                    self.cells += np.bincount(
+                        at.ravel(), np.broadcast_to(c[take], bits.shape).ravel(),
+                        self.cells.size).reshape(self.cells.shape)
         return int(c.sum()) * 8
 
     def log10(self, u: np.ndarray) -> np.ndarray:
@@ -228,14 +295,13 @@ class Model:
 
 def _learner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Model(shared.value), 0
+        model = Model(shared.value)
         slope = np.zeros(model.weights.size)
         rng = np.random.default_rng(5)
-        for b in batches:
-            for _, _, data, offsets in _texts(b, 0):
-                seen += model.learn(*np.unique(grams(data, offsets)[0], return_counts=True),
-                                    slope, rng)
-        if seen:
+        rows = [row for b in batches for row in zip(*(x.to_pylist() for x in b.columns))]
+        if rows:
+            seen = model.learn(np.concatenate([_unpacked(u) for u, _ in rows]), np.concatenate(
+                [np.frombuffer(c, "<u8") for _, c in rows]).astype(np.int64), slope, rng)
             yield pa.RecordBatch.from_arrays([
                 pa.array([float(seen)]), pa.array([(model.weights * seen).ravel().tolist()]),
                 pa.array([model.cells.ravel().tolist()])], names=["seen", "weights", "cells"])
@@ -246,35 +312,73 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Learn from all rows."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string"))
-    summed = texts.mapInArrow(_count, "part long, at binary, n binary").repartition(
-        "part").sortWithinPartitions("part").mapInArrow(_sum, "part long, n binary")
+    parts = max(PARTS, texts.rdd.getNumPartitions())
+    tabled = cut_lineage(texts.mapInArrow(
+        _count(parts), "part long, u binary, c binary").repartition("part").sortWithinPartitions(
+        "part").mapInArrow(_tabled, "part long, at binary, n binary"))
+    summed = tabled.where("part >= 0").repartition("part").sortWithinPartitions(
+        "part").mapInArrow(_sum, "part long, n binary")
     counts = {o: np.zeros((1 << BITS[o], 2), np.uint16) for o in ORDERS}
-    for part, n in summed.collect():  # the finished model, of fixed size
+    for part, n in summed.toLocalIterator():  # the finished model, of fixed size
         o, s = divmod(part, SEGMENTS)
         got = np.frombuffer(n, "<u2").reshape(-1, 2)
         counts[o][s * len(got):(s + 1) * len(got)] = got
-    shared = spark.sparkContext.broadcast(counts)
-    learned = texts.mapInArrow(
-        _learner(shared), "seen double, weights array<double>, cells array<double>")
-    # A line per task, summed by place before it moves.
-    model = Model(counts)
-    learned = cut_lineage(learned)
-    sums = [learned.select(F.lit(k).alias("kind"), F.posexplode(c).alias("pos", "x"))
-            for k, c in ((0, F.array("seen")), (1, F.col("weights")), (2, F.col("cells")))]
-    total = {0: np.zeros(1), 1: np.zeros(model.weights.size), 2: np.zeros(model.cells.size)}
-    for kind, pos, x in sums[0].unionByName(sums[1]).unionByName(sums[2]).groupBy(
-            "kind", "pos").agg(F.sum("x")).collect():
-        total[kind][pos] = x
-    if total[0][0]:
-        model.weights = (total[1] / total[0][0]).reshape(model.weights.shape)
-        model.cells = total[2].reshape(model.cells.shape)
+    model = Model(counts, spark.sparkContext.broadcast(counts))
+    learned = cut_lineage(tabled.where("part < 0").select("at", "n").mapInArrow(
+        _learner(model.shared), "seen double, weights array<double>, cells array<double>"))
+    # A line of fixed length per task, added up in a few tasks before it comes to the driver.
+    totals = learned.repartition(4).mapInArrow(_added, learned.schema).collect()
+    seen = sum(r.seen for r in totals)
+    if seen:
+        model.weights = sum(np.array(r.weights) for r in totals).reshape(
+            model.weights.shape) / seen
+        model.cells = sum(np.array(r.cells) for r in totals).reshape(model.cells.shape)
     return model
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for row in zip(*(c for c in b.columns)):
+            row = [np.array(x.as_py()) for x in row]
+            total = row if total is None else [a + x for a, x in zip(total, row)]
+    if total is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x.tolist()]) for x in total], names=["seen", "weights", "cells"])
+
+
+class Memory:
+    """Scores of the grams that a worker has met, sorted."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.u, self.v = np.zeros(0, np.uint64), np.zeros(0)
+
+    def scores(self, u: np.ndarray) -> np.ndarray:
+        """Scores of distinct sorted grams."""
+        at = np.searchsorted(self.u, u)
+        known = np.zeros(len(u), bool)
+        inside = at < len(self.u)
+        known[inside] = self.u[at[inside]] == u[inside]
+        out = np.empty(len(u))
+        out[known] = self.v[at[known]]
+        new = u[~known]
+        out[~known] = values = self.model.log10(new)
+        if len(self.u) + len(new) > HELD:
+            self.u, self.v = u, out
+        else:
+            self.u, self.v = (np.insert(x, at[~known], y) for x, y in (
+                (self.u, new), (self.v, values)))
+        return out
+
+
+_workers: dict[str, Memory] = {}
+
+
 class Lookup:
     """Values of distinct grams by a direct table; grams that share a slot are searched."""
 
-    BITS = 22
+    BITS = 20
 
     def __init__(self, u: np.ndarray, values: np.ndarray):
         self.u, self.values = u, values
@@ -298,22 +402,29 @@ _SCORED = ("doc_id {0}, unit long, bucket long, n_tokens long, n_bytes long, hel
            "score double, h binary, n binary, docs binary, tf binary")
 
 
-def _scorer(shared, buckets: int, id_type: str):
+def _scorer(shared, weights: np.ndarray, cells: np.ndarray, buckets: int):
     """Lines of texts (bucket -1, in the order of their unit), and word lists by hash range."""
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, unit = shared.value, TaskContext.get().partitionId() << 32
+        if name not in _workers:
+            _workers.clear()
+            model = Model(shared.value)
+            model.weights, model.cells = weights, cells
+            _workers[name] = Memory(model)
+        memory, unit = _workers[name], TaskContext.get().partitionId() << 32
         for b in batches:
             for lo, hi, data, offsets in _texts(b, 1):
                 g, begin = grams(data, offsets)
                 u = np.unique(g)
-                score = np.add.reduceat(Lookup(u, model.log10(u)).get(g), begin)
+                score = np.add.reduceat(Lookup(u, memory.scores(u)).get(g), begin)
                 starts, ends, doc = tb.words(data, offsets, tb.PLAIN_WORD)
                 hashed = tb.span_hash(tb.prefix_hash(data), starts, ends)
                 # The end of a text is a word of its own.
                 hashed = np.concatenate([hashed, np.full(hi - lo, np.uint64(0))])
                 doc = np.concatenate([doc, np.arange(hi - lo)])
                 held = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                order = np.lexsort((doc, hashed))
+                order = np.argsort(hashed, kind="stable")  # texts stay in order
                 hashed, doc = hashed[order], doc[order]
                 new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1])
                                                      | (doc[1:] != doc[:-1])]))
@@ -413,8 +524,9 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, id_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held"))
     buckets = max(8, rows.rdd.getNumPartitions())
+    shared = model.shared or spark.sparkContext.broadcast(model.counts)
     scored = cut_lineage(rows.mapInArrow(
-        _scorer(spark.sparkContext.broadcast(model), buckets, id_type),
+        _scorer(shared, model.weights, model.cells, buckets),
         _SCORED.format(id_type)).withColumn("place", F.monotonically_increasing_id()))
     parts = cut_lineage(scored.where("bucket >= 0").select(
         "bucket", "unit", "h", "n", "docs", "tf").repartition("bucket").sortWithinPartitions(
