@@ -24,7 +24,8 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
         "mit license": "mit"}
 
 #: label, keyword, name pattern, tag pattern (as after an identifier line), address pattern or None.
-#: Patterns are over text with A-Z lower-cased; a blank stands for any white space or comment mark.
+#: Patterns are over text with A-Z lower-cased; a blank stands for any white space or comment mark,
+#: [- ] for these or a hyphen.
 FAMILIES = [
     ("apache-1.0", "apache", r"apache (?:software )?licen[cs]e,? (?:version |v\.? ?)?1\.0", r"apache-1\.0", None),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e,? (?:version |v\.? ?)?1\.1", r"apache-1\.1", None),
@@ -149,7 +150,8 @@ SURE = {"tag": 1.0, "address": 0.95, "text": 0.95, "grant": 0.9, "name": 0.8, "n
 
 
 def _pattern(p: str) -> re.Pattern:
-    return re.compile(p.replace(" ?", r"\s?").replace(" ", r"[\s*#/]+").encode("utf-8"))
+    parts = [x.replace(" ?", r"\s?").replace(" ", r"[\s*#/]+") for x in p.split("[- ]")]
+    return re.compile(r"[-\s*#/]+".join(parts).encode("utf-8"))
 
 
 def rules() -> list[tuple[int, str, bytes, re.Pattern, float]]:
