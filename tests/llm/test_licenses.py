@@ -3,11 +3,13 @@ import itertools
 import random
 from re import _constants as C, _parser as P
 
+import pyarrow as pa
 import pytest
 
 from veracell.llm import licenses
 
 SOURCES = [(f[0], f[2]) for f in licenses.FAMILIES] + [(n[0], n[2]) for n in licenses.NOTICES]
+ADDRESSES = [(f[0], f[4]) for f in licenses.FAMILIES if f[4]]
 
 
 def wordings(pattern: str, most: int = 400) -> list[str]:
@@ -61,3 +63,40 @@ def test_every_wording_is_matched_by_its_rule(label, pattern):
 def test_hyphen_or_blank(text, label):
     data = text.lower().encode()
     assert label in {r[1] for r in licenses.rules() if r[3].search(data)}
+
+
+def gated_and_not(texts):
+    s = licenses.Scanner()
+    _, _, found = s.scan(pa.array(texts, pa.large_string()))
+    free = {}
+    for i, t in enumerate(texts):
+        data = t.lower().encode()
+        hits = [(r[0], m.start(), m.end(), r[1], r[4]) for r in s.rules
+                for m in r[3].finditer(data)]
+        if hits:
+            free[i] = licenses.resolve(hits)
+    return found, free
+
+
+@pytest.mark.parametrize("label,pattern", SOURCES + ADDRESSES)
+def test_keywords_lose_no_match(label, pattern):
+    every = wordings(pattern)
+    for between in (" ", "\n * ", " # // "):
+        few = random.Random(2).sample(every, min(len(every), 10))
+        found, free = gated_and_not([w.replace(" ", between) for w in few])
+        assert found == free
+    keywords = {k for r in licenses.rules() if r[1] == label for k in r[2]}
+    assert all(any(k in licenses.squeeze(w.encode()) for k in keywords) for w in every)
+
+
+@pytest.mark.parametrize("text,label", [
+    ("x/mit license", "x11"), ("expat license", "mit"), ("free public license", "bsd-0-clause"),
+    ("do what the fuck you want to public license", "wtfpl"), ("psf license", "python-2.0"),
+    ("unauthorised copying", "proprietary"), ("for academic use only", "research-only"),
+    ("see the licence file for details", "see-license-file"), ("2-clause licence", "bsd-2-clause"),
+    ("GNU General\n * Public License, version 2", "gpl-2.0"),
+    ("all rights\n# reserved", "all-rights-reserved")])
+def test_found_by_its_own_keyword(text, label):
+    found, free = gated_and_not(["", text, "other"])
+    assert found == free
+    assert label in {h[3] for h in found[1]}

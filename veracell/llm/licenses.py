@@ -1,7 +1,8 @@
 """License scans with ordered signature rules.
 
-Every rule is a regular expression with a keyword and a priority. A text is first searched for the
-keywords, all texts of a slab at once; only rules whose keyword is there run, on the whole text.
+Every rule is a regular expression with keywords and a priority. Every match of a rule holds one of
+its keywords, where white space and comment marks count as one blank. A text is first searched for
+the keywords, all texts of a slab at once; only rules of which one is there run, on the whole text.
 Overlapping detections are resolved in the order of priority, then length, then place: a detection
 whose interval lies in that of one already taken is suppressed. Beside the rules stand the base
 phrases, sequences of words that are counted wherever they stand.
@@ -23,7 +24,7 @@ from veracell.llm import textbatch as tb
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by",
         "mit license": "mit"}
 
-#: label, keyword, name pattern, tag pattern (as after an identifier line), address pattern or None.
+#: label, keywords (divided by |), name pattern, tag pattern (as after an identifier line), address pattern or None.
 #: Patterns are over text with A-Z lower-cased; a blank stands for any white space or comment mark,
 #: [- ] for these or a hyphen.
 FAMILIES = [
@@ -31,14 +32,14 @@ FAMILIES = [
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e,? (?:version |v\.? ?)?1\.1", r"apache-1\.1", None),
     ("apache-2.0", "apache", r"apache (?:software )?(?:licen[cs]e,?)? ?\(?(?:version |v\.? ?)?2(?:\.0)?\b\)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
     ("apache-unversioned", "apache", r"apache (?:software )?licen[cs]e", r"apache", r"apache\.org/licenses"),
-    ("mit", "mit", r"(?:the )?\(?mit\)?(?:/expat)? licen[cs]e|\bmit-licensed|expat licen[cs]e", r"mit", r"opensource\.org/licenses?/mit"),
+    ("mit", "mit|expat", r"(?:the )?\(?mit\)?(?:/expat)? licen[cs]e|\bmit-licensed|expat licen[cs]e", r"mit", r"opensource\.org/licenses?/mit"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?|mit-0 licen[cs]e", r"mit-0", None),
-    ("x11", "x11", r"x11 licen[cs]e|mit/x11|x/mit licen[cs]e", r"x11", None),
+    ("x11", "x11|x/mit", r"x11 licen[cs]e|mit/x11|x/mit licen[cs]e", r"x11", None),
     ("isc", "isc", r"\bisc licen[cs]e", r"isc", r"opensource\.org/licenses?/isc"),
-    ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|two[- ]clause|2[- ]clause) \(?(?:bsd )?licen[cs]e|bsd[- ]2[- ]clause(?: licen[cs]e)?", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
+    ("bsd-2-clause", "bsd|simplified|clause", r"(?:simplified|freebsd|two[- ]clause|2[- ]clause) \(?(?:bsd )?licen[cs]e|bsd[- ]2[- ]clause(?: licen[cs]e)?", r"bsd-2-clause", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|three[- ]clause|3[- ]clause) bsd licen[cs]e|bsd[- ]3[- ]clause(?: licen[cs]e)?", r"bsd-3-clause", r"opensource\.org/licenses?/bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:original|old|four[- ]clause|4[- ]clause) bsd licen[cs]e|bsd[- ]4[- ]clause(?: licen[cs]e)?", r"bsd-4-clause", None),
-    ("bsd-0-clause", "bsd", r"(?:zero[- ]clause|0[- ]clause|free public) (?:bsd )?licen[cs]e|\b0bsd\b", r"0bsd", None),
+    ("bsd-0-clause", "clause|free public|0bsd", r"(?:zero[- ]clause|0[- ]clause|free public) (?:bsd )?licen[cs]e|\b0bsd\b", r"0bsd", None),
     ("bsd-unversioned", "bsd", r"bsd(?:[- ]style)? licen[cs]e", r"bsd", None),
     ("gpl-1.0", "general public", r"gnu general public licen[cs]e,? (?:as published by the free software foundation[;,] )?(?:either )?version 1(?:\.0)?\b", r"gpl-1\.0(?:-only|-or-later|\+)?", None),
     ("gpl-2.0", "general public", r"gnu general public licen[cs]e,? (?:as published by the free software foundation[;,] )?(?:either )?\(?(?:version |v\.? ?)2(?:\.0)?\b", r"gpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
@@ -79,7 +80,7 @@ FAMILIES = [
     ("cc-attribution-noncommercial", "creative commons", r"creative commons attribution[- ]non-?commercial", r"cc-nc", None),
     ("cc-unversioned", "creative commons", r"creative commons(?: licen[cs]e)?", r"cc", r"creativecommons\.org/licenses"),
     ("unlicense", "unlicense", r"\bthe unlicense\b", r"unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"do what the f\w+ you want to public licen[cs]e|\bwtfpl\b", r"wtfpl", r"wtfpl\.net"),
+    ("wtfpl", "wtfpl|you want to public", r"do what the f\w+ you want to public licen[cs]e|\bwtfpl\b", r"wtfpl", r"wtfpl\.net"),
     ("zlib", "zlib", r"\bzlib(?:/libpng)? licen[cs]e", r"zlib", None),
     ("libpng", "libpng", r"\blibpng licen[cs]e", r"libpng(?:-2\.0)?", None),
     ("bsl-1.0", "boost", r"boost software licen[cs]e", r"bsl-1\.0", r"boost\.org/license_1_0"),
@@ -91,7 +92,7 @@ FAMILIES = [
     ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (?:version |v\.? ?)?2\.0", r"artistic-2\.0", None),
     ("artistic-unversioned", "artistic", r"artistic licen[cs]e", r"artistic", None),
     ("perl", "perl", r"same terms as perl itself", r"perl", None),
-    ("python-2.0", "python", r"python (?:software foundation )?licen[cs]e|\bpsf licen[cs]e", r"(?:python|psf)-2\.0", None),
+    ("python-2.0", "python|psf", r"python (?:software foundation )?licen[cs]e|\bpsf licen[cs]e", r"(?:python|psf)-2\.0", None),
     ("php-3.01", "php", r"\bphp licen[cs]e,? (?:version |v\.? ?)?3\.01", r"php-3\.01", r"php\.net/license"),
     ("php-unversioned", "php", r"\bphp licen[cs]e", r"php", None),
     ("ruby", "ruby", r"\bruby(?:'s)? licen[cs]e|same terms as ruby", r"ruby", None),
@@ -122,7 +123,7 @@ FAMILIES = [
     ("llama-community", "llama", r"llama ?[23]?(?:\.\d)? community licen[cs]e", r"llama[23]?", None),
     ("openrail", "rail", r"(?:creativeml |bigscience )?open(?:&| )?rail(?:-[ms])?(?: licen[cs]e)?", r"openrail(?:\+\+)?", None),
 ]
-#: Further phrases: label, keyword, pattern, priority.
+#: Further phrases: label, keywords, pattern, priority.
 NOTICES = [
     ("public-domain", "public domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain", 60),
     ("public-domain", "public domain", r"this (?:work|file|code|software) is (?:in the )?public domain", 60),
@@ -137,12 +138,12 @@ NOTICES = [
     ("bsl-1.0", "boost", r"distributed under the boost software licen[cs]e", 85),
     ("warranty-disclaimer", "warrant", r"without (?:any )?warrant(?:y|ies) of any kind|without warranties or conditions", 15),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary", 40),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|use|distribution)", 40),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|distribution)", 40),
     ("proprietary", "licensor", r"may not be (?:copied|reproduced|distributed) without .{0,40}licensor", 40),
     ("non-commercial", "commercial", r"(?:for )?non-?commercial (?:use|purposes) only", 40),
-    ("research-only", "research", r"for (?:academic|research)(?: and research)? (?:use|purposes) only", 40),
+    ("research-only", "research|academic", r"for (?:academic|research)(?: and research)? (?:use|purposes) only", 40),
     ("dual-licensed", "dual", r"dual[- ]licen[cs]ed under", 30),
-    ("see-license-file", "license", r"see (?:the )?(?:accompanying )?(?:file )?licen[cs]e(?:\.(?:txt|md))?(?: file)? for (?:details|more|the full)", 25),
+    ("see-license-file", "licen", r"see (?:the )?(?:accompanying )?(?:file )?licen[cs]e(?:\.(?:txt|md))?(?: file)? for (?:details|more|the full)", 25),
     ("license-reference", "licensed under", r"licensed under (?:the )?terms of", 12),
 ]
 #: How sure a kind of rule is of its label.
@@ -154,24 +155,36 @@ def _pattern(p: str) -> re.Pattern:
     return re.compile(r"[-\s*#/]+".join(parts).encode("utf-8"))
 
 
-def rules() -> list[tuple[int, str, bytes, re.Pattern, float]]:
-    """(priority, label, keyword, pattern, sureness) of all signatures, highest priority first."""
+_SEPARATOR = bytes.maketrans(b"*#/", b"   ")
+
+
+def squeeze(text: bytes) -> bytes:
+    """The text with each run of white space and comment marks as one blank."""
+    return b" ".join(text.translate(_SEPARATOR).split())
+
+
+def _keywords(key: str) -> tuple[bytes, ...]:
+    return tuple(squeeze(k.encode()) for k in key.split("|"))
+
+
+def rules() -> list[tuple[int, str, tuple[bytes, ...], re.Pattern, float]]:
+    """(priority, label, keywords, pattern, sureness) of all signatures, highest priority first."""
     out = []
     for label, key, name, tag, address in FAMILIES:
-        keyword = key.encode()
-        out.append((100, label, b"spdx-license-identifier", _pattern(
+        keywords = _keywords(key)
+        out.append((100, label, (b"spdx-license-identifier",), _pattern(
             rf"spdx-license-identifier: ?\(?(?:[\w.+-]+ (?:or|and|with) )*{tag}(?![\w.+-])"),
             SURE["tag"]))
-        out.append((70, label, keyword, _pattern(
+        out.append((70, label, keywords, _pattern(
             "(?:licen[cs]ed|released|distributed|available|provided|published|covered) "
             rf"(?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})"),
             SURE["grant"]))
-        out.append((50, label, keyword, _pattern(rf"(?:{name})"), SURE["name"]))
+        out.append((50, label, keywords, _pattern(rf"(?:{name})"), SURE["name"]))
         if address:
-            out.append((90, label, address.split("/")[0].replace("\\", "").replace("?", "")
-                        .encode(), _pattern(address), SURE["address"]))
+            out.append((90, label, _keywords(address.split("/")[0].replace("\\", "")),
+                        _pattern(address), SURE["address"]))
     for label, key, text, priority in NOTICES:
-        out.append((priority, label, key.encode(), _pattern(text),
+        out.append((priority, label, _keywords(key), _pattern(text),
                     SURE["text"] if priority > 80 else SURE["notice"]))
     order = sorted(range(len(out)), key=lambda i: (-out[i][0], i))
     return [out[i] for i in order]
@@ -191,7 +204,8 @@ class Scanner:
         self.rules = rules() if signatures is None else signatures
         self.keywords: dict[bytes, list[int]] = {}
         for i, r in enumerate(self.rules):
-            self.keywords.setdefault(r[2], []).append(i)
+            for keyword in r[2]:
+                self.keywords.setdefault(keyword, []).append(i)
         not_word = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
         self.phrases = []
         for phrase, label in (BASE if phrases is None else phrases).items():
@@ -216,14 +230,16 @@ class Scanner:
                 if m.end() <= begin[row] + sizes[row]:
                     at = int(np.searchsorted(starts, m.start())) - int(first_word[row])
                     base.setdefault(row, []).append((at, label))
+        squeezed = [squeeze(whole[b:b + s]) for b, s in zip(begin.tolist(), sizes.tolist())]
+        stop = np.cumsum([len(t) + 1 for t in squeezed])
+        gate = b"\0".join(squeezed)
         wanted: dict[int, set[int]] = {}
         for keyword, which in self.keywords.items():
-            at = whole.find(keyword)
+            at = gate.find(keyword)
             while at >= 0:
-                row = int(np.searchsorted(begin, at, "right")) - 1
+                row = int(np.searchsorted(stop, at, "right"))
                 wanted.setdefault(row, set()).update(which)
-                end = int(begin[row] + sizes[row])
-                at = whole.find(keyword, max(end, at + 1))
+                at = gate.find(keyword, int(stop[row]))
         found = {}
         for row, which in wanted.items():
             text = whole[begin[row]:begin[row] + sizes[row]]
