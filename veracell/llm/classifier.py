@@ -4,16 +4,14 @@ Learned filters slide over the bytes of overlapping chunks that cover the whole
 is max-pooled over a chunk, and the mean and the maximum over the chunks are combined into one
 probability. Only bytes are inputs.
 
-The network is fitted on a sample of labelled rows of bounded size (``sample_rows``, and
-``sample_chunks`` chunks of a text, both drawn by hash); every text is scored whole.
+The network is fitted on a sample of labelled rows of bounded number (``sample_rows``, drawn by
+hash), whose texts the driver holds; every text is learned from and scored whole, by the same chunks.
 
 Defined cases: a null or empty text is one chunk of padding; every row gets a score, repeated rows
 the same; null labels are not learned from; without labels of both kinds fitting raises.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +20,8 @@ from veracell.llm import textbatch as tb
 
 CHUNK, STEP = 256, 224
 WIDTH, DEPTH, FILTERS = 5, 8, 16
-SAMPLE_ROWS, SAMPLE_CHUNKS, EPOCHS = 4000, 12, 12
+SAMPLE_ROWS, EPOCHS = 4000, 12
+POOLED = 256  # chunks whose responses are held at once
 PAD = 0
 
 
@@ -44,6 +43,22 @@ def chunk_matrix(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return np.where(inside, data[np.minimum(at, len(data) - 1)], PAD).astype(np.uint8)
 
 
+class Chunks:
+    """The chunks of texts in order; only those of a slice are written out as a matrix."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.data = np.concatenate(texts)
+        self.start, self.end, doc = chunks(self.data, np.append(0, np.cumsum(sizes)))
+        self.first = np.searchsorted(doc, np.arange(len(texts)))
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, of: slice) -> np.ndarray:
+        return chunk_matrix(self.data, self.start[of], self.end[of])
+
+
 class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -77,14 +92,19 @@ class Network:
 
     def score(self, data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> np.ndarray:
         start, end, doc = chunks(data, offsets)
-        pooled = np.concatenate([self.pool(chunk_matrix(data, start[i:i + 256], end[i:i + 256]),
-                                           tables) for i in range(0, len(start), 256)])
+        pooled = np.concatenate([
+            self.pool(chunk_matrix(data, start[i:i + POOLED], end[i:i + POOLED]), tables)
+            for i in range(0, len(start), POOLED)])
         first = np.searchsorted(doc, np.arange(len(offsets) - 1))
         z = self.combine(pooled, first) @ self.p["out"] + self.p["out_bias"][0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray):
-        pooled, place = self.pool(x, self.tables(), True)
+    def gradient(self, x: np.ndarray | Chunks, first: np.ndarray, y: np.ndarray,
+                 weight: np.ndarray):
+        """Slopes of the weighted loss; only the winning places go back, a slab of chunks at once."""
+        tables, slabs = self.tables(), [slice(i, i + POOLED) for i in range(0, len(x), POOLED)]
+        pooled, place = (np.concatenate(a) for a in zip(*[
+            self.pool(x[of], tables, True) for of in slabs]))
         v = self.combine(pooled, first)
         z = v @ self.p["out"] + self.p["out_bias"][0]
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
@@ -98,19 +118,21 @@ class Network:
         ties = np.maximum(np.add.reduceat(best.astype(float), first), 1)
         to = (to + back[doc, FILTERS:] * best / ties[doc]) * (pooled > 0)
         g["bias"] = to.sum(0)
-        rows = np.arange(len(x))[:, None]
         g["filters"], g["embed"] = np.zeros_like(self.p["filters"]), np.zeros((256, DEPTH))
-        for k in range(WIDTH):
-            b = x[rows, place + k]  # chunk x filter: the byte under this weight
-            e = self.p["embed"][b]
-            g["filters"][k] = np.einsum("cfe,cf->ef", e, to)
-            np.add.at(g["embed"], b.ravel(), (to[:, :, None] * self.p["filters"][k].T[None])
-                      .reshape(-1, DEPTH))
+        for of in slabs:
+            part, back, at = x[of], to[of], place[of]
+            rows = np.arange(len(part))[:, None]
+            for k in range(WIDTH):
+                b = part[rows, at + k]  # chunk x filter: the byte under this weight
+                e = self.p["embed"][b]
+                g["filters"][k] += np.einsum("cfe,cf->ef", e, back)
+                np.add.at(g["embed"], b.ravel(), (back[:, :, None]
+                          * self.p["filters"][k].T[None]).reshape(-1, DEPTH))
         return g
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
             batch: int = 32, rate: float = 0.01, seed: int = 11) -> "Network":
-        """Adam over batches of texts, each a matrix of its sampled chunks; classes weigh alike."""
+        """Adam over batches of texts, each an array of its bytes; classes weigh alike."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -120,9 +142,8 @@ class Network:
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
                 who = order[i:i + batch]
-                sizes = np.array([len(texts[j]) for j in who])
-                g = self.gradient(np.concatenate([texts[j] for j in who]),
-                                  np.cumsum(sizes) - sizes, labels[who], share[labels[who]])
+                x = Chunks([texts[j] for j in who])
+                g = self.gradient(x, x.first, labels[who], share[labels[who]])
                 step += 1
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -134,7 +155,7 @@ class Network:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality",
                    id_col: str = "doc_id", text_col: str = "text",
-                   sample_rows: int = SAMPLE_ROWS, sample_chunks: int = SAMPLE_CHUNKS) -> Network:
+                   sample_rows: int = SAMPLE_ROWS) -> Network:
     """Fit on labelled rows where ``learn`` (a condition on the id) holds."""
     rows = labels.where(learn & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
@@ -144,31 +165,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
              for c in (0, 1)]
     sample = F.broadcast(drawn[0].unionByName(drawn[1]))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = tb.text_array(b.column(0))
-            for lo, hi in tb.slabs(texts):
-                data, offsets = tb.flat(texts.slice(lo, hi - lo))
-                start, end, doc = chunks(data, offsets)
-                draw = tb.mix64((start - offsets[doc]).astype(np.uint64))
-                order = np.lexsort((draw, doc))
-                rank = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
-                keep = np.sort(order[rank < sample_chunks])
-                m = chunk_matrix(data, start[keep], end[keep])
-                at = np.searchsorted(doc[keep], np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([
-                    b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo),
-                    pa.array([m[at[r]:at[r + 1]].tobytes() for r in range(hi - lo)],
-                             pa.binary())], names=["y", "h", "chunks"])
-
     got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias(
         "text")).join(sample, "doc_id").select(
-        "text", "y", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(
-        cut, "y int, h long, chunks binary").toArrow().sort_by([("h", "ascending")])
+        "y", F.xxhash64("doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).cast(
+            "binary").alias("text")).toArrow().sort_by([("h", "ascending")])
     y = got.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         raise ValueError("labels of both kinds are needed to fit the classifier")
-    texts = [np.frombuffer(c.as_py(), np.uint8).reshape(-1, CHUNK) for c in got.column("chunks")]
+    texts = [np.frombuffer(t.as_py(), np.uint8) for t in got.column("text")]
     return Network().fit(texts, y)
 
 
