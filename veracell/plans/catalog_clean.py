@@ -246,30 +246,20 @@ def _(spark, d):
     return back.groupBy("run_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-
-
-def _fast():
-    from veracell.plans.analysis import Config
-    return Config(methods="isolation_forest,autoencoder", bootstrap_runs=2, with_text=False,
-                  detector_options={"isolation_forest": {"trees": 50}})
-
-
 @query("full_analysis_part")
 def _(spark, d):
     from veracell.plans.analysis import analyze
-    run = analyze(table(spark, d, "part"), ["p_partkey"], _fast())
+    run = analyze(table(spark, d, "part"), ["p_partkey"])
     return run.anomalies.select("row_id", "anomaly_type", "severity", "confidence",
                                 "flagged_columns", "card.summary")
 
 
 @query("auto_clean_metrics_customer")
 def _(spark, d):
-    from veracell.plans.analysis import analyze
+    from veracell.plans.analysis import Config, analyze
     df = table(spark, d, "customer").withColumn("sex", F.when(
         F.col("c_custkey") % 9 == 0, " male ").when(F.col("c_custkey") % 2 == 0, "M").otherwise("F"))
-    config = _fast()
-    config.mode = "auto"
-    run = analyze(df, ["c_custkey"], config)
+    run = analyze(df, ["c_custkey"], Config(mode="auto"))
     return M.compare(M.long_metrics(run.before), M.long_metrics(run.after))
 
 

@@ -91,5 +91,4 @@ def _(spark, d):
 
 @query("robust_pca_lineitem")
 def _(spark, d):
-    return DT.robust_pca(line_features(spark, d), max_iter=30).scores.select(
-        "row_id", "score")
+    return DT.robust_pca(line_features(spark, d)).scores.select("row_id", "score")

@@ -57,7 +57,7 @@ def _(spark, d):
 def _(spark, d):
     from veracell.plans.catalog_detect import line_features
     feats = line_features(spark, d)
-    ss = SC.stability(feats, DT.reconstruction_error, 0.05, runs=3)
+    ss = SC.stability(feats, DT.reconstruction_error, 0.05)
     return spark.createDataFrame([("autoencoder", ss)], "method string, stability double").select(
         "method", "stability", SC.stability_words(F.col("stability")).alias("interpretation"))
 
