@@ -23,9 +23,10 @@ from veracell.llm import textbatch as tb
 
 WINDOW = 8
 GAMMA = 1.04
-#: The smallest spread (q75 - q25) that a fence assumes, per measure, in shares.
+#: The smallest spread (q75 - q25) that a fence assumes, per measure, in shares. FENCE times that of
+#: repeat_share stays under the 0.30 of the base rule, so that a group's own fence can decide.
 MEASURES = {"symbol_share": 0.01, "upper_share": 0.04, "mark_share": 0.02,
-            "dup_line_share": 0.08, "repeat_share": 0.08, "stutter_share": 0.04}
+            "dup_line_share": 0.05, "repeat_share": 0.05, "stutter_share": 0.04}
 FENCE = 4.0
 MIN_GROUP = 200
 
