@@ -1,6 +1,7 @@
 """Session helpers: a local session for tests and the shared scratch folder of a cluster."""
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,14 +56,42 @@ def drop_scratch(spark: SparkSession) -> int:
     Call it when the results that were built on them are stored: DataFrames that still read a
     step fail afterwards.
     """
-    jvm, gone = spark.sparkContext._jvm, 0
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _handed_out:
-        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return drop_paths(spark, list(_handed_out))
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete folders; returns how many were there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(conf).delete(at, True))
+        if path in _handed_out:
+            _handed_out.remove(path)
     return gone
 
 
+class Steps:
+    """Written states of a loop: the present one and the one before it are kept, older ones go.
+
+    Shuffle files of finished rounds go too, once nothing refers to them: the JVM only looks for
+    such when it collects garbage, which a driver with little to do may not do for a long time.
+    """
+
+    def __init__(self, spark: SparkSession, keep: int = 2):
+        self.spark, self.keep, self.paths = spark, keep, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "loop")
+        df.write.parquet(path)
+        self.paths.append(path)
+        drop_paths(self.spark, self.paths[:-self.keep])
+        self.paths = self.paths[-self.keep:]
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
