@@ -275,9 +275,12 @@ def test_repeats(docs, rows):
     same(got(repeats.remove_repeats(docs.repartition(4))), brute.repeats(rows))
 
 
-def test_repeats_of_hot_anchors(spark, docs, rows):
+@pytest.mark.parametrize("options", [
+    {"hot": 1}, {"hot": 2}, {"hot": 1, "widths": (1,)}, {"hot": 3, "piece": 1000},
+    {"piece": 700}])
+def test_repeats_of_hot_anchors_and_in_pieces(docs, rows, options):
     want = {d: x for d, _, *x in brute.repeats(rows)}
-    starts = repeats.repeated_starts(docs, hot=1)
+    starts = repeats.repeated_starts(docs, **options)
     texts = docs.select("doc_id", "text", repeats.text_key(F.col("text")).alias("k")).select(
         "doc_id", "text", "k.h1", "k.h2").join(starts, ["h1", "h2"])
     for r in texts.collect():
@@ -286,6 +289,34 @@ def test_repeats_of_hot_anchors(spark, docs, rows):
             assert sum(b - a for a, b in spans) == want[r.doc_id][0]
 
 
+def test_a_passage_of_very_many_texts_is_split(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(520))
+    rows = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 60)))
+             + passage[i % 3:] + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 60))))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: x for d, _, x, *_ in brute.repeats(rows)}
+    for hot in (5, 40):
+        starts = repeats.repeated_starts(df, hot=hot)
+        found = {}
+        for r in df.select("doc_id", repeats.text_key(F.col("text")).alias("k")).select(
+                "doc_id", "k.h1", "k.h2").join(starts, ["h1", "h2"]).collect():
+            found[r.doc_id] = sum(b - a for a, b in repeats.removed_spans(
+                [(s.a, s.z) for s in r.starts], 400))
+        assert found == {d: n for d, n in want.items() if n}
+
+
+def test_repeats_of_other_lengths(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(got(repeats.remove_repeats(df, length=200)), brute.repeats(rows, 200))
+
+
+def test_repeats_with_names_of_its_own(docs, rows):
+    odd = docs.withColumns({c: F.lit(1) for c in ("row", "k", "__k", "__starts", "f", "found")})
+    assert repeats.without_repeats(odd).count() == len(rows)
+
+
 def test_repeats_at_random(spark):
     rng = random.Random(5)
     for alphabet in ("ab", "abcdefgh "):

@@ -10,11 +10,21 @@ the present order), and the common prefixes follow from those of the pass before
 order is that of the suffixes d bytes before the anchor; where the common prefix with a neighbour
 reaches 400, a repeated interval begins. Occurrences that cannot reach 400 any more leave.
 
+Surroundings that are equal as a whole settle each other when they are counted; only one of each
+goes on to be ordered. An anchor that still has more different surroundings than one task should
+hold is split by longer anchors: its windows are put into classes of 32, then 4, then single ones by
+their distance from the anchor, and the bytes that all windows of a class share become the anchor.
+At single windows equal surroundings are equal windows, so nothing is left to be ordered.
+
+What a text sends is one line for each bucket of keys, which the lines of the repeated keys of that
+bucket precede in a sorted stream; a key that very many texts hold is one entry there.
+
 Texts are compared once each: equal texts are collapsed by a 128-bit fingerprint, and a text of 400
-bytes or more that several rows have is removed whole in all of them.
+bytes or more that several rows have is removed whole in all of them. Long texts are worked through
+in overlapping pieces.
 
 Defined cases: a null text is empty; texts under 400 bytes are kept; repeated rows are copies of
-each other; an empty table gives no rows.
+each other; an empty table gives no rows; extra columns may have any names.
 """
 from __future__ import annotations
 
@@ -32,10 +42,15 @@ from veracell.llm.near_duplicates import Groups
 LENGTH = 400
 GRAM = 48
 _PLACE_BITS = np.uint64(28)
-#: Occurrences that one refinement takes at once.
-TOGETHER = 40_000
-#: Occurrences of one anchor beyond which its windows are told apart by fingerprint instead.
+#: Occurrences that one refinement takes at once, and rows of a slab inside it.
+TOGETHER = 30_000
+SLAB_ROWS = 4096
+#: Different surroundings of one anchor beyond which it is split by longer anchors, and the windows
+#: of a class at each turn.
 HOT_ANCHOR = 30_000
+WIDTHS = (32, 4, 1)
+#: Bytes of a text that are searched for anchors at once.
+PIECE = 1 << 20
 _FAR = -(1 << 30)
 
 
@@ -74,21 +89,218 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return keys[at[first]], doc[first], at[first], p[first], p[last]
 
 
-def _anchor_rows(length: int, gram: int):
+def _surroundings(prefix, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    """A fingerprint of the bytes around each anchor and of where in them it is."""
+    layout = (at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)
+    return tb.mix64(tb.span_hash(prefix, first, last + length) ^ tb.mix64(layout + np.uint64(1)))
+
+
+def _found_anchors(length: int, gram: int, piece: int = PIECE):
+    """(row, key, surroundings, place, first, last) of all anchors of a batch, some at a time."""
+    def run(b: pa.RecordBatch):
+        texts = tb.text_array(b.column(2))
+        for lo, hi in tb.slabs(texts):
+            data, offsets = tb.flat(texts.slice(lo, hi - lo))
+            if hi - lo > 1 or len(data) <= piece:
+                key, doc, at, first, last = anchors(data, offsets, length, gram)
+                f = _surroundings(tb.prefix_hash(data), at, first, last, length)
+                begin = offsets[doc]
+                yield lo + doc, key, f, at - begin, first - begin, last - begin
+                continue
+            # One long text: windows that begin in this piece; an anchor that goes on in the next
+            # piece waits for it.
+            held = None
+            for start in range(0, len(data) - length + 1, piece):
+                end = min(start + piece + length - 1, len(data))
+                key, _, at, first, last = anchors(
+                    data[start:end], np.array([0, end - start]), length, gram)
+                at, first, last = at + start, first + start, last + start
+                if held is not None:
+                    if len(at) and held[1] == at[0]:
+                        first[0] = held[2]
+                    else:
+                        key, at, first, last = (np.concatenate([[h], x]).astype(x.dtype)
+                                                for h, x in zip(held, (key, at, first, last)))
+                held = None
+                if end < len(data):
+                    held = key[-1], at[-1], first[-1], last[-1]
+                    key, at, first, last = key[:-1], at[:-1], first[:-1], last[:-1]
+                if len(key):
+                    base = int(first[0])
+                    f = _surroundings(tb.prefix_hash(data[base:end]), at - base, first - base,
+                                      last - base, length)
+                    yield np.full(len(key), lo), key, f, at, first, last
+    return run
+
+
+def _split_anchors(length: int, width: int):
+    """The same for the anchors that lines of texts name, split into classes of windows."""
+    def run(b: pa.RecordBatch):
+        texts, named = tb.text_array(b.column(2)), b.column(3)
+        count = np.diff(named.offsets.to_numpy())
+        cut = np.concatenate([[0], np.cumsum(count)])
+        flat = named.flatten()
+        all_key, *rest = (flat.field(i).to_numpy() for i in range(4))
+        all_at, all_first, all_last = (x.astype(np.int64) for x in rest)
+        for r in range(b.num_rows):
+            data, _ = tb.flat(texts.slice(r, 1))
+            for i in range(cut[r], cut[r + 1], 1024):
+                w = slice(i, min(i + 1024, cut[r + 1]))
+                key, at, first, last = (x[w] for x in (all_key, all_at, all_first, all_last))
+                near, far = (at - last) // width, (at - first) // width
+                of = np.repeat(np.arange(len(at)), far - near + 1)
+                c = np.arange(len(of)) - np.repeat(np.cumsum(far - near + 1) - (
+                    far - near + 1), far - near + 1) + near[of]
+                place = at[of] - c * width
+                a = np.maximum(first[of], place - width + 1)
+                z = np.minimum(last[of], place)
+                base, end = int(first.min()), int(last.max()) + length
+                prefix = tb.prefix_hash(data[base:end])
+                core = tb.span_hash(prefix, place - base, place - width + 1 + length - base)
+                new = tb.mix64(key[of].astype(np.uint64) + tb.mix64(
+                    c.astype(np.uint64) + np.uint64(77))) ^ core
+                yield (np.full(len(of), r), new, _surroundings(
+                    prefix, place - base, a - base, z - base, length), place, a, z)
+    return run
+
+
+def _flat_rows(find):
+    """One row per anchor, for counting: its key, its surroundings and which place it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = tb.text_array(b.column(2))
-            for lo, hi in tb.slabs(texts):
-                data, offsets = tb.flat(texts.slice(lo, hi - lo))
-                key, doc, at, first, last = anchors(data, offsets, length, gram)
-                rows = pa.array(lo + doc)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(key.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows),
-                    *[pa.array((x - offsets[doc]).astype(np.int32)) for x in (at, first, last)]],
-                    names=["key", "h1", "h2", "place", "first", "last"])
+            h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for row, key, f, place, _, _ in find(b):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(f.view(np.int64)),
+                     pa.array(_mark(h1[row], h2[row], place))], names=["key", "f", "m"])
+    return run
+
+
+_ENTRY = ("bucket", "kind", "h1", "h2", "key", "f", "place", "first", "last")
+ENTRY = "bucket long, kind int, h1 long, h2 long, key array<long>, f array<long>, " \
+        "place array<int>, first array<int>, last array<int>"
+
+
+def _packed(find, buckets: int):
+    """One line per text and bucket of keys, with all anchors of that bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, key, f, place, first, last in find(b):
+                if not len(row):
+                    continue
+                key = key.view(np.int64)
+                bucket = np.mod(key, buckets)
+                by = np.lexsort((bucket, row))
+                r, k = row[by], bucket[by]
+                head = np.flatnonzero(np.concatenate(
+                    [[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])]))
+                cut = pa.array(np.append(head, len(by)).astype(np.int32))
+                rows = pa.array(r[head])
+
+                def lists(x, kind):
+                    return pa.ListArray.from_arrays(cut, pa.array(x[by], kind))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[head]), pa.array(np.ones(len(head), np.int32)),
+                     b.column(0).take(rows), b.column(1).take(rows), lists(key, pa.int64()),
+                     lists(f.view(np.int64), pa.int64()), lists(place.astype(np.int32), pa.int32()),
+                     lists(first.astype(np.int32), pa.int32()),
+                     lists(last.astype(np.int32), pa.int32())], names=list(_ENTRY))
     return run
 
 
+#: What becomes of an anchor: its windows are repeated, it is ordered with others, or split.
+SETTLED, ORDERED, SPLIT = 0, 1, 2
+
+
+def _sorted_out(hot: int):
+    """Streams of a bucket: what was counted of its keys, then the lines of texts, of which the
+    anchors that matter are left, with what becomes of them."""
+    def flat(b: pa.RecordBatch, name: str) -> np.ndarray:
+        return b.column(_ENTRY.index(name)).flatten().to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, many, several = -1, [], None, None
+        for batch in batches:
+            code = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            cut = np.append(np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])),
+                            len(code)) if len(code) else np.zeros(1, np.int64)
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                b = batch.slice(int(lo), int(hi - lo))
+                bucket, kind = int(code[lo]) >> 1, int(code[lo]) & 1
+                if bucket != now:
+                    now, held, many = bucket, [], None
+                if kind == 0:
+                    held.append(b)
+                    continue
+                if many is None:
+                    many, several = _counted(held, flat)
+                yield from _judge(b, flat, many, several, hot)
+    return run
+
+
+def _counted(held: list[pa.RecordBatch], flat):
+    """(key, f, first of them) of surroundings found twice, and (key, how many) of keys with
+    several; both sorted."""
+    none = np.zeros(0, np.int64)
+    if not held:
+        return (none, none, none), (none, none)
+    key = np.concatenate([flat(b, "key") for b in held])
+    f = np.concatenate([flat(b, "f") for b in held])
+    a = np.concatenate([b.column(2).to_numpy() for b in held])
+    n = np.concatenate([b.column(3).to_numpy() for b in held])
+    twice, keys = n == 0, n > 0
+    by = np.argsort(_both(key[twice], f[twice]), kind="stable")
+    order = np.argsort(key[keys], kind="stable")
+    return tuple(x[twice][by] for x in (key, f, a)), (key[keys][order], n[keys][order])
+
+
+def _both(key: np.ndarray, f: np.ndarray) -> np.ndarray:
+    return tb.mix64(key.astype(np.uint64) ^ tb.mix64(f.astype(np.uint64)))
+
+
+def _mark(h1, h2, place) -> np.ndarray:
+    """One number for a place in a text."""
+    return tb.mix64(tb.mix64(h1.astype(np.uint64) ^ tb.mix64(h2.astype(np.uint64))) + place.astype(
+        np.uint64)).view(np.int64)
+
+
+def _judge(b: pa.RecordBatch, flat, many, several, hot: int) -> Iterator[pa.RecordBatch]:
+    key, f, place, first, last = (flat(b, c) for c in _ENTRY[4:])
+    count = np.diff(b.column(4).offsets.to_numpy())
+    row = np.repeat(np.arange(b.num_rows), count)
+    mark = _mark(b.column(2).to_numpy()[row], b.column(3).to_numpy()[row], place)
+    what = np.full(len(key), -1, np.int8)
+    two, first_mark = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    if len(many[0]):
+        pairs = _both(many[0], many[1])
+        at = np.minimum(np.searchsorted(pairs, _both(key, f)), len(pairs) - 1)
+        two = (many[0][at] == key) & (many[1][at] == f)
+        first_mark = two & (many[2][at] == mark)
+    if len(several[0]):
+        at = np.minimum(np.searchsorted(several[0], key), len(several[0]) - 1)
+        group = several[0][at] == key
+        go = group & (~two | first_mark)
+        what[go] = np.where(several[1][at[go]] > hot, SPLIT, ORDERED)
+    yield from _named(b, row, key, place, first, last, what, what >= 0)
+    yield from _named(b, row, key, place, first, last, np.full(len(key), SETTLED, np.int8), two)
+
+
+def _named(b, row, key, place, first, last, what, use) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(use)
+    if not len(at):
+        return
+    n = np.bincount(row[at], minlength=b.num_rows)
+    some = np.flatnonzero(n)
+    cut = pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32))
+    found = pa.StructArray.from_arrays(
+        [pa.array(key[at]), *(pa.array(x[at].astype(np.int32)) for x in (place, first, last)),
+         pa.array(what[at])], ["key", "place", "first", "last", "what"])
+    rows = pa.array(some)
+    yield pa.RecordBatch.from_arrays(
+        [b.column(2).take(rows), b.column(3).take(rows), pa.ListArray.from_arrays(cut, found)],
+        names=["h1", "h2", "found"])
+
+
 def _segments(length: int):
     """The bytes from the first window start to the end of the last window of each anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +338,21 @@ def refine(group: np.ndarray, segments: list[bytes], left: np.ndarray, late: np.
     sizes = np.fromiter(map(len, segments), np.int64, n)
     begin = np.cumsum(sizes) - sizes
     right = np.minimum(sizes - left, length)
-    at = (begin + left)[:, None] + np.arange(length)
-    rows = np.where(np.arange(length) < right[:, None], flat[np.minimum(at, len(flat) - 1)], 0)
-    rows = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8),
-                           rows.astype(np.uint8)], 1)
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{8 + length}").ravel(), kind="stable")
-    a, b = rows[order[:-1], 8:], rows[order[1:], 8:]
-    differs = a != b
-    lcp = np.where(differs.any(1), differs.argmax(1), length)
+    windows = np.lib.stride_tricks.sliding_window_view(
+        np.concatenate([flat, np.zeros(length, np.uint8)]), length)
+    rows = np.empty((n, 8 + length), np.uint8)
+    rows[:, :8] = group.astype(">u8").view(np.uint8).reshape(n, 8)
+    for i in range(0, n, SLAB_ROWS):
+        w = slice(i, i + SLAB_ROWS)
+        rows[w, 8:] = windows[(begin + left)[w]]
+        rows[w, 8:][np.arange(length) >= right[w, None]] = 0
+    order = np.argsort(rows.view(f"S{8 + length}").ravel(), kind="stable")
+    lcp = np.empty(max(n - 1, 0), np.int64)
+    for i in range(0, n - 1, SLAB_ROWS):
+        a, b = order[i:i + SLAB_ROWS + 1][:-1], order[i + 1:i + SLAB_ROWS + 1]
+        differs = rows[a[:len(b)], 8:] != rows[b, 8:]
+        lcp[i:i + SLAB_ROWS] = np.where(differs.any(1), differs.argmax(1), length)
+    del rows
     lcp = np.minimum(lcp, np.minimum(right[order[:-1]], right[order[1:]]))
     lcp[group[order[1:]] != group[order[:-1]]] = _FAR
     lcp = np.concatenate([[_FAR], lcp])  # with the one before
@@ -211,61 +430,68 @@ def _repeated(length: int):
     return run
 
 
-def _windows(length: int):
-    """Fingerprints of every window of an anchor with very many occurrences."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                data = np.frombuffer(b.column(6)[r].as_buffer(), np.uint8)
-                prefix = tb.prefix_hash(data)
-                p = np.arange(len(data) - length + 1)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(tb.span_hash(prefix, p, p + length).view(np.int64)),
-                    *[pa.array(np.full(len(p), b.column(c)[r].as_py())) for c in (0, 1, 2)],
-                    pa.array((b.column(4)[r].as_py() + p).astype(np.int32))],
-                    names=["window", "key", "h1", "h2", "p"])
-    return run
-
-
 def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
-                    gram: int = GRAM, hot: int = HOT_ANCHOR) -> DataFrame:
+                    gram: int = GRAM, hot: int = HOT_ANCHOR,
+                    widths: tuple[int, ...] = WIDTHS, piece: int = PIECE) -> DataFrame:
     """(h1, h2, starts) per distinct text with repeats: intervals [a, z] of window starts whose
     ``length`` bytes also begin elsewhere in the distinct texts."""
+    spark = docs.sparkSession
     long = docs.select(F.col(text_col).cast("string").alias("text")).where(
         F.octet_length("text") >= length).select(text_key(F.col("text")).alias("k"), "text").select(
         "k.h1", "k.h2", "text")
-    # Found anew for counting and for fetching: cheaper than holding a line for every anchor.
-    rows = long.select("h1", "h2", "text").mapInArrow(
-        _anchor_rows(length, gram), "key long, h1 long, h2 long, place int, first int, last int")
-    # Copies of a text give the same occurrence, which counts once.
-    mark = F.xxhash64("h1", "h2", "place")
-    # Written, so that it is counted once and the join below can split a hot key.
-    twice = cut_lineage(rows.groupBy("key").agg(
-        F.min(mark).alias("x"), F.max(mark).alias("y"), F.count(F.lit(1)).alias("n")).where(
-        "x <> y").select("key", "n"))
-    wanted = rows.join(twice, "key").groupBy("h1", "h2").agg(
-        F.collect_set(F.struct("key", "place", "first", "last", (F.col("n") > hot).alias(
-            "hot"))).alias("found"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = long.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     schema = "key long, h1 long, h2 long, place int, first int, last int, seg binary"
-    near = texts.join(wanted, ["h1", "h2"])
-    seg = near.select("h1", "h2", "text", F.filter("found", lambda x: ~x.hot).alias("f")).where(
-        F.size("f") > 0).mapInArrow(_segments(length), schema)
-    found = seg.repartition("key").sortWithinPartitions("key").mapInArrow(
-        _repeated(length), "h1 long, h2 long, a int, z int")
-    if not twice.where(F.col("n") > hot).isEmpty():
-        w = near.select("h1", "h2", "text", F.filter("found", lambda x: x.hot).alias("f")).where(
-            F.size("f") > 0).mapInArrow(_segments(length), schema).mapInArrow(
-            _windows(length), "window long, key long, h1 long, h2 long, p int")
-        mark = F.xxhash64("h1", "h2", "p")
-        more = w.groupBy("key", "window").agg(F.min(mark).alias("x"), F.max(mark).alias(
-            "y")).where("x <> y").select("key", "window")
-        found = found.unionByName(w.join(more, ["key", "window"]).select(
-            "h1", "h2", F.col("p").alias("a"), F.col("p").alias("z")))
+    found, source, find = None, long, _found_anchors(length, gram, piece)
+
+    def with_text(named: DataFrame, what: int) -> DataFrame:
+        mine = named.select("h1", "h2", F.filter("found", lambda x: x.what == what).alias(
+            "f")).where(F.size("f") > 0)
+        return texts.join(mine, ["h1", "h2"])
+
+    for width in (*widths, None):
+        named, split = _settle(source, find, buckets, hot)
+        settled = named.select("h1", "h2", F.explode(F.filter(
+            "found", lambda x: x.what == SETTLED)).alias("s")).select(
+            "h1", "h2", F.col("s.first").alias("a"), F.col("s.last").alias("z"))
+        ordered = with_text(named, ORDERED).mapInArrow(_segments(length), schema).repartition(
+            "key").sortWithinPartitions("key").mapInArrow(
+            _repeated(length), "h1 long, h2 long, a int, z int")
+        both = settled.unionByName(ordered)
+        found = both if found is None else found.unionByName(both)
+        if width is None or not split:
+            break
+        source, find = with_text(named, SPLIT), _split_anchors(length, width)
     return found.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias(
         "starts"))
 
 
+def _settle(source: DataFrame, find, buckets: int, hot: int) -> tuple[DataFrame, bool]:
+    """(h1, h2, found) lines of the anchors that matter, and whether any has to be split."""
+    # Anchors are found anew for counting and for fetching: cheaper than holding a line for each.
+    kinds = source.mapInArrow(_flat_rows(find), "key long, f long, m long").groupBy(
+        "key", "f").agg(F.min("m").alias("a"), F.max("m").alias("z"))
+    # Copies of a text give the same occurrence, which counts once.
+    twice = kinds.where(F.col("a") != F.col("z")).select(
+        "key", "f", "a", F.lit(0).cast("long").alias("n"))
+    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "key", F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("a"), "n")
+    # Written: read for its size and for the lines below; both parts read one exchange.
+    keys = cut_lineage(several.unionByName(twice))
+    none = F.array().cast("array<int>")
+    counted = keys.select(
+        F.pmod("key", F.lit(buckets)).alias("bucket"), F.lit(0).alias("kind"),
+        F.col("a").alias("h1"), F.col("n").alias("h2"), F.array("key").alias("key"),
+        F.array("f").alias("f"), *[none.alias(c) for c in _ENTRY[6:]])
+    lines = source.mapInArrow(_packed(find, buckets), ENTRY).unionByName(counted)
+    named = lines.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
+        _sorted_out(hot), "h1 long, h2 long, found array<struct<key: bigint, place: int, "
+                          "first: int, last: int, what: tinyint>>")
+    # Copies of a text sent equal lines.
+    once = named.groupBy("h1", "h2").agg(F.flatten(F.collect_set("found")).alias("found"))
+    return cut_lineage(once), not keys.where(F.col("n") > hot).isEmpty()
+
+
 def removed_spans(starts, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the windows of the sorted start intervals."""
     out: list[list[int]] = []
@@ -348,14 +574,16 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     starts = repeated_starts(docs, text_col, length)
     text = F.col(text_col).cast("string")
     long = F.coalesce(F.octet_length(text) >= length, F.lit(False))
-    # Short texts, of which very many may be equal, take no part in the join.
-    keyed = docs.where(long).withColumn("__k", text_key(text))
-    copies = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("__k.h1").alias("h1"), F.col("__k.h2").alias("h2"), F.lit(True).alias("copied"))
+    # Rows travel as one column, beside which no name can clash. Short texts, of which very many
+    # may be equal, take no part in the join.
+    keyed = docs.where(long).select(F.struct(*docs.columns).alias("row"), text_key(text).alias(
+        "k"), text.alias("text"))
+    copies = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.lit(True).alias("copied"))
     facts = starts.join(copies, ["h1", "h2"], "full").select(
-        F.struct("h1", "h2").alias("__k"), F.col("starts").alias("__starts"),
-        F.col("copied").alias("__copied"))
-    kept = F.when(F.col("__copied"), F.lit("")).when(F.col("__starts").isNull(), text).otherwise(
-        cut_text(text, F.col("__starts"), length))
-    cut = keyed.join(facts, "__k", "left").withColumn(text_col, kept).select(*docs.columns)
+        F.struct("h1", "h2").alias("k"), "starts", "copied")
+    kept = F.when(F.col("copied"), F.lit("")).when(F.col("starts").isNull(), F.col("text")).otherwise(
+        cut_text(F.col("text"), F.col("starts"), length))
+    cut = keyed.join(facts, "k", "left").select(F.col("row").withField(text_col, kept).alias(
+        "row")).select("row.*")
     return cut.unionByName(docs.where(~long))
