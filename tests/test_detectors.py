@@ -127,3 +127,46 @@ def test_registry():
     assert DT.contamination_level(None, 0.5) == 0.2
     assert DT.contamination_level(None, None) == 0.05
     assert DT.penalty("lof", 200_000, 5) == 0.4
+
+
+def _brute_near(x, q, k):
+    d = np.sqrt(((x[q][:, None, :] - x[None]) ** 2).sum(-1))
+    d[np.arange(len(q)), q] = np.inf
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def test_matrix_search_equals_plain_distances(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 6)) + 1e4  # far from the origin, where squares cancel
+    x[500:520] = x[3]
+    feats = points(spark, x)
+    for block in (64, 2048):
+        got = knn.edges(feats, 5, block).toPandas().sort_values(["row_id", "rank"])
+        d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        want = np.sort(d, axis=1)[:, :5]
+        np.testing.assert_allclose(got["distance"].to_numpy().reshape(-1, 5), want, rtol=1e-12)
+
+
+def test_hashed_neighbours_reach_the_recall(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16)) * 3
+    x = centres[rng.integers(0, 60, 12_000)] + rng.normal(size=(12_000, 16)) @ (
+        np.eye(16) * np.r_[np.ones(4), np.full(12, .2)])
+    feats = points(spark, x)
+    q = np.arange(0, 12_000, 60)
+    asked = spark.createDataFrame([(int(i),) for i in q], "row_id long")
+    near = knn.neighbours(feats, 10, only=asked, index="hashed").select("pid", "near").collect()
+    want = dict(zip(q.tolist(), _brute_near(x, q, 10)))
+    hit = sum(len({s["pid"] for s in r["near"]} & set(want[r["pid"]].tolist())) for r in near)
+    assert hit >= 0.9 * 10 * len(q)
+
+
+def test_hashed_neighbours_of_one_hot_code(spark):
+    x = np.concatenate([np.random.default_rng(1).normal(size=(3000, 3)) * 1e-6,
+                        [[5.0, 5, 5], [5, 5, 6]]])
+    near = knn.neighbours(points(spark, x), 3, block=256, index="hashed").collect()
+    assert len(near) == 3002
+    far = {r["pid"]: [s["pid"] for s in r["near"]] for r in near}
+    assert 3001 in far[3000] and 3000 in far[3001]
+    assert all(len(v) >= 1 for v in far.values())

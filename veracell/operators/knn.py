@@ -1,20 +1,28 @@
-"""Exact k-nearest-neighbour join (Euclidean) on ``(row_id, x)`` tables.
+"""k-nearest-neighbour joins (Euclidean) on ``(row_id, x)`` tables: an exact and a bounded one.
 
 Equal vectors are collapsed to one point with a weight, so hot copies cost one line. Points are
 cut into blocks of bounded size: nearest pivot first, then rings of the distance to it. A first
 round inside each block bounds every query's k-th distance; the triangle inequality then says
 which other blocks may hold a nearer point, and only those are searched. Each task compares one
-bounded block with one bounded slice of queries in NumPy and emits at most k lines a query.
+bounded block with one bounded slice of queries by a matrix product, which picks the points whose
+exact distances are then taken, and emits at most k lines a query.
+
+In high dimensions with little structure the exact join tends to all block pairs. The hashed join
+(``index="hashed"``) is for those: every point gets a code of hyperplane sides in each of some
+tables, and a query is compared with the points of its own code and of the codes that differ from
+it at its nearest hyperplanes. Codes of too many points are sliced. A row costs the same number of
+comparisons whatever the table's size; the price is a recall below one.
 """
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from veracell.functions.joins import join_group_facts
+from veracell.functions.arrow import matrix
+from veracell.functions.joins import join_group_facts, join_lines
 from veracell.functions.session import cut_lineage
 
 BLOCK = 2048
@@ -40,15 +48,15 @@ def _pivots(points: DataFrame, n: int, block: int) -> np.ndarray:
 
 
 def _nearest_pivot(pivots: np.ndarray):
-    @F.pandas_udf("struct<pivot:int,dist:double>")
-    def assign(x: pd.Series) -> pd.DataFrame:
-        m = np.array(x.tolist(), dtype=float)
-        best, dist = np.zeros(len(m), dtype=int), np.full(len(m), np.inf)
+    @F.arrow_udf("struct<pivot:int,dist:double>")
+    def assign(x: pa.Array) -> pa.Array:
+        m = matrix(x)
+        best, dist = np.zeros(len(m), dtype=np.int32), np.full(len(m), np.inf)
         for i, p in enumerate(pivots):
             d = np.sqrt(((m - p) ** 2).sum(axis=1))
             hit = d < dist
             best[hit], dist[hit] = i, d[hit]
-        return pd.DataFrame({"pivot": best.astype("int32"), "dist": dist})
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(dist)], ["pivot", "dist"])
     return assign
 
 
@@ -93,35 +101,40 @@ def _blocks(points: DataFrame, pivots: np.ndarray, block: int) -> tuple[DataFram
 PAIR_SCHEMA = "qid {id}, pid {id}, d double, w long"
 
 
-def _top(dist: np.ndarray, weights: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the nearest points, in (distance, id) order, until their weights reach k."""
-    limit = min(len(dist), k)
-    if limit < len(dist):
-        edge = np.partition(dist, limit - 1)[limit - 1]
-        near = np.flatnonzero(dist <= edge)
-    else:
-        near = np.arange(len(dist))
-    near = near[np.lexsort((ids[near], dist[near]))]
-    reach = np.cumsum(weights[near])
-    return near[:np.searchsorted(reach, k) + 1]
+#: Distances held at once.
+CELLS = 1 << 21
 
 
 def _search(k: int):
     """Compare one slice of queries with one block of points."""
-    def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({"qid": [], "pid": [], "d": [], "w": []})
-        p = np.array(points["px"].tolist(), dtype=float)
-        pid, w = points["pid"].to_numpy(), points["w"].to_numpy()
-        out_q, out_p, out_d, out_w = [], [], [], []
-        for qid, x in zip(queries["qid"].to_numpy(), queries["x"]):
-            dist = np.sqrt(((p - np.asarray(x, dtype=float)) ** 2).sum(axis=1))
-            keep = _top(dist, w, pid, k)
-            out_q.extend([qid] * len(keep))
-            out_p.extend(pid[keep])
-            out_d.extend(dist[keep])
-            out_w.extend(w[keep])
-        return pd.DataFrame({"qid": out_q, "pid": out_p, "d": out_d, "w": out_w})
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        pid, weight = points.column("pid").combine_chunks(), points.column("w").to_numpy()
+        p, q = matrix(points.column("px")), matrix(queries.column("x"))
+        found = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if len(p) and len(q):
+            rank = np.argsort(np.argsort(pid.to_numpy(zero_copy_only=False), kind="stable"))
+            limit, step = min(k, len(p)), max(1, CELLS // len(p))
+            middle = p.mean(0)  # keeps the products small
+            pc, pn = p - middle, ((p - middle) ** 2).sum(1)
+            for lo in range(0, len(q), step):
+                part = q[lo:lo + step]
+                qc = part - middle
+                qn = (qc ** 2).sum(1)
+                d2 = qn[:, None] + pn - 2 * (qc @ pc.T)
+                edge = np.partition(d2, limit - 1, axis=1)[:, limit - 1]
+                i, j = np.nonzero(d2 <= (edge + 1e-9 * (qn + pn.max()))[:, None])
+                dist = np.sqrt(((p[j] - part[i]) ** 2).sum(axis=1))
+                by = np.lexsort((rank[j], dist, i))
+                i, j, dist = i[by], j[by], dist[by]
+                # In the order of distance and id, until the weights reach k.
+                reach = np.cumsum(weight[j]) - weight[j]
+                keep = reach - reach[np.searchsorted(i, i)] < k
+                for out, v in zip(found, (lo + i[keep], j[keep], dist[keep])):
+                    out.append(v)
+        i, j, dist = map(np.concatenate, found)
+        return pa.table({"qid": queries.column("qid").combine_chunks().take(pa.array(i)),
+                         "pid": pid.take(pa.array(j)), "d": pa.array(dist),
+                         "w": pa.array(weight[j], pa.int64())})
     return run
 
 
@@ -132,41 +145,62 @@ def _visits(pivots: np.ndarray, lines: list, own: bool):
     inner = np.array([r["inner"] for r in lines])
     outer = np.array([r["outer"] for r in lines])
 
-    @F.pandas_udf("array<string>")
-    def visits(x: pd.Series, bound: pd.Series, home: pd.Series) -> pd.Series:
-        m = np.array(x.tolist(), dtype=float)
-        out = []
-        for v, b, h in zip(m, bound.to_numpy(dtype=float), home.to_numpy(dtype=object)):
-            d = np.sqrt(((pivots - v) ** 2).sum(axis=1))[pivot]
+    @F.arrow_udf("array<string>")
+    def visits(x: pa.Array, bound: pa.Array, home: pa.Array) -> pa.Array:
+        m = matrix(x)
+        limit = bound.fill_null(float("inf")).to_numpy(zero_copy_only=False)
+        homes = home.to_numpy(zero_copy_only=False)
+        to_pivot = np.stack([np.sqrt(((m - p) ** 2).sum(axis=1)) for p in pivots], 1) if len(
+            m) else np.zeros((0, len(pivots)))
+        counts, names = [0], []
+        for i in range(len(m)):
+            d = to_pivot[i][pivot]
             least = np.maximum(np.maximum(inner - d, d - outer), 0.0)
-            b = np.inf if np.isnan(b) else b
-            need = least <= b * (1 + 1e-12) + 1e-12
+            need = least <= limit[i] * (1 + 1e-12) + 1e-12
             if own:
-                need &= block != h
-            out.append(block[need].tolist())
-        return pd.Series(out)
+                need &= block != homes[i]
+            names.append(np.flatnonzero(need))
+            counts.append(counts[-1] + len(names[-1]))
+        flat = np.concatenate(names) if names else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(
+            block[flat].tolist(), pa.string()))
     return visits
 
 
-def _cogroup(queries: DataFrame, points: DataFrame, k: int, id_type: str, block: int) -> DataFrame:
-    """Search (block, qid, x) in (block, pid, x, w); hot blocks get several query slices."""
+def _cogroup(queries: DataFrame, points: DataFrame, k: int, id_type: str, block: int,
+             lines: int | None = None) -> DataFrame:
+    """Search (block, qid, x) in (block, pid, x, w); hot blocks get several query slices.
+
+    ``lines`` is the number of query lines where the blocks are not bounded by ``MAX_BLOCKS``.
+    """
     loads = queries.groupBy("block").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block / 2.0)).cast("int").alias("slices"))
-    q = queries.join(F.broadcast(loads), "block").withColumn(
+    if lines is None:
+        with_loads = queries.join(F.broadcast(loads), "block")
+    else:
+        loads = cut_lineage(loads)
+        with_loads = join_lines(queries, loads, "block", lines)
+    q = with_loads.withColumn(
         "slice", F.pmod(F.xxhash64("qid"), F.col("slices").cast("long")).cast("int")) \
         .select("block", "slice", "qid", "x")
-    p = points.join(F.broadcast(loads), "block").withColumn(
+    p = points.join(F.broadcast(loads) if lines is None else loads, "block").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))) \
         .select(F.col("block").alias("pblock"), F.col("slice").alias("pslice"),
                 F.col("pid").alias("pid"), F.col("x").alias("px"), F.col("w").alias("w"))
-    return q.groupBy("block", "slice").cogroup(p.groupBy("pblock", "pslice")).applyInPandas(
+    return q.groupBy("block", "slice").cogroup(p.groupBy("pblock", "pslice")).applyInArrow(
         _search(k), PAIR_SCHEMA.format(id=id_type))
 
 
-def _merge(pairs: DataFrame, k: int) -> DataFrame:
-    """Nearest points per query from block results, until their weights reach k."""
-    line = F.struct("d", "pid", "w")
-    grouped = pairs.groupBy("qid").agg(F.array_sort(F.collect_list(line)).alias("c"))
+def _merge(pairs: DataFrame, k: int, times: int = 1) -> DataFrame:
+    """Nearest points per query from block results, until their weights reach k.
+
+    Every point weighs one or more, so the k nearest lines are enough; a point may come ``times``
+    times. Each task keeps that many lines of a query before anything is shuffled.
+    """
+    order = Window.partitionBy("qid").orderBy("d", "pid")
+    top = pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k * times)
+    grouped = top.groupBy("qid").agg(F.array_distinct(F.array_sort(F.collect_list(
+        F.struct("d", "pid", "w")))).alias("c"))
     start = F.struct(F.lit(0).cast("long").alias("sum"),
                      F.array().cast(grouped.schema["c"].dataType).alias("keep"))
     kept = F.aggregate("c", start, lambda a, s: F.when(a["sum"] >= k, a).otherwise(F.struct(
@@ -174,19 +208,21 @@ def _merge(pairs: DataFrame, k: int) -> DataFrame:
     return grouped.select("qid", kept["keep"].alias("c"))
 
 
-def neighbours(rows: DataFrame, k: int, block: int = BLOCK,
-               only: DataFrame | None = None) -> DataFrame:
+def neighbours(rows: DataFrame, k: int, block: int = BLOCK, only: DataFrame | None = None,
+               index: str = "exact") -> DataFrame:
     """(pid, near) of each distinct point: near = array of (d, pid, w), other points by distance
     whose weights, after the point's own other copies, add up to at least k rows.
 
-    ``only`` (row_id) limits the points asked about, not the points searched.
+    ``only`` (row_id) limits the points asked about, not the points searched. ``index`` is
+    "exact" or "hashed".
     """
     points = cut_lineage(distinct_points(rows))
     asked = points
     if only is not None:
         asked = points.join(rows.join(only.select("row_id"), "row_id", "left_semi")
                             .select("x").distinct(), "x")
-    found = nearest(asked.select(F.col("pid").alias("qid"), "x"), points, k + 1, block)
+    find = {"exact": nearest, "hashed": nearest_hashed}[index]
+    found = find(asked.select(F.col("pid").alias("qid"), "x"), points, k + 1, block)
     own = points.select(F.col("pid").alias("qid"), (F.col("w") - 1).alias("copies"), "x", "w")
     joined = found.join(own, "qid")
     others = F.filter("c", lambda s: s.pid != F.col("qid"))
@@ -205,14 +241,15 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -
     """
     id_type = points.schema["pid"].dataType.simpleString()
     n = points.count()
+    if n <= block:  # one block, which each slice of the queries meets as a whole
+        asked = queries.select(F.lit("0").alias("block"), "qid", "x")
+        return _merge(_cogroup(asked, points.select(
+            F.lit("0").alias("block"), "pid", "x", "w"), k, id_type, block), k)
     block = max(block, math.ceil(n / MAX_BLOCKS))  # keeps the list of blocks bounded
     pivots = _pivots(points, n, block)
     placed, lines = _blocks(points, pivots, block)
-    home = queries.withColumn("a", _nearest_pivot(pivots)("x")) if len(lines) > 1 else None
+    home = queries.withColumn("a", _nearest_pivot(pivots)("x"))
     blocks = placed.select("block", "pid", "x", "w")
-    if home is None:
-        only = queries.withColumn("block", F.lit(lines[0]["block"]))
-        return _merge(_cogroup(only, blocks, k, id_type, block), k)
     # round one: the fullest block of the query's pivot bounds its k-th distance
     best = {}
     for r in lines:
@@ -232,6 +269,79 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -
     return _merge(one.unionByName(two), k)
 
 
+TABLES, PROBES, LEAF = 8, 4, 512
+
+
+def _planes(points: DataFrame, n: int, tables: int, leaf: int, seed: int):
+    """Normals and offsets of the hyperplanes of each table: midway between two sampled points.
+
+    The sample grows with the logarithm of n: two points a plane.
+    """
+    bits = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
+    rows = points.select(F.xxhash64(F.lit(seed), "x").alias("h"), "x").orderBy("h").limit(
+        2 * bits * tables).collect()
+    x = np.array([r["x"] for r in rows], dtype=float)
+    if not bits or len(x) < 2:
+        return np.zeros((tables, 0, x.shape[1] if x.ndim == 2 else 0)), np.zeros((tables, 0))
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, len(x), (tables, bits))
+    b = (a + rng.integers(1, len(x), (tables, bits))) % len(x)
+    normal = x[a] - x[b]
+    length = np.sqrt((normal ** 2).sum(-1, keepdims=True))
+    normal /= np.where(length > 0, length, 1)
+    return normal, (normal * (x[a] + x[b]) / 2).sum(-1)
+
+
+def _codes(normal: np.ndarray, offset: np.ndarray, probes: int):
+    """Codes table * 2**bits + sides of every vector, and of those across its nearest planes."""
+    tables, bits = offset.shape
+
+    @F.arrow_udf("array<bigint>")
+    def codes(x: pa.Array) -> pa.Array:
+        m = matrix(x)
+        across = min(probes, bits)
+        out = np.zeros((len(m), tables, 1 + across), np.int64)
+        power = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for t in range(tables if len(m) else 0):
+            far = m @ normal[t].T - offset[t]
+            own = ((far > 0) * power).sum(1) + (np.int64(t) << bits)
+            out[:, t, 0] = own
+            near = np.argsort(np.abs(far), axis=1, kind="stable")[:, :across]
+            out[:, t, 1:] = own[:, None] ^ power[near]
+        flat = out.reshape(len(m), -1)
+        cut = np.arange(len(m) + 1, dtype=np.int32) * np.int32(flat.shape[1])
+        return pa.ListArray.from_arrays(pa.array(cut), pa.array(flat.ravel()))
+    return codes
+
+
+def nearest_hashed(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK,
+                   tables: int = TABLES, probes: int = PROBES, leaf: int = LEAF,
+                   seed: int = 42) -> DataFrame:
+    """Like ``nearest``, approximately: (qid, c) from ``tables * (probes + 1)`` codes a query.
+
+    A code of more points than a block is sliced by a hash, and a query looks into one slice, so
+    that its cost stays bounded; among the very many points of one code all are about as near.
+    """
+    id_type = points.schema["pid"].dataType.simpleString()
+    n, m = points.count(), queries.count()
+    normal, offset = _planes(points, n, tables, leaf, seed)
+    across = 1 + min(probes, offset.shape[1])
+    coded = points.withColumn("code", F.explode(_codes(normal, offset, 0)("x")))
+    sizes = cut_lineage(coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(
+        block))).cast("long").alias("cuts")).where("cuts > 1"))
+
+    def name(rows: DataFrame, lines: int) -> DataFrame:
+        cut = F.pmod(F.xxhash64("x", F.lit(5)), F.coalesce("cuts", F.lit(1).cast("long")))
+        return join_lines(rows, sizes, "code", lines, "left").withColumn(
+            "block", F.concat_ws("/", "code", cut))
+
+    asked = cut_lineage(name(queries.withColumn("code", F.explode(_codes(
+        normal, offset, probes)("x"))), m * tables * across).select("block", "qid", "x"))
+    pairs = _cogroup(asked, name(coded, n * tables).select("block", "pid", "x", "w"), k, id_type,
+                     block, m * tables * across)
+    return _merge(pairs, k, tables * across)
+
+
 def edges(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Row-level neighbour list (row_id, rank, neighbour_id, distance), ties by id.
 
