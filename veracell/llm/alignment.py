@@ -40,8 +40,8 @@ from veracell.llm import textbatch as tb
 COMMON = 1 << 19
 #: Characters worked through at once, and those that a task keeps the results of.
 PIECE = 1 << 20
-KEPT_UNITS = 300_000
-KEPT_CHARS = 1 << 24
+KEPT_UNITS = 500_000
+KEPT_CHARS = 1 << 23
 _SPLIT = re.compile(r" (?=\S)(?<!\s )")
 
 
@@ -201,6 +201,10 @@ class Aligner:
         cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=n))])
         self._keep(parts, facts, texts, cut, np.stack([pair, times]))
 
+    def make_room(self) -> None:
+        if len(self.groups) > KEPT_UNITS or self.chars > KEPT_CHARS:
+            self.clear()
+
     def look_up(self, parts: list[str]) -> np.ndarray:
         new = [p for p in dict.fromkeys(parts) if p not in self.at]
         if new:
@@ -245,7 +249,11 @@ def _linked(of, first_a, na, first_b, nb, a, b, n_b):
 
 
 def _summed_pairs(part, pair, times):
-    order = np.lexsort((pair, part))
+    """Equal (part, pair) once, sorted, with the sums of their times."""
+    if int(pair.max(initial=0)) < 1 << 32 and int(part.max(initial=0)) < 1 << 31:
+        order = np.argsort((part << 32) | pair)
+    else:
+        order = np.lexsort((pair, part))
     part, pair, times = part[order], pair[order], times[order]
     first = np.flatnonzero(np.concatenate(
         [[True], (part[1:] != part[:-1]) | (pair[1:] != pair[:-1])]))
@@ -276,12 +284,11 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
 
 
 def _text_facts(al: Aligner, text: str, piece: int):
-    """(facts, groups, pairs, times) of one text."""
+    """(facts, groups, pairs, times) of one long text, part by part."""
     facts, groups = np.zeros(5, np.int64), []
     pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for parts in al.segments(text, piece):
-        if len(al.groups) > KEPT_UNITS or al.chars > KEPT_CHARS:
-            al.clear()
+        al.make_room()
         at = al.look_up(parts)
         facts += al.facts[at].sum(0)
         if facts[4]:
@@ -294,6 +301,36 @@ def _text_facts(al: Aligner, text: str, piece: int):
     return facts, ";".join(groups), pairs, times
 
 
+def _facts(al: Aligner, texts: list[str], piece: int) -> list[tuple]:
+    """The same of some texts of together about ``piece`` characters at once."""
+    if len(texts) == 1 and len(texts[0]) > piece:
+        return [_text_facts(al, texts[0], piece)]
+    al.make_room()
+    parts = [next(al.segments(t, 2 * piece + 2)) if t else [] for t in texts]
+    size = np.array([len(p) for p in parts])
+    at = al.look_up(list(chain.from_iterable(parts)))
+    doc = np.repeat(np.arange(len(texts)), size)
+    facts = np.stack([np.bincount(doc, al.facts[at, c], len(texts)) for c in range(5)], 1).astype(
+        np.int64)
+    failed = facts[:, 4] > 0
+    facts[failed] = 0
+    ends = np.cumsum(size)
+    names, start, groups = [al.groups[i] for i in at.tolist()], 0, []
+    for end, bad in zip(ends.tolist(), failed.tolist()):
+        groups.append("" if bad else ";".join(names[start:end]))
+        start = end
+    use = ~failed[doc]
+    key, n = np.unique(doc[use] * np.int64(len(al.groups)) + at[use], return_counts=True)
+    owner, unit = np.divmod(key, np.int64(len(al.groups) or 1))
+    row, where = _ragged(unit, al.cut)
+    pair, times = al.links[:, where]
+    if len(pair):
+        owner, pair, times = _summed_pairs(owner[row], pair, times * n[row])
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [(facts[i], groups[i], pair[cut[i]:cut[i + 1]], times[cut[i]:cut[i + 1]])
+            for i in range(len(texts))]
+
+
 SCHEMA = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, " \
          "times array<long>"
 
@@ -320,13 +357,9 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
         for b in batches:
-            held, size, start = [], 0, 0
-            for r, text in enumerate(b.column(1)):
-                held.append(_text_facts(al, text.as_py() or "", piece))
-                size += len(held[-1][1]) + 16 * len(held[-1][2])
-                if size > 1 << 23 or r + 1 == b.num_rows:
-                    yield give(b.column(0).slice(start, r + 1 - start), held)
-                    held, size, start = [], 0, r + 1
+            for lo, hi in tb.slabs(tb.text_array(b.column(1)), piece):
+                texts = [t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]
+                yield give(b.column(0).slice(lo, hi - lo), _facts(al, texts, piece))
         tb.hand_back()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
