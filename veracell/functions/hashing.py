@@ -1,6 +1,7 @@
 """Repeatable random draws and fingerprints from row keys, stable under task retries."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -27,3 +28,11 @@ def fingerprint(*cols) -> Column:
     return F.struct(
         F.xxhash64(F.lit(11), *parts).alias("h1"), F.xxhash64(F.lit(29), *parts).alias("h2")
     )
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit values, for draws inside tasks."""
+    x = x.astype(np.uint64)
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))

@@ -4,6 +4,8 @@ Each keeps only bounded models on the driver: tree nodes, d x d matrices, a ladd
 """
 from __future__ import annotations
 
+import base64
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,12 +13,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from veracell.functions.arrow import arrays, matrix
-from veracell.functions.hashing import unit_hash
+from veracell.functions.hashing import scramble
 from veracell.functions.joins import join_lines
-from veracell.functions.session import cut_lineage
+from veracell.functions.session import Steps, cut_lineage
 from veracell.operators import knn
 from veracell.operators.features import eigen, gram_matrix
 from veracell.operators.quantiles import quantiles
@@ -82,31 +85,94 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> list[tuple]:
     return nodes
 
 
-def forest(feats: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42) \
-        -> tuple[pd.DataFrame, int]:
-    """Node table of an isolation forest; every tree sees a hash-drawn sample of bounded size."""
-    n = feats.count()
-    psi = min(sample, n)
-    key = F.col("row_id").cast("string")
-    extra = 1.0 if psi == n else 1.25
-    want = trees * psi * extra
-    if n > want:
-        pool = feats.where(unit_hash(key, seed=seed) < want / n).withColumn(
-            "tree", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        each = feats.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        pool = each.where(unit_hash(key, F.col("tree"), seed=seed) < psi * extra / n) \
-            if psi < n else each
-    pool = pool.withColumn("draw", unit_hash(key, F.col("tree"), seed=seed + 2))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.sort_values(["draw"], kind="stable").head(psi)
-        x = np.array(part["x"].tolist(), dtype=float)
-        return pd.DataFrame(_grow(int(pdf["tree"].iloc[0]), x, seed),
-                            columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
-
-    nodes = pool.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()
-    return nodes.sort_values(["tree", "node"], ignore_index=True), psi
+#: Lines that bring sampled rows to the trees are put together by so many groups of trees.
+TREE_GROUPS = 64
+
+
+def forest(feats: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
+           weights: str | None = None, sizes: list[int] | None = None) \
+        -> tuple[pd.DataFrame, int | list[int]]:
+    """Node table of an isolation forest; each tree sees the ``psi`` rows with the smallest draws.
+
+    A row's draw for a tree is a hash of both, so the sample of a tree is a bottom-k sample, which
+    partitions could merge in any order; only draws under a bound that nearly always leaves enough
+    are sent, and the bound is widened until every tree has its rows. ``weights`` names an array
+    of row counts per replicate (``sizes``: rows of each replicate); then there is a forest for
+    each, numbered on, in which every copy of a row draws anew.
+    """
+    n = [feats.count()] if sizes is None else sizes
+    psi = [min(sample, m) for m in n]
+    rows = feats.select(F.xxhash64(F.col("row_id").cast("string"), F.lit(seed)).alias("h"), "x",
+                        F.array(F.lit(1)).alias("w") if weights is None else F.col(weights).alias(
+                            "w"))
+    groups = min(TREE_GROUPS, trees)
+
+    def draws(h: np.ndarray, w: np.ndarray, slack: float):
+        """(row, tree, draw) of the draws under the bound."""
+        out = ([], [], [])
+        for r in range(len(n)):
+            bound = min(1.0, (psi[r] + slack * (math.sqrt(psi[r]) + 3)) / max(n[r], 1))
+            copies = np.repeat(np.arange(len(h)), w[:, r])
+            copy = np.arange(len(copies)) - np.searchsorted(copies, copies)
+            own = scramble(h[copies] + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for t in range(trees):
+                v = scramble(own ^ scramble(np.array([r * trees + t + 1], np.uint64)))
+                hit = np.flatnonzero(v <= np.uint64(min(int(bound * 2 ** 64), 2 ** 64 - 1)))
+                for o, x in zip(out, (copies[hit], np.full(len(hit), r * trees + t), v[hit])):
+                    o.append(x)
+        return tuple(map(np.concatenate, out))
+
+    def send(slack: float):
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                row, tree, v = draws(b.column(0).to_numpy().view(np.uint64), matrix(b.column(2))
+                                     .astype(np.int64), slack)
+                by = np.lexsort((row, tree % groups))
+                row, tree, v = row[by], tree[by], v[by]
+                g = tree % groups
+                cut = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (
+                    row[1:] != row[:-1])])) if len(row) else np.zeros(0, np.int64)
+                ends = pa.array(np.append(cut, len(row)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g[cut].astype(np.int32)), b.column(1).take(pa.array(row[cut])),
+                     pa.ListArray.from_arrays(ends, pa.array(tree.astype(np.int32))),
+                     pa.ListArray.from_arrays(ends, pa.array(v.view(np.int64)))],
+                    ["g", "x", "tree", "draw"])
+        return run
+
+    def build(t: pa.Table) -> pa.Table:
+        x = matrix(t.column("x"))
+        lists = t.column("tree").combine_chunks()
+        row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+        tree = lists.flatten().to_numpy()
+        draw = t.column("draw").combine_chunks().flatten().to_numpy().view(np.uint64)
+        by = np.lexsort((draw, tree))
+        row, tree = row[by], tree[by]
+        nodes = []
+        for k in np.unique(tree).tolist():
+            lo = np.searchsorted(tree, k)
+            own = row[lo:np.searchsorted(tree, k, "right")][:psi[k // trees]]
+            if len(own) < psi[k // trees]:
+                nodes.append((k, -1, -1, 0.0, -1, -1, 0.0))
+            nodes += _grow(k, x[own], seed)
+        columns = list(zip(*nodes))
+        return pa.table({f: pa.array(c, kind) for f, c, kind in zip(
+            ("tree", "node", "feature", "cut", "left", "right", "depth"), columns,
+            (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(),
+             pa.float64()))})
+
+    slack = 6.0
+    while True:
+        pool = rows.select("h", "x", "w").mapInArrow(
+            send(slack), "g int, x array<double>, tree array<int>, draw array<long>")
+        nodes = pool.groupBy("g").applyInArrow(build, NODE_SCHEMA).toPandas()
+        if not (nodes["node"] < 0).any() and nodes["tree"].nunique() == trees * len(n):
+            break
+        slack *= 8
+    nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
+    return nodes, psi[0] if sizes is None else psi
 
 
 def split_shares(nodes: pd.DataFrame, d: int) -> list[float]:
@@ -116,23 +182,21 @@ def split_shares(nodes: pd.DataFrame, d: int) -> list[float]:
     return [float(used.get(i, 0)) / total for i in range(d)]
 
 
-def isolation_forest(feats: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
-                     **_) -> Detection:
-    nodes, psi = forest(feats, trees, sample, seed)
+def _path_score(feats: DataFrame, nodes: pd.DataFrame, psi: list[int], trees: int):
+    """A UDF of x: the score under each forest of the node table, as an array."""
     starts = np.searchsorted(nodes["tree"].to_numpy(), np.unique(nodes["tree"].to_numpy()))
     base = np.repeat(starts, np.diff(np.append(starts, len(nodes))))
     feature, cut = nodes["feature"].to_numpy(), nodes["cut"].to_numpy()
     left, right = nodes["left"].to_numpy() + base, nodes["right"].to_numpy() + base
     depth = nodes["depth"].to_numpy(dtype=float)
-    norm, n_trees = _mean_path(psi) or 1.0, len(starts)
     model = feats.sparkSession.sparkContext.broadcast((starts, feature, cut, left, right, depth))
 
-    @F.pandas_udf("double")
-    def raw_score(x: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def raw_score(x: pa.Array) -> pa.Array:
         roots, fe, cu, le, ri, de = model.value
-        m = np.array(x.tolist(), dtype=float)
-        total = np.zeros(len(m))
-        for root in roots:
+        m = matrix(x)
+        total = np.zeros((len(m), len(psi)))
+        for i, root in enumerate(roots):
             at = np.full(len(m), root)
             moving = np.arange(len(m))
             while len(moving):
@@ -142,11 +206,18 @@ def isolation_forest(feats: DataFrame, trees: int = 200, sample: int = 256, seed
                     break
                 node = at[moving]
                 at[moving] = np.where(m[moving, f] <= cu[node], le[node], ri[node])
-            total += de[at]
-        return pd.Series(2.0 ** (-(total / n_trees) / norm))
+            total[:, i // trees] += de[at]
+        norm = np.array([_mean_path(p) or 1.0 for p in psi])
+        return arrays(2.0 ** (-(total / trees) / norm))
+    return raw_score
 
+
+def isolation_forest(feats: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
+                     **_) -> Detection:
+    nodes, psi = forest(feats, trees, sample, seed)
     d = len(feats.select("x").first()["x"])
-    raw = cut_lineage(feats.select("row_id", raw_score("x").alias("raw")))
+    raw = cut_lineage(feats.select("row_id", _path_score(feats, nodes, [psi], trees)("x")[0].alias(
+        "raw")))
     return Detection("isolation_forest", min_max(raw, "raw").select("row_id", "score"),
                      {"trees": trees, "sample": psi}, {"importances": split_shares(nodes, d)})
 
@@ -167,9 +238,9 @@ def _weighted_edges(near: DataFrame, k: int) -> DataFrame:
         .where("rows > 0")
 
 
-def lof_points(feats: DataFrame, k: int, block: int = knn.BLOCK) -> DataFrame:
-    """(pid, x, w, lof) per distinct point."""
-    near = cut_lineage(knn.neighbours(feats, k, block))
+def lof_points(near: DataFrame, k: int) -> DataFrame:
+    """(pid, x, w, lof) per distinct point from lists that reach k rows."""
+    near = cut_lineage(knn.shorten(near, k))
     reach = near.select(F.col("pid").alias("npid"), F.when(F.col("copies") >= k, 0.0).otherwise(
         F.coalesce(F.array_max(F.transform("near", lambda s: s.d)), F.lit(0.0))).alias("kdist"))
     links = cut_lineage(_weighted_edges(near, k))
@@ -185,11 +256,13 @@ def lof_points(feats: DataFrame, k: int, block: int = knn.BLOCK) -> DataFrame:
 
 
 def local_outlier_factor(feats: DataFrame, neighbours: int = 20, block: int = knn.BLOCK,
-                         **_) -> Detection:
+                         index: str = "exact", graph: DataFrame | None = None, **_) -> Detection:
+    """``graph`` may bring the neighbour lists (of ``neighbours`` rows or more)."""
     k = min(neighbours, feats.count() - 1)
     if k < 2:
         return Detection("lof", _zeros(feats), {"k": k})
-    points = cut_lineage(lof_points(feats, k, block))
+    near = graph if graph is not None else knn.neighbours(feats, k, block, index=index)
+    points = cut_lineage(lof_points(near, k))
     scaled = min_max(points, "lof").select("x", "w", "score", "lof")
     return Detection("lof", knn.to_rows(feats, scaled).select("row_id", "score", "lof"), {"k": k})
 
@@ -444,91 +517,123 @@ def reconstruction_error(feats: DataFrame, **_) -> Detection:
 
 # ---- robust PCA --------------------------------------------------------------------------------
 
-STATE = "row_id {id}, x array<double>, s array<double>, y array<double>"
+#: Rounds of one barrier stage, after which the state is written.
+REFRESH = 25
+#: Rows that a task should have before the work is spread further.
+TASK_ROWS = 2_000
 
 
-def robust_pca(feats: DataFrame, max_iter: int = 100, tol: float = 1e-6, refresh: int = 10,
-               **_) -> Detection:
-    """Low-rank plus sparse split; rows carry their own sparse part and multiplier.
+def _barrier_rounds(d: int, lam: np.ndarray, mu: np.ndarray, norm: np.ndarray, tol: float,
+                    rounds: int):
+    """Some rounds of low-rank plus sparse splits, the tasks of the stage in step.
 
-    A round needs only the d x d Gram matrix of the current target, so it is one pass with
-    partial sums. Rows replay the rounds since their last checkpoint, which happens every
-    ``refresh`` rounds and keeps the lineage short.
+    Every task keeps its rows with their state. In a round each adds its part of the d x d Gram
+    matrix of the present target (one per weight column), all tasks exchange these sums and take
+    the same step. ``done`` counts the rounds of each split; a split that has converged rests.
     """
-    n, s, g = gram_matrix(feats, "x")
-    d = len(s)
-    if n < 10 or d < 2:
-        return Detection("robust_pca", _zeros(feats), meta={"skipped": True})
-    total_abs = feats.agg(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)))).first()[0]
-    lam = 1.0 / math.sqrt(max(n, d))
-    mu = n * d / (4.0 * total_abs + 1e-10)
-    norm_x = math.sqrt(max(float(np.trace(g)), 0.0)) + 1e-10
-    id_type = feats.schema["row_id"].dataType.simpleString()
-    zero = F.transform("x", lambda v: F.lit(0.0))
-    state = cut_lineage(feats.select("row_id", "x", zero.alias("s"), zero.alias("y")))
-    maps: list[np.ndarray] = []
-
-    def shrink(gram: np.ndarray) -> np.ndarray:
-        w, v = eigen(gram)
-        sigma = np.sqrt(np.maximum(w, 0.0))
-        kept = np.maximum(sigma - 1.0 / mu, 0.0) / np.where(sigma > 0, sigma, 1.0)
-        return (v * kept) @ v.T
-
-    def replay(x, sp, y, steps):
-        res = np.zeros_like(x)
-        for p in steps:
-            low = (x - sp + y / mu) @ p
-            t = x - low + y / mu
-            sp = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0.0)
-            res = x - low - sp
-            y = y + mu * res
-        return sp, y, res
-
-    def target_pass(steps):
-        """Gram of X - S + Y/mu after the steps and the squared residual."""
-        def partial(batches):
-            acc = np.zeros(d * d + 1)
-            for batch in batches:
-                x, sp, y = (matrix(batch.column(i)) for i in range(3))
-                if len(x):
-                    sp, y, res = replay(x, sp, y, steps)
-                    m = x - sp + y / mu
-                    acc += np.concatenate([(m.T @ m).ravel(), [(res ** 2).sum()]])
-            yield pa.RecordBatch.from_arrays([arrays(acc[None, :])], ["v"])
-        flat = np.zeros(d * d + 1)
-        for r in (state.select("x", "s", "y").mapInArrow(partial, "v array<double>")
-                  .select(F.posexplode("v").alias("i", "v")).groupBy("i")
-                  .agg(F.sum("v").alias("v")).collect()):
-            flat[r["i"]] = r["v"]
-        return flat[:-1].reshape(d, d), math.sqrt(max(flat[-1], 0.0))
-
-    def advance(steps):
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x, sp, y = (matrix(batch.column(i)) for i in (1, 2, 3))
-                    sp, y, _ = replay(x, sp, y, steps)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1), arrays(sp), arrays(y)],
-                        ["row_id", "x", "s", "y"])
-        return cut_lineage(state.mapInArrow(run, STATE.format(id=id_type)))
-
-    gram, done = g, 0
+    def run(batches):
+        context = BarrierTaskContext.get()
+        held = [b for b in batches if b.num_rows]
+        x, w, s, y = (np.concatenate([matrix(b.column(i)) for b in held]) if held else np.zeros(
+            (0, 0)) for i in range(1, 5))
+        # Of tasks without rows only the exchange is asked.
+        reps = len(lam)
+        x, w = x.reshape(-1, d), w.reshape(-1, reps)
+        s, y = s.reshape(-1, reps, d), y.reshape(-1, reps, d)
+        state = held[0].column(5)[0].as_py() if held else None
+        first = max((m for m in context.allGather(
+            json.dumps(state) if state else "")), key=len)
+        state = json.loads(first)
+        done, going = np.array(state[:reps], int), np.array(state[reps:], bool)
+        left = np.zeros(reps)
+        for turn in range(rounds + 1):
+            part = np.zeros((reps, d * d + 1))
+            for r in np.flatnonzero(going):
+                m = x - s[:, r] + y[:, r] / mu[r]
+                part[r, :-1] = ((m * w[:, r:r + 1]).T @ m).ravel()
+            part[:, -1] = left
+            got = context.allGather(base64.b64encode(part.tobytes()).decode())
+            total = sum(np.frombuffer(base64.b64decode(g)).reshape(reps, -1) for g in got)
+            if turn:
+                going &= ~(np.sqrt(np.maximum(total[:, -1], 0)) / norm < tol)
+            if turn == rounds or not going.any():
+                break
+            left = np.zeros(reps)
+            for r in np.flatnonzero(going):
+                value, v = eigen(total[r, :-1].reshape(d, d))
+                sigma = np.sqrt(np.maximum(value, 0.0))
+                kept = np.maximum(sigma - 1.0 / mu[r], 0.0) / np.where(sigma > 0, sigma, 1.0)
+                low = (x - s[:, r] + y[:, r] / mu[r]) @ ((v * kept) @ v.T)
+                t = x - low + y[:, r] / mu[r]
+                s[:, r] = np.sign(t) * np.maximum(np.abs(t) - lam[r] / mu[r], 0.0)
+                rest = x - low - s[:, r]
+                y[:, r] += mu[r] * rest
+                left[r] = ((rest ** 2).sum(1) * w[:, r]).sum()
+                done[r] += 1
+        state, at = [*done.tolist(), *map(int, going)], 0
+        for b in held:
+            to = at + b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), arrays(s[at:to].reshape(to - at, -1)),
+                 arrays(y[at:to].reshape(to - at, -1)),
+                 pa.array([state] * b.num_rows, pa.list_(pa.int32()))],
+                ["row_id", "x", "w", "s", "y", "state"])
+            at = to
+    return run
+
+
+def sparse_parts(feats: DataFrame, weights: str | None = None, reps: int = 1, max_iter: int = 100,
+                 tol: float = 1e-6, refresh: int = REFRESH) -> tuple[DataFrame, list[int]]:
+    """(row_id, s) with the sparse part of each split (flat, d values each), and the rounds taken.
+
+    ``weights`` names an array of row counts, one split each; without it every row counts once.
+    The state is written after every ``refresh`` rounds; a stage that is lost begins there.
+    """
+    w = F.array(F.lit(1.0)) if weights is None else F.transform(
+        F.col(weights), lambda v: v.cast("double"))
+    d = len(feats.select("x").first()["x"])
+    rows = feats.select("row_id", "x", w.alias("w"))
+    # One pass: rows, absolute and squared sums of every split.
+    one = rows.select(
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v)).alias("a"),
+        F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v).alias("q"), "w").agg(
+        *[F.sum(F.col("w")[r] * c) for r in range(reps)
+          for c in (F.lit(1.0), F.col("a"), F.col("q"))]).first()
+    n, size, square = np.array(one, float).reshape(reps, 3).T
+    lam, mu = 1.0 / np.sqrt(np.maximum(n, d)), n * d / (4.0 * size + 1e-10)
+    norm = np.sqrt(np.maximum(square, 0.0)) + 1e-10
+    kind = feats.schema["row_id"].dataType.simpleString()
+    schema = f"row_id {kind}, x array<double>, w array<double>, s array<double>, " \
+             "y array<double>, state array<int>"
+    zero = F.array_repeat(F.lit(0.0), reps * d)
+    slots = feats.sparkSession.sparkContext.defaultParallelism
+    tasks = int(max(1, min(slots, -(-feats.count() // TASK_ROWS))))
+    steps = Steps(feats.sparkSession)
+    state = rows.select("row_id", "x", "w", zero.alias("s"), zero.alias("y"), F.array(
+        *[F.lit(0)] * reps, *[F.lit(1)] * reps).alias("state"))
+    done = 0
     while done < max_iter:
-        maps.append(shrink(gram))
-        done += 1
-        gram, residual = target_pass(list(maps))
-        if residual / norm_x < tol:
+        rounds = min(refresh, max_iter - done)
+        state = steps.write(state.repartition(tasks).mapInArrow(
+            _barrier_rounds(d, lam, mu, norm, tol, rounds), schema, barrier=True))
+        done += rounds
+        now = state.select("state").first()["state"]
+        if not any(now[reps:]):
             break
-        if len(maps) == refresh:
-            state, maps = advance(list(maps)), []
-    if maps:
-        state = advance(list(maps))
-    mean_abs = F.aggregate("s", F.lit(0.0), lambda a, v: a + F.abs(v)) / F.size("s")
-    raw = state.select("row_id", "s", mean_abs.alias("raw"))
+    return state.select("row_id", "s"), now[:reps]
+
+
+def robust_pca(feats: DataFrame, max_iter: int = 100, tol: float = 1e-6, refresh: int = REFRESH,
+               **_) -> Detection:
+    """Low-rank plus sparse split; a row's score is the mean size of its sparse part."""
+    n, d = feats.count(), len((feats.select("x").first() or {"x": []})["x"])
+    if n < 10 or d < 2:
+        return Detection("robust_pca", _zeros(feats), meta={"skipped": True})
+    parts, done = sparse_parts(feats, max_iter=max_iter, tol=tol, refresh=refresh)
+    raw = parts.withColumn("raw", F.aggregate("s", F.lit(0.0), lambda a, v: a + F.abs(v)) / d)
     sparse = raw.agg(*[F.avg(F.abs(F.col("s")[i])).alias(f"f{i}") for i in range(d)]).first()
     return Detection("robust_pca", min_max(raw.drop("s"), "raw").select("row_id", "score", "raw"),
-                     {"iterations": done}, {"sparse_magnitude": list(sparse)})
+                     {"iterations": done[0]}, {"sparse_magnitude": list(sparse)})
 
 
 # ---- registry ----------------------------------------------------------------------------------

@@ -234,6 +234,15 @@ def neighbours(rows: DataFrame, k: int, block: int = BLOCK, only: DataFrame | No
                          kept["keep"].alias("near"))
 
 
+def shorten(near: DataFrame, k: int) -> DataFrame:
+    """Neighbour lists cut where the own copies and the neighbours' weights reach k rows."""
+    start = F.struct(F.col("copies").alias("sum"),
+                     F.array().cast(near.schema["near"].dataType).alias("keep"))
+    kept = F.aggregate("near", start, lambda a, s: F.when(a["sum"] >= k, a).otherwise(F.struct(
+        (a["sum"] + s["w"]).alias("sum"), F.concat(a["keep"], F.array(s)).alias("keep"))))
+    return near.withColumn("near", kept["keep"])
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(qid, c) for queries (qid, x) against points (pid, x, w): c = array of (d, pid, w).
 
