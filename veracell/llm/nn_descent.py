@@ -9,7 +9,7 @@ the nearest ones of it through their links in both directions, and stop when eve
 has been expanded. What the beam holds in the end is ranked by the exact measure on the original
 vectors.
 
-Nodes lie in buckets of some thousands by a hash. What nodes or queries send is one line per sender
+Nodes lie in buckets by a hash. What nodes or queries send is one line per sender
 and bucket, so a vector crosses the network once per bucket and not once per link; a bucket reads
 its nodes first and then streams what was sent. Vectors travel in half precision, which only the
 choice of candidates sees.
@@ -41,8 +41,9 @@ TREES = 4
 #: Points around one pivot, and the most pivots that the driver and every task hold.
 AROUND = 256
 MAX_PIVOTS = 1024
-#: Nodes of a bucket.
-BUCKET = 4096
+#: Most nodes of a bucket. There are as many buckets as shuffle partitions, or more where these
+#: would hold more nodes, so that what a node sends does not depend on the size of the table.
+BUCKET = 1 << 14
 #: Nodes a query keeps, and how many of them it expands in a round.
 BEAM = 512
 EXPAND = 128
@@ -551,7 +552,7 @@ def build_graph(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     n = points.count()
     if not n:
         return None
-    buckets = max(1, -(-n // bucket))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket))
     sets = [_pivots(points, n, seed) for seed in range(1, trees + 1)]
 
     def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -745,7 +746,8 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
     """
     spark = queries.sparkSession
     n = queries.count()
-    buckets, query_buckets = index.buckets, max(1, -(-n // BUCKET))
+    buckets = index.buckets
+    query_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET))
     steps = Steps(spark)
     state = steps.write(queries.select("qid", "v", "pid").mapInArrow(
         _start(index, query_buckets), LINE))
