@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import BarrierTaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from veracell.functions.arrow import arrays, matrix
 from veracell.functions.hashing import scramble
@@ -272,23 +273,35 @@ def local_outlier_factor(feats: DataFrame, neighbours: int = 20, block: int = kn
 SMALL_GRAPH = 500_000
 
 
-def _union(pdf_batches, out=("node", "label")):
-    """Smallest reachable node of every node in a bounded edge list."""
-    up: dict = {}
-
-    def root(v):
-        while up.setdefault(v, v) != v:
-            up[v] = up[up[v]]
-            v = up[v]
-        return v
-
-    for pdf in pdf_batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    yield pd.DataFrame({out[0]: nodes, out[1]: [root(v) for v in nodes]})
+def _union(out: tuple[str, str]):
+    """Smallest reachable node of every node on the edges of a partition."""
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        n = t.num_rows
+        ends = pa.chunked_array(t.column("a").chunks + t.column("b").chunks).combine_chunks()
+        # Codes follow the order of the ids, so the smallest code is the smallest id.
+        ids = ends.unique().take(pc.sort_indices(ends.unique()))
+        code = pc.index_in(ends, ids).to_numpy()
+        a, b = code[:n], code[n:]
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], least)
+            np.minimum.at(new, label[b], least)
+            while True:  # halve the paths
+                up = new[new]
+                if (up == new).all():
+                    break
+                new = up
+            if (new == label).all():
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(label))], list(out))
+    return run
 
 
 def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
@@ -299,10 +312,11 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     task; a larger one by rounds of minimum labels and pointer jumping.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    local = cut_lineage(edges.select("a", "b").mapInPandas(
-        lambda it: _union(it, ("a", "b")), f"a {kind}, b {kind}"))
+    local = cut_lineage(edges.select("a", "b").mapInArrow(
+        _union(("a", "b")), f"a {kind}, b {kind}"))
     if local.count() <= small:
-        return cut_lineage(local.coalesce(1).mapInPandas(_union, f"node {kind}, label {kind}"))
+        return cut_lineage(local.coalesce(1).mapInArrow(
+            _union(("node", "label")), f"node {kind}, label {kind}"))
     both = cut_lineage(local.unionByName(local.select(
         F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     links = both.count()
@@ -324,13 +338,21 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
 LANDMARKS = 256
 
 
-def _bridges(core: DataFrame) -> list[tuple]:
-    """Minimum spanning tree over at most 256 sampled points, by mutual reachability.
+def _bridges(core: DataFrame) -> dict[int, list[tuple]]:
+    """Per replicate a minimum spanning tree over at most 256 sampled points, by mutual reachability.
 
     Nearest-neighbour edges stay inside clusters; these few edges tell at which distance clusters
     meet, so that outliers farther than that count as noise.
     """
-    rows = core.orderBy(F.xxhash64("x")).limit(LANDMARKS).select("pid", "x", "core").collect()
+    order = Window.partitionBy("rep").orderBy(F.xxhash64("x"))
+    found: dict[int, list] = {}
+    for r in core.withColumn("r", F.row_number().over(order)).where(
+            F.col("r") <= LANDMARKS).orderBy("rep", "r").select("rep", "pid", "x", "core").collect():
+        found.setdefault(r["rep"], []).append(r)
+    return {rep: _spanning(rows) for rep, rows in found.items()}
+
+
+def _spanning(rows: list) -> list[tuple]:
     if len(rows) < 2:
         return []
     x = np.array([r["x"] for r in rows], dtype=float)
@@ -351,43 +373,84 @@ def _bridges(core: DataFrame) -> list[tuple]:
 
 
 def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples: int = 5,
-                     levels: int = 6, block: int = knn.BLOCK, **_) -> Detection:
+                     levels: int = 6, block: int = knn.BLOCK, index: str = "exact",
+                     graph: DataFrame | None = None, **_) -> Detection:
     """Density-based outliers on a ladder of distance levels.
 
     Mutual-reachability edges of the k-nearest-neighbour graph are added level by level; a point
     is scored by how much later it joins a component of the minimum size than the densest part of
     that component formed. Clusters are the components whose persistence over the ladder exceeds
     that of the parts they split into. Approximate to the resolution of ladder and graph.
+    ``graph`` may bring the neighbour lists (of 15 rows or more).
     """
     n = feats.count()
-    mcs = max(5, min(min_cluster_size, n // 10))
-    ms = max(3, min(min_samples, mcs))
-    k = min(max(ms, 15), n - 1)
+    mcs, ms, k = density_sizes(n, min_cluster_size, min_samples)
     if n < 5:
         return Detection("hdbscan", _zeros(feats), {"min_cluster_size": mcs})
-    near = cut_lineage(knn.neighbours(feats, k, block))
+    near = cut_lineage(knn.shorten(graph, k) if graph is not None else knn.neighbours(
+        feats, k, block, index=index))
+    points, n_levels, n_clusters = density_scores(near.withColumn("rep", F.lit(0)), [n],
+                                                  min_cluster_size, min_samples, levels)
+    scored = min_max(points, "raw")
+    found = near.select("x", "w", F.col("pid").alias("point")).join(scored, "point")
+    rows = cut_lineage(knn.to_rows(feats, found).select("row_id", "score", "cluster"))
+    noise = rows.agg(F.avg((F.col("cluster") == "-1").cast("double"))).first()[0]
+    return Detection("hdbscan", rows.select("row_id", "score"),
+                     {"min_cluster_size": mcs, "min_samples": ms, "levels": n_levels},
+                     {"n_clusters": n_clusters, "noise_ratio": noise},
+                     rows.select("row_id", "cluster"))
+
+
+def density_sizes(n: int, min_cluster_size: int = 15, min_samples: int = 5) -> tuple[int, int, int]:
+    """Smallest cluster, rows of the core distance, rows of the neighbour lists."""
+    mcs = max(5, min(min_cluster_size, n // 10))
+    ms = max(3, min(min_samples, mcs))
+    return mcs, ms, min(max(ms, 15), n - 1)
+
+
+def density_scores(near: DataFrame, sizes: list[int], min_cluster_size: int = 15,
+                   min_samples: int = 5, levels: int = 6) -> tuple[DataFrame, int, int]:
+    """(rep, point, raw, cluster) of the points of one or more replicates at once.
+
+    ``near`` has neighbour lists with a ``rep`` column (0, 1, ...; ids differ between replicates),
+    ``sizes`` the rows of each. Every level is one set of jobs however many replicates there are.
+    """
+    reps, k = len(sizes), max(density_sizes(n, min_cluster_size, min_samples)[2] for n in sizes)
+    smallest, rows_of_core = (F.array(*[F.lit(density_sizes(
+        n, min_cluster_size, min_samples)[i]) for n in sizes])[F.col("rep")] for i in (0, 1))
     links = _weighted_edges(near, k)
-    core = near.select("pid", "x", "w", F.when(F.col("copies") >= ms, 0.0).otherwise(
+    core = near.select("rep", "pid", "x", "w", F.when(F.col("copies") >= rows_of_core, 0.0).otherwise(
         F.element_at(F.transform(F.filter(F.transform("near", lambda s, i: F.struct(
             s.d.alias("d"), (F.col("copies") + F.aggregate(
                 F.slice("near", 1, i + 1), F.lit(0).cast("long"), lambda a, t: a + t["w"]))
-            .alias("c"))), lambda s: s.c >= ms), lambda s: s.d), 1)).alias("core"))
+            .alias("c"))), lambda s: s.c >= rows_of_core), lambda s: s.d), 1)).alias("core"))
     core = cut_lineage(core)
     other = core.select(F.col("pid").alias("npid"), F.col("core").alias("ncore"))
-    edges = cut_lineage(links.where("pid <> npid").join(core.select("pid", "core"), "pid")
+    edges = cut_lineage(links.where("pid <> npid").join(core.select("rep", "pid", "core"), "pid")
                         .join(other, "npid").select(
-        F.col("pid").alias("a"), F.col("npid").alias("b"),
+        "rep", F.col("pid").alias("a"), F.col("npid").alias("b"),
         F.greatest("core", "ncore", "d").alias("w")))
     probs = [i / levels for i in range(1, levels + 1)]
-    ladder = {v for v in quantiles(edges, {"w": F.col("w")}, probs)["w"] if v is not None}
+    cuts = quantiles(edges, {f"w{b}": F.when(F.col("rep") == b, F.col("w")) for b in range(reps)},
+                     probs)
     bridges = _bridges(core)
-    ladder = sorted(ladder | {w for _, _, w in sorted(bridges, key=lambda e: -e[2])[:4]})
-    if bridges:
-        edges = cut_lineage(edges.unionByName(
-            feats.sparkSession.createDataFrame(bridges, edges.schema)))
+    ladders = [sorted({v for v in cuts[f"w{b}"] if v is not None} | {
+        w for _, _, w in sorted(bridges.get(b, []), key=lambda e: -e[2])[:4]}) or [1.0]
+        for b in range(reps)]
+    # Shorter ladders stay at their last level, where nothing is added.
+    steps = max(map(len, ladders))
+    ladders = [x + [x[-1]] * (steps - len(x)) for x in ladders]
+    if any(bridges.values()):
+        edges = cut_lineage(edges.unionByName(feats_frame(core, [
+            (b, *e) for b, es in bridges.items() for e in es], edges.schema)))
+
+    def level(i: int):
+        """The distance of level i (0 before the first, infinity after the last) by replicate."""
+        return F.array(*[F.lit(float("inf") if i > steps else x[i - 1] if i else -1.0)
+                         for x in ladders])[F.col("rep")]
 
     # comp: (label, node size, first level, chain and its sums); nodes: contracted components
-    members = core.select(F.col("pid").alias("point"), F.col("pid").alias("comp"), "w",
+    members = core.select("rep", F.col("pid").alias("point"), F.col("pid").alias("comp"), "w",
                           F.lit(None).cast("double").alias("joined"),
                           F.lit(None).cast("double").alias("densest"),
                           F.lit(None).cast("string").alias("chain"))
@@ -395,10 +458,9 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
     points_n = members.count()
     big = None
     chains = []
-    below = -1.0
-    for i, eps in enumerate(ladder):
-        band = edges.where((F.col("w") > below) & (F.col("w") <= eps))
-        below = eps
+    for i in range(steps):
+        eps = level(i + 1)
+        band = edges.where((F.col("w") > level(i)) & (F.col("w") <= eps))
         la = members.select(F.col("point").alias("a"), F.col("comp").alias("ca"))
         lb = members.select(F.col("point").alias("b"), F.col("comp").alias("cb"))
         lifted = band.join(la, "a").join(lb, "b").where("ca <> cb").select(
@@ -406,15 +468,16 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
         labels = components(lifted).withColumnRenamed("node", "comp")
         moved = join_lines(members, labels, "comp", points_n, "left").withColumn(
             "comp", F.coalesce("label", "comp")).drop("label")
-        sizes = moved.groupBy("comp").agg(F.sum("w").alias("size"),
-                                          F.min("joined").alias("born"))
-        sizes = sizes.where(F.col("size") >= mcs).select(
-            "comp", "size", F.coalesce("born", F.lit(float(eps))).alias("born"))
+        big_ones = moved.groupBy("rep", "comp").agg(F.sum("w").alias("size"),
+                                                    F.min("joined").alias("born"))
+        big_ones = big_ones.where(F.col("size") >= smallest).select(
+            "rep", "comp", "size", F.coalesce("born", eps).alias("born"))
         # chains of components that only grow; a merge of two big ones starts a new chain
-        nxt = ladder[i + 1] if i + 1 < len(ladder) else float("inf")
-        width = 1.0 / max(eps, FLAT) - (1.0 / nxt if nxt != float("inf") else 0.0)
+        width = F.lit(1.0) / F.greatest(eps, F.lit(FLAT)) - F.when(
+            level(i + 2) == float("inf"), 0.0).otherwise(F.lit(1.0) / F.greatest(
+                level(i + 2), F.lit(FLAT)))
         if big is None:
-            grown = sizes.withColumn("kids", F.lit(0)).withColumn("kid", F.lit(None).cast("string")) \
+            grown = big_ones.withColumn("kids", F.lit(0)).withColumn("kid", F.lit(None).cast("string")) \
                 .withColumn("sum", F.lit(0.0)).withColumn("best", F.lit(0.0))
         else:
             up = big.join(labels, "comp", "left").select(
@@ -426,52 +489,46 @@ def density_clusters(feats: DataFrame, min_cluster_size: int = 15, min_samples:
             chains.append(up.join(kids.where("kids > 1"), "label").select(
                 "chain", "sum", "best", F.concat(F.col("label").cast("string"), F.lit(f"@{i}"))
                 .alias("parent")))
-            grown = sizes.join(kids, sizes["comp"] == kids["label"], "left").select(
-                "comp", "size", "born", F.coalesce("kids", F.lit(0)).alias("kids"),
+            grown = big_ones.join(kids, big_ones["comp"] == kids["label"], "left").select(
+                "rep", "comp", "size", "born", F.coalesce("kids", F.lit(0)).alias("kids"),
                 F.when(F.col("kids") == 1, F.col("kid")).alias("kid"),
                 F.when(F.col("kids") == 1, F.col("one_sum")).otherwise(0.0).alias("sum"),
                 F.when(F.col("kids") == 1, F.col("one_best"))
                 .when(F.col("kids") > 1, F.col("all_best")).otherwise(0.0).alias("best"))
         big = cut_lineage(grown.select(
-            "comp", "size", "born",
+            "rep", "comp", "size", "born",
             F.coalesce("kid", F.concat(F.col("comp").cast("string"), F.lit(f"@{i}")))
             .alias("chain"),
-            (F.col("sum") + F.col("size") * F.lit(width)).alias("sum"), "best"))
+            (F.col("sum") + F.col("size") * width).alias("sum"), "best"))
         seen = big.select("comp", F.col("born").alias("b"), F.col("chain").alias("c"))
         members = cut_lineage(join_lines(moved, seen, "comp", points_n, "left").select(
-            "point", "comp", "w",
-            F.coalesce("joined", F.when(F.col("b").isNotNull(), F.lit(float(eps))))
+            "rep", "point", "comp", "w",
+            F.coalesce("joined", F.when(F.col("b").isNotNull(), eps))
             .alias("joined"),
             F.coalesce("densest", "b").alias("densest"), F.coalesce("chain", "c").alias("chain")))
     labels_by_chain, n_clusters = _pick_chains(big, chains)
-    worst = float(ladder[-1]) if ladder else 1.0
     glosh = F.when(F.col("joined").isNull(), 1.0 - F.coalesce("nearest_born", F.lit(0.0)) /
-                   F.greatest("core", F.lit(worst))).when(F.col("joined") <= 0, 0.0) \
+                   F.greatest("core", level(steps))).when(F.col("joined") <= 0, 0.0) \
         .otherwise(1.0 - F.col("densest") / F.col("joined"))
-    lowest = members.agg(F.min("joined").alias("nearest_born"))
+    lowest = members.groupBy("rep").agg(F.min("joined").alias("nearest_born"))
     points = (members.join(core.select(F.col("pid").alias("point"), "core"), "point")
-              .crossJoin(F.broadcast(lowest))
+              .join(F.broadcast(lowest), "rep")  # a line per replicate
               .join(labels_by_chain, "chain", "left")
-              .select("point", glosh.alias("raw"), F.coalesce("cluster", F.lit("-1"))
+              .select("rep", "point", glosh.alias("raw"), F.coalesce("cluster", F.lit("-1"))
                       .alias("cluster")))
-    points = cut_lineage(points)
-    scored = min_max(points, "raw")
-    found = near.select("x", "w", F.col("pid").alias("point")).join(scored, "point")
-    rows = cut_lineage(knn.to_rows(feats, found).select("row_id", "score", "cluster"))
-    noise = rows.agg(F.avg((F.col("cluster") == "-1").cast("double"))).first()[0]
-    return Detection("hdbscan", rows.select("row_id", "score"),
-                     {"min_cluster_size": mcs, "min_samples": ms, "levels": len(ladder)},
-                     {"n_clusters": n_clusters, "noise_ratio": noise},
-                     rows.select("row_id", "cluster"))
+    return cut_lineage(points), steps, n_clusters
+
+
+def feats_frame(like: DataFrame, rows: list[tuple], schema) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
 
 
 def _pick_chains(top: DataFrame, merged: list[DataFrame]) -> tuple[DataFrame, int]:
     """(chain, cluster): the chains that outlast their parts, each part mapped to its winner."""
-    roots = top.select("chain", "sum", "best", F.lit(None).cast("string").alias("parent"))
-    level = roots
-    alone = roots.count() == 1
-    wins = (F.col("sum") >= F.col("best")) if not alone else F.lit(False)
-    level = level.select("chain", F.when(wins, F.col("chain")).alias("cluster"))
+    # The whole of a replicate is no cluster.
+    alone = top.groupBy("rep").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    level = top.join(F.broadcast(alone), "rep").select("chain", F.when(
+        ~F.col("alone") & (F.col("sum") >= F.col("best")), F.col("chain")).alias("cluster"))
     out = level
     for kids in reversed(merged):
         level = kids.join(level.select(F.col("chain").alias("parent"),
