@@ -227,8 +227,10 @@ def test_classifier(spark, docs, rows):
     net = classifier.fit_classifier(docs, labels, queries.fold(4) != 2)
     r = docs.select("doc_id", classifier.quality_score(net).alias("p")).collect()
     assert len(r) == len(rows) and all(0 <= x.p <= 1 for x in r)
-    with pytest.raises(ValueError):
-        classifier.fit_classifier(docs, labels.where("quality = 1"), F.lit(True))
+    only = classifier.fit_classifier(docs, labels.where("quality = 1"), F.lit(True))
+    assert {r[0] for r in docs.select(classifier.quality_score(only)).collect()} == {1.0}
+    none = classifier.fit_classifier(docs.where("1 = 0"), labels, F.lit(True))
+    assert docs.where("1 = 0").select(classifier.quality_score(none)).collect() == []
 
 
 def test_classifier_gradient():
@@ -451,6 +453,29 @@ def test_empty_tables(empty, run):
     assert got(run(empty)) == []
 
 
+def test_pipeline_of_an_empty_table(spark, monkeypatch):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: real.where("1 = 0")
+                        if n == "documents" else s.read.parquet(f"{d}/{n}.parquet"))
+    assert corpus_pipeline.run(spark, SF).collect() == []
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(4)
+
+    def words(n, size=5):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(size))
+                        for _ in range(n))
+    passage = words(51)
+    rows = [(i, f"{words(60)} {passage} {words(60)}", "en", "s", 0) for i in range(4)] + [
+        (9, words(120), "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                     "n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.repeated_bytes(spark, df, SF).collect()}
+    assert all(passage not in out[i].text and len(out[i].text) > 600 for i in range(4))
+    assert out[9].text == rows[-1][1] and all(r.n_chars == len(r.text) for r in out.values())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

@@ -8,7 +8,8 @@ The network is fitted on a sample of labelled rows of bounded number (``sample_r
 hash), whose texts the driver holds; every text is learned from and scored whole, by the same chunks.
 
 Defined cases: a null or empty text is one chunk of padding; every row gets a score, repeated rows
-the same; null labels are not learned from; without labels of both kinds fitting raises.
+the same; null labels are not learned from; without labels of both kinds every
+text gets the only label there is, or 1.
 """
 from __future__ import annotations
 
@@ -60,6 +61,9 @@ class Chunks:
 
 
 class Network:
+    #: The score of every text where there was nothing to learn.
+    constant: float | None = None
+
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.p = {"embed": rng.normal(0, 0.5, (256, DEPTH)),
@@ -156,7 +160,10 @@ class Network:
 def fit_classifier(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality",
                    id_col: str = "doc_id", text_col: str = "text",
                    sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Fit on labelled rows where ``learn`` (a condition on the id) holds."""
+    """Fit on labelled rows where ``learn`` (a condition on the id) holds.
+
+    With labels of one kind, or none, or no documents, the network scores every text alike.
+    """
     rows = labels.where(learn & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     # At most sample_rows lines, drawn by hash, half of them for each label where there are so many.
@@ -171,13 +178,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
             "binary").alias("text")).toArrow().sort_by([("h", "ascending")])
     y = got.column("y").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
-        raise ValueError("labels of both kinds are needed to fit the classifier")
+        # Nothing to tell apart: every text gets the only label there is, or 1 without any.
+        network = Network()
+        network.constant = float(y[0]) if len(y) else 1.0
+        return network
     texts = [np.frombuffer(t.as_py(), np.uint8) for t in got.column("text")]
     return Network().fit(texts, y)
 
 
 def quality_score(network: Network, text_col: str = "text") -> Column:
     """The probability of label 1 of whole texts, as a column; no shuffle."""
+    if network.constant is not None:
+        return F.lit(network.constant)
     tables = network.tables()
 
     @F.arrow_udf("double")

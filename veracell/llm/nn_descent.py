@@ -11,8 +11,8 @@ vectors.
 
 Nodes lie in buckets by a hash. What nodes or queries send is one line per sender
 and bucket, so a vector crosses the network once per bucket and not once per link; a bucket reads
-its nodes first and then streams what was sent. Vectors travel in half precision, which only the
-choice of candidates sees.
+its nodes first and then streams what was sent. The graph is built in half precision and searched
+in single precision, so that very near copies are told apart.
 
 ``degree`` bounds the links of a node and ``REVERSE`` times that the sampled links back, which is
 part of the method: the result is approximate, with the recall measured in the tests and the README.
@@ -49,8 +49,6 @@ BEAM = 512
 EXPAND = 128
 SEARCH_ROUNDS = 24
 ENTRIES = 16
-#: Nodes of a beam that are ranked exactly.
-RANKED = 96
 #: A round that changes fewer links than this share is the last one.
 STILL = 0.02
 #: Share of new links that a round uses.
@@ -77,11 +75,11 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (tb.mix64(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def halves(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors in half precision."""
+def units(vectors: np.ndarray, kind=np.float16) -> np.ndarray:
+    """Unit vectors, in half precision for the graph."""
     big = np.abs(vectors).max(1, keepdims=True, initial=0)
     v = vectors / np.where(big > 0, big, 1)
-    return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float16)
+    return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(kind)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -278,7 +276,7 @@ def _pivots(points: DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndarra
     want = min(MAX_PIVOTS, max(1, n // AROUND))
     rows = points.orderBy(F.xxhash64(F.lit(seed), "pid")).limit(want).select("pid", "v").collect()
     return (np.array([r["pid"] for r in rows], np.int64),
-            halves(np.array([r["v"] for r in rows])).astype(np.float32))
+            units(np.array([r["v"] for r in rows])).astype(np.float32))
 
 
 # ---- the graph
@@ -291,12 +289,16 @@ def _first_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _top(u, v, s, fresh, k: int):
-    """Of links (u, v, s, fresh) each pair once (an older one first) and u's k nearest, sorted."""
+    """Of links (u, v, s, fresh) each pair once (an older one first) and u's k nearest, sorted.
+
+    Ties go by a hash of both ends: by the id, all of many equal nodes would link to the same few.
+    """
     by = np.lexsort((fresh, v, u))
     u, v, s, fresh = u[by], v[by], s[by], fresh[by]
     one = _first_of(u, v)
     u, v, s, fresh = u[one], v[one], s[one], fresh[one]
-    by = np.lexsort((v, -s, u))
+    tie = tb.mix64(u.astype(np.uint64) ^ tb.mix64(v.astype(np.uint64) + np.uint64(1)))
+    by = np.lexsort((tie, -s, u))
     u, v, s, fresh = u[by], v[by], s[by], fresh[by]
     begin = np.searchsorted(u, u, "left")
     in_top = np.arange(len(u)) - begin < k
@@ -560,7 +562,7 @@ def build_graph(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
             x = b.column(0).to_numpy()
             if len(x):
                 none = np.zeros(0)
-                yield _line(bucket_of(x, buckets), 0, x, halves(_doubles(b.column(1))),
+                yield _line(bucket_of(x, buckets), 0, x, units(_doubles(b.column(1))),
                             np.zeros(len(x) + 1), none, none, none)
 
     steps = Steps(spark)
@@ -613,7 +615,7 @@ def _ask(buckets: int, beam: int, expand: int):
             last = np.cumsum(n) - 1
             far = np.where(n >= beam, vals[np.maximum(last, 0)] if len(vals) else -2, -2)
             yield from _send(np.repeat(np.arange(len(n)), n)[go], ids[go], buckets, q.x,
-                             q.vectors(), far.astype(np.float32))
+                             q.vectors(np.float32), far.astype(np.float32))
     return run
 
 
@@ -641,7 +643,7 @@ def _expand(buckets: int):
             by = np.lexsort((to, row))
             row, to = row[by], to[by]
             one = _first_of(row, to)
-            yield from _send(row[one], to[one], buckets, q.x, q.vectors(), q.lists("vals")[1])
+            yield from _send(row[one], to[one], buckets, q.x, q.vectors(np.float32), q.lists("vals")[1])
     return run
 
 
@@ -651,12 +653,12 @@ def _measure(query_buckets: int):
         if own is None:
             return
         at = np.argsort(own.x)
-        vec = own.vectors()[at].astype(np.float32)
+        vec = own.vectors(np.float32)[at]
         ids_at = own.x[at]
         for q in sent:
             n, ids = q.lists("ids")
             row = np.repeat(np.arange(len(n)), n)
-            qv, far = q.vectors().astype(np.float32), q.lists("vals")[1]
+            qv, far = q.vectors(np.float32), q.lists("vals")[1]
             for lo in range(0, len(ids), 1 << 16):
                 w = slice(lo, lo + (1 << 16))
                 s = np.einsum("ij,ij->i", qv[row[w]], vec[np.searchsorted(ids_at, ids[w])])
@@ -686,7 +688,7 @@ def _advance(beam: int, expand: int):
         by = np.argsort(own.x)
         x = own.x[by]
         cut = np.append(np.searchsorted(u, x), len(u))
-        yield _line(own.t.column("bucket").to_numpy(), 0, x, own.vectors()[by], cut, v,
+        yield _line(own.t.column("bucket").to_numpy(), 0, x, own.vectors(np.float32)[by], cut, v,
                     s.astype(np.float32), ~fresh)
     return run
 
@@ -700,8 +702,8 @@ def _start(index: Index, query_buckets: int):
             x, own = b.column(0).to_numpy(), b.column(2)
             if not len(x):
                 continue
-            half = halves(_doubles(b.column(1)))
-            s = half.astype(np.float32) @ pivots.T
+            vec = units(_doubles(b.column(1)), np.float32)
+            s = vec @ pivots.T
             k = min(ENTRIES, len(ids))
             near = np.argpartition(-s, k - 1, 1)[:, :k]
             u, v = np.repeat(x, k), ids[near].ravel()
@@ -715,7 +717,7 @@ def _start(index: Index, query_buckets: int):
             u, v, score, _ = _top(u, v, score, np.zeros(len(u), bool), k + 1)
             by = np.argsort(x)
             cut = np.append(np.searchsorted(u, x[by]), len(u))
-            yield _line(bucket_of(x[by], buckets), 0, x[by], half[by], cut, v,
+            yield _line(bucket_of(x[by], buckets), 0, x[by], vec[by], cut, v,
                         score.astype(np.float32), np.zeros(len(u), bool))
     return run
 
@@ -738,9 +740,8 @@ def _rank(query_buckets: int):
     return run
 
 
-def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND,
-           ranked: int = RANKED) -> DataFrame:
-    """(qid, pid, s) for queries (qid, v, pid): the best nodes of each beam with exact cosines.
+def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """(qid, pid, s) for queries (qid, v, pid): the nodes of each beam with exact cosines.
 
     ``pid`` names the query's own node, null where it is none of the indexed ones.
     """
@@ -752,7 +753,14 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
     state = steps.write(queries.select("qid", "v", "pid").mapInArrow(
         _start(index, query_buckets), LINE))
     links = index.nodes.withColumn("vec", F.lit(None).cast("binary"))
-    vectors = index.nodes.withColumn("ids", F.lit(None).cast("array<long>"))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).to_numpy()
+                yield _line(bucket_of(x, buckets), 0, x, units(_doubles(b.column(1)), np.float32))
+
+    vectors = cut_lineage(index.points.select("pid", "v").mapInArrow(single, LINE))
     for _ in range(SEARCH_ROUNDS):
         if state.where(F.exists("flags", lambda f: ~f)).isEmpty():
             break
@@ -773,7 +781,7 @@ def search(index: Index, queries: DataFrame, beam: int = BEAM, expand: int = EXP
                 own = b.column(3).to_numpy(zero_copy_only=False)
                 lists = b.column(2)
                 cut, ids = lists.offsets.to_numpy(), lists.flatten().to_numpy()
-                size = np.minimum(np.diff(cut), ranked)
+                size = np.diff(cut)
                 row = np.repeat(np.arange(b.num_rows), size)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 to = ids[np.repeat(cut[:-1], size) + at]
