@@ -82,6 +82,13 @@ def units(vectors: np.ndarray, kind=np.float16) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(kind)
 
 
+def widened(half: np.ndarray) -> np.ndarray:
+    """Half-precision vectors as unit vectors again: lengths that rounding made greater would make
+    their nodes the nearest of all around."""
+    v = half.astype(np.float32)
+    return v / np.sqrt((v * v).sum(-1, keepdims=True))
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of paired rows in double precision, summed in the order of the positions."""
     def even(m):  # by a power of two, which is exact and keeps squares in range
@@ -347,7 +354,7 @@ def _exhaustive(degree: int, buckets: int):
     def run(own, sent: Iterator[Lines]) -> Iterator[pa.RecordBatch]:
         held = list(sent)
         x = np.concatenate([h.x for h in held])
-        vec = np.concatenate([h.vectors() for h in held]).astype(np.float32)
+        vec = widened(np.concatenate([h.vectors() for h in held]))
         for part in np.array_split(np.arange(len(x)), max(1, -(-len(x) // (4 * AROUND)))):
             k = min(degree, len(part) - 1)
             if k < 1:
@@ -366,7 +373,7 @@ def _nearest_pivot(sets: list[np.ndarray], slices: list[np.ndarray] | None, seed
         for b in batches:
             lines = Lines(b)
             half = lines.vectors()
-            vec = half.astype(np.float32)
+            vec = widened(half)
             for t, pivots in enumerate(sets):
                 group = (vec @ pivots.T).argmax(1).astype(np.int64) + t * MAX_PIVOTS
                 if slices is None:
@@ -486,7 +493,7 @@ def _compare(buckets: int, size: int = 1 << 22):
             there = np.arange(wide) < groups[part][:, None]
             m = who[np.minimum(slot, len(who) - 1)]
             some = int(fresh[part].max())
-            v = vec[m].astype(np.float32)
+            v = widened(vec[m])
             s = np.matmul(v[:, :some], v.transpose(0, 2, 1))
             # Rows are new ones; a pair of new ones is taken once.
             ok = (np.arange(some) < fresh[part][:, None])[:, :, None] & there[:, None, :]
