@@ -62,7 +62,9 @@ def test_forest_and_reconstruction(spark, cloud):
     np.testing.assert_allclose(r["raw"], (rest ** 2).mean(1), rtol=1e-6, atol=1e-9)
 
 
-def test_robust_pca_matches_numpy(spark, cloud):
+@pytest.mark.parametrize("cells", [1 << 22, 200])
+def test_robust_pca_matches_numpy(spark, cloud, monkeypatch, cells):
+    monkeypatch.setattr(DT, "TASK_CELLS", cells)  # one task, and tasks that exchange sums
     x = cloud / cloud.std(0)
     n, d = x.shape
     lam, mu = 1 / np.sqrt(max(n, d)), n * d / (4 * np.abs(x).sum() + 1e-10)

@@ -1,4 +1,5 @@
 """Sources, keys and shipping."""
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -85,23 +86,33 @@ def test_scratch_is_dropped(spark, monkeypatch):
     assert session.drop_scratch(spark) == 1 and not path.exists()
 
 
-def test_package_reaches_executors_from_elsewhere(tmp_path):
+@pytest.mark.parametrize("prepare", [
+    "from veracell.functions.session import ship; ship(spark)",
+    "import __spark_entry__ as e; e.queries()['head_sample_nation'](spark, '%s').count()" % (
+        "/root/testdata/sf0.001")])
+def test_package_reaches_workers_from_elsewhere(tmp_path, prepare):
+    """A session started outside the repository, whose workers have no path to it."""
     code = f"""
 import sys
 sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
-from veracell.functions.session import ship
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config(
-    "spark.ui.enabled", "false").getOrCreate()
-ship(spark)
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+{prepare}
 def run(batches):
     import veracell.functions.arrow
     yield from batches
 print("rows", spark.range(3).mapInArrow(run, "id long").count())
 """
-    import os
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {
-        "PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13"}
+        "PYSPARK_PYTHON": sys.executable}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, timeout=180,
                          capture_output=True, text=True)
     assert "rows 3" in out.stdout, out.stderr[-2000:]
+
+
+def test_loops_drop_their_older_states(spark, monkeypatch):
+    monkeypatch.setattr(session, "_handed_out", [])
+    steps = session.Steps(spark)
+    kept = [steps.write(spark.range(i)) for i in range(4)]
+    assert [Path(p.removeprefix("file:")).exists() for p in steps.paths] == [True, True]
+    assert len(session._handed_out) == 2 and kept[-1].count() == 3

@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from veracell.operators import detectors, scoring
+from veracell.operators import detectors, replicates
 from veracell.plans import analysis
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +14,7 @@ class Called(Exception):
 
 @pytest.mark.parametrize("name,owner,function,given,options", [
     ("robust_pca_lineitem", detectors, "robust_pca", 1, {}),
-    ("bootstrap_stability_lineitem", scoring, "stability", 3, {}),
+    ("bootstrap_stability_lineitem", replicates, "stability", 4, {}),
     ("full_analysis_part", analysis, "analyze", 2, None),
     ("auto_clean_metrics_customer", analysis, "analyze", 3, analysis.Config(mode="auto"))])
 def test_defaults(spark, monkeypatch, name, owner, function, given, options):

@@ -304,14 +304,18 @@ def _union(out: tuple[str, str]):
     return run
 
 
-def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL_GRAPH, at_most: int | None = None) -> DataFrame:
     """(node, label) of every node on an edge: the smallest node it can reach.
 
     Each partition first replaces its edges by one link per node to the smallest node it reaches
     there, which keeps all connections. A remainder of counted, bounded size is finished in one
-    task; a larger one by rounds of minimum labels and pointer jumping.
+    task; a larger one by rounds of minimum labels and pointer jumping. ``at_most`` bounds the
+    number of edges where the caller knows it.
     """
     kind = edges.schema["a"].dataType.simpleString()
+    if at_most is not None and at_most <= small:
+        return cut_lineage(edges.select("a", "b").coalesce(1).mapInArrow(
+            _union(("node", "label")), f"node {kind}, label {kind}"))
     local = cut_lineage(edges.select("a", "b").mapInArrow(
         _union(("a", "b")), f"a {kind}, b {kind}"))
     if local.count() <= small:
@@ -455,7 +459,7 @@ def density_scores(near: DataFrame, sizes: list[int], min_cluster_size: int = 15
                           F.lit(None).cast("double").alias("densest"),
                           F.lit(None).cast("string").alias("chain"))
     members = cut_lineage(members)
-    points_n = members.count()
+    points_n, n_edges = members.count(), edges.count()
     big = None
     chains = []
     for i in range(steps):
@@ -465,7 +469,7 @@ def density_scores(near: DataFrame, sizes: list[int], min_cluster_size: int = 15
         lb = members.select(F.col("point").alias("b"), F.col("comp").alias("cb"))
         lifted = band.join(la, "a").join(lb, "b").where("ca <> cb").select(
             F.col("ca").alias("a"), F.col("cb").alias("b"))
-        labels = components(lifted).withColumnRenamed("node", "comp")
+        labels = components(lifted, at_most=n_edges).withColumnRenamed("node", "comp")
         moved = join_lines(members, labels, "comp", points_n, "left").withColumn(
             "comp", F.coalesce("label", "comp")).drop("label")
         big_ones = moved.groupBy("rep", "comp").agg(F.sum("w").alias("size"),
@@ -576,12 +580,13 @@ def reconstruction_error(feats: DataFrame, **_) -> Detection:
 
 #: Rounds of one barrier stage, after which the state is written.
 REFRESH = 25
-#: Rows that a task should have before the work is spread further.
-TASK_ROWS = 2_000
+#: Numbers of state that one task holds before the work is spread further: an exchange between
+#: tasks takes about a second, in which a task gets through about so many.
+TASK_CELLS = 1 << 22
 
 
 def _barrier_rounds(d: int, lam: np.ndarray, mu: np.ndarray, norm: np.ndarray, tol: float,
-                    rounds: int):
+                    rounds: int, alone: bool):
     """Some rounds of low-rank plus sparse splits, the tasks of the stage in step.
 
     Every task keeps its rows with their state. In a round each adds its part of the d x d Gram
@@ -589,7 +594,7 @@ def _barrier_rounds(d: int, lam: np.ndarray, mu: np.ndarray, norm: np.ndarray, t
     the same step. ``done`` counts the rounds of each split; a split that has converged rests.
     """
     def run(batches):
-        context = BarrierTaskContext.get()
+        exchange = (lambda own: [own]) if alone else BarrierTaskContext.get().allGather
         held = [b for b in batches if b.num_rows]
         x, w, s, y = (np.concatenate([matrix(b.column(i)) for b in held]) if held else np.zeros(
             (0, 0)) for i in range(1, 5))
@@ -598,9 +603,7 @@ def _barrier_rounds(d: int, lam: np.ndarray, mu: np.ndarray, norm: np.ndarray, t
         x, w = x.reshape(-1, d), w.reshape(-1, reps)
         s, y = s.reshape(-1, reps, d), y.reshape(-1, reps, d)
         state = held[0].column(5)[0].as_py() if held else None
-        first = max((m for m in context.allGather(
-            json.dumps(state) if state else "")), key=len)
-        state = json.loads(first)
+        state = json.loads(max(exchange(json.dumps(state) if state else ""), key=len))
         done, going = np.array(state[:reps], int), np.array(state[reps:], bool)
         left = np.zeros(reps)
         for turn in range(rounds + 1):
@@ -609,7 +612,7 @@ def _barrier_rounds(d: int, lam: np.ndarray, mu: np.ndarray, norm: np.ndarray, t
                 m = x - s[:, r] + y[:, r] / mu[r]
                 part[r, :-1] = ((m * w[:, r:r + 1]).T @ m).ravel()
             part[:, -1] = left
-            got = context.allGather(base64.b64encode(part.tobytes()).decode())
+            got = exchange(base64.b64encode(part.tobytes()).decode())
             total = sum(np.frombuffer(base64.b64decode(g)).reshape(reps, -1) for g in got)
             if turn:
                 going &= ~(np.sqrt(np.maximum(total[:, -1], 0)) / norm < tol)
@@ -664,7 +667,7 @@ def sparse_parts(feats: DataFrame, weights: str | None = None, reps: int = 1, ma
              "y array<double>, state array<int>"
     zero = F.array_repeat(F.lit(0.0), reps * d)
     slots = feats.sparkSession.sparkContext.defaultParallelism
-    tasks = int(max(1, min(slots, -(-feats.count() // TASK_ROWS))))
+    tasks = int(max(1, min(slots, -(-feats.count() * d * reps // TASK_CELLS))))
     steps = Steps(feats.sparkSession)
     state = rows.select("row_id", "x", "w", zero.alias("s"), zero.alias("y"), F.array(
         *[F.lit(0)] * reps, *[F.lit(1)] * reps).alias("state"))
@@ -672,7 +675,8 @@ def sparse_parts(feats: DataFrame, weights: str | None = None, reps: int = 1, ma
     while done < max_iter:
         rounds = min(refresh, max_iter - done)
         state = steps.write(state.repartition(tasks).mapInArrow(
-            _barrier_rounds(d, lam, mu, norm, tol, rounds), schema, barrier=True))
+            _barrier_rounds(d, lam, mu, norm, tol, rounds, tasks == 1), schema,
+            barrier=tasks > 1))
         done += rounds
         now = state.select("state").first()["state"]
         if not any(now[reps:]):
@@ -702,6 +706,7 @@ DETECTORS: dict[str, Callable[..., Detection]] = {
     "autoencoder": reconstruction_error,
     "robust_pca": robust_pca,
 }
+BUILT_IN = dict(DETECTORS)
 # How explainable each method is taken to be.
 EXPLAINABILITY = {"isolation_forest": 0.9, "hdbscan": 0.6, "lof": 0.8, "autoencoder": 0.7,
                   "robust_pca": 0.7}

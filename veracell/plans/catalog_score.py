@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracell.operators import detectors as DT, scoring as SC
+from veracell.operators import detectors as DT, replicates as RE, scoring as SC
 from veracell.plans.registry import query, r, table
 
 SCORES = """e AS (SELECT event_id, value, user_id, abs(value - avg(value) OVER ()) AS dev FROM events),
@@ -57,7 +57,7 @@ def _(spark, d):
 def _(spark, d):
     from veracell.plans.catalog_detect import line_features
     feats = line_features(spark, d)
-    ss = SC.stability(feats, DT.reconstruction_error, 0.05)
+    ss = RE.stability(RE.weighted(feats, 8), "autoencoder", 8, 0.05)
     return spark.createDataFrame([("autoencoder", ss)], "method string, stability double").select(
         "method", "stability", SC.stability_words(F.col("stability")).alias("interpretation"))
 
