@@ -332,8 +332,36 @@ def audit(log: DataFrame, run_id: str, method: str, seed: int = 42, version: str
                  params_col.alias("method_params")).alias("reproducibility"))
 
 
+def _turn() -> Column:
+    """The place of a ledger line in time: its moment, then the number in its id."""
+    return F.struct(F.col("timestamp"), F.regexp_extract("transaction_id", r"(\d+)$", 1).cast(
+        "long").alias("number"))
+
+
 def replay(ledger: DataFrame) -> DataFrame:
-    return ledger.orderBy("timestamp", "transaction_id")
+    """The lines in the order in which they were written."""
+    return ledger.orderBy(_turn())
+
+
+def rebuild(df: DataFrame, key: str, ledger: DataFrame, at: Column | None = None) -> DataFrame:
+    """The table as the ledger's changes up to a moment (all without one) leave it.
+
+    Of a cell's changes the last one counts: a maximum by time, which partitions combine before
+    the exchange, so no cell's history is sorted. Removed rows are blank but for the key.
+    """
+    lines = ledger if at is None else ledger.where(F.col("timestamp") <= at)
+    lines = lines.where(F.col("action").isin([*CHANGES, "remove_row"]))
+    cells = lines.groupBy("row_id", "column_name").agg(F.max_by(
+        F.struct("new_value"), _turn()).alias("v"))
+    rows = cells.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "column_name", F.col("v.new_value")))).alias("__v"))
+    joined = df.join(rows.withColumnRenamed("row_id", "__row"), F.col(key) == F.col("__row"),
+                     "left")
+    gone = F.coalesce(F.map_contains_key("__v", F.lit("__all__")), F.lit(False))
+    out = [V.col(c) if c == key else F.when(gone, F.lit(None)).when(
+        F.map_contains_key("__v", F.lit(c)), _typed(F.col("__v")[c], df.schema[c].dataType))
+        .otherwise(V.col(c)).alias(c) for c in df.columns]
+    return joined.select(*out)
 
 
 def before_after(recs: DataFrame) -> DataFrame:

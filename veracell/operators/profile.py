@@ -5,9 +5,11 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
+from veracell.functions.arrow import arrays, matrix
 from veracell.functions.hashing import unit_hash
 from veracell.functions.joins import join_group_facts
 from veracell.operators.quantiles import group_ranks, quantiles
@@ -215,23 +217,48 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+def missing_patterns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(gaps, n): which columns are empty together, one line per pattern of the rows."""
+    gaps = F.array(*[V.present(df, c).isNull().cast("double") for c in columns])
+    return df.groupBy(gaps.alias("gaps")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def missing_correlations(df: DataFrame, columns: list[str] | None = None,
-                         reach: int = 20, least: float = 0.3) -> DataFrame:
-    """Pairs of columns whose null flags correlate; one aggregate, no shuffle."""
+                         least: float = 0.3) -> DataFrame:
+    """Pairs of columns whose null flags correlate, of all pairs.
+
+    Rows become one line per null pattern; the patterns give, in one pass, how often each two
+    columns are empty together.
+    """
     columns = columns or simple_columns(df)
-    gaps = {c: V.present(df, c).isNull().cast("double") for c in columns}
-    counts = df.agg(*[F.sum(e).alias(f"c{i}") for i, e in enumerate(gaps.values())]).first()
-    with_null = [c for i, c in enumerate(columns) if counts[i]]
-    pairs = [(with_null[i], with_null[j]) for i in range(len(with_null))
-             for j in range(i + 1, min(len(with_null), i + reach))]
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "column_a string, column_b string, correlation double")
-    wide = df.agg(*[F.corr(gaps[a], gaps[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                 F.round(f"p{i}", 3).alias("correlation"), F.col(f"p{i}").alias("raw"))
-        for i, (a, b) in enumerate(pairs)]))).where(F.abs("raw") > least).drop("raw")
+    d = len(columns)
+
+    def together(batches):
+        held = np.zeros((d + 1, d + 1))
+        for b in batches:
+            if b.num_rows:
+                g, n = matrix(b.column(0)), b.column(1).to_numpy()
+                g = np.concatenate([g, np.ones((len(g), 1))], 1)
+                held += (g * n[:, None]).T @ g
+        yield pa.RecordBatch.from_arrays([arrays(held.reshape(1, -1))], ["v"])
+
+    both = np.zeros((d + 1) ** 2)
+    for r in missing_patterns(df, columns).mapInArrow(together, "v array<double>").select(
+            F.posexplode("v").alias("i", "v")).where("v <> 0").groupBy("i").agg(
+            F.sum("v").alias("v")).collect():
+        both[r["i"]] = r["v"]
+    both = both.reshape(d + 1, d + 1)
+    one, n = both[:d, d], both[d, d]
+    spread = np.sqrt(np.maximum(n * one - one ** 2, 0))
+    found = []
+    for i, j in zip(*np.triu_indices(d, 1)):
+        if spread[i] > 0 and spread[j] > 0:
+            r = float((n * both[i, j] - one[i] * one[j]) / (spread[i] * spread[j]))
+            if abs(r) > least:
+                found.append((columns[i], columns[j], r))
+    return df.sparkSession.createDataFrame(
+        found, "column_a string, column_b string, correlation double").withColumn(
+        "correlation", F.round("correlation", 3))
 
 
 def missing_class(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -186,6 +186,27 @@ def _(spark, d):
                                           F.count_distinct("row_id").alias("rows"))
 
 
+@query("rebuilt_table_part", """WITH m AS (SELECT round(median(p_retailprice), 4) AS m FROM part)
+ SELECT p_partkey, p_size, p_retailprice AS before, CASE WHEN p_partkey % 9 = 0 THEN m ELSE
+ p_retailprice END AS first, CASE WHEN p_partkey % 18 = 9 THEN m ELSE p_retailprice END AS last
+ FROM part, m""")
+def _(spark, d):
+    """Repairs of one day, half of them taken back on the next: the table after each day."""
+    df = table(spark, d, "part")
+    _, log = C.apply_actions(df, "p_partkey", part_recs(spark, d, "p_retailprice",
+                                                        "impute_median", 9))
+    undone = log.where("row_id % 18 = 0").withColumns({
+        "original_value": F.col("new_value"), "new_value": F.col("original_value")})
+    days = [F.lit(t).cast("timestamp") for t in (
+        "2024-01-01 10:00:00", "2024-01-02 10:00:00")]
+    book = C.audit(undone, "r2", "lof", at=days[1]).unionByName(C.audit(
+        log, "r1", "lof", at=days[0]))
+    first, last = (C.rebuild(df, "p_partkey", book, t).select(
+        "p_partkey", F.col("p_retailprice").alias(name)) for t, name in zip(days, ("first", "last")))
+    return df.select("p_partkey", "p_size", F.col("p_retailprice").alias("before")).join(
+        first, "p_partkey").join(last, "p_partkey")
+
+
 @query("audit_export_part", f"""WITH {LOG} SELECT row_id::VARCHAR AS row_index, column_name, action, 'lof' AS
  method_trigger, risk_level FROM lg""")
 def _(spark, d):
