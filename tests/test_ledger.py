@@ -13,7 +13,7 @@ def test_the_last_change_of_a_cell_counts(spark):
              (4, "s", 2, "z", 1), (5, "__all__", 3, None, 2)]
     book = spark.createDataFrame(lines[::-1], "n long, column_name string, row_id long, "
                                               "new_value string, day int").select(
-        F.concat(F.lit("TXN-20240101-"), F.lpad(F.col("n").cast("string"), 4, "0")).alias(
+        F.concat(F.lit("TXN-20240101-"), F.format_string("%04d", "n")).alias(
             "transaction_id"), F.when(F.col("day") == 1, t1).otherwise(t2).alias("timestamp"),
         "row_id", "column_name", "new_value", F.when(F.col("column_name") == "__all__",
                                                      "remove_row").otherwise("winsorize").alias("action"))
