@@ -122,19 +122,31 @@ def all_ranges(column: str, dictionary=None, matcher: str = "affix") -> list[Ran
             elif label == best_label and r not in best:
                 best.append(r)
     if not best and matcher == "word":
-        best = _research_ranges(name, dictionary if dictionary is not None else ranges())
+        best = _ruled_ranges(name, dictionary if dictionary is not None else ranges())
     return best
 
 
-def _research_ranges(name: str, dictionary) -> list[Range]:
-    """Columns of expression or protein levels, named after the gene or protein they measure."""
-    if name.startswith("gene_expr"):
-        return [r for r in dictionary if r.name == "gene_expression"]
-    if name.startswith("protein_"):
-        protein = re.sub(r"^protein_(level_)?", "", name)
-        hits = [r for r in dictionary if protein in r.name or r.name in protein]
-        return hits[:1] or [Range("protein", 0.0, 100000.0, category="biomarker")]
-    return []
+_COMPARE = {"exact": str.__eq__, "prefix": str.startswith, "contains": str.__contains__}
+
+
+def column_rule(purpose: str, name: str) -> dict | None:
+    """The first line of ``column_rules`` for this purpose that a column name meets."""
+    return next((r for r in table("column_rules") if r["purpose"] == purpose
+                 and _COMPARE[r["compare"]](name, r["text"])), None)
+
+
+def _ruled_ranges(name: str, dictionary) -> list[Range]:
+    """Entries for a column that no name or synonym matches: by rule, or by the rule's limits."""
+    rule = column_rule("ranges", name)
+    if rule is None:
+        return []
+    if rule["entry"]:
+        return [r for r in dictionary if r.name == rule["entry"]]
+    rest = name.removeprefix(rule["text"])
+    near = (r for r in dictionary if _tiers_substring(rest, r.name) is not None)
+    stem = rule["text"].split("_")[0]
+    return [next(near, Range(stem, _num(rule["low"]), _num(rule["high"]),
+                             category=rule["category"]))]
 
 
 def find_range(column: str, sex: str | None = None, dictionary=None,
@@ -150,17 +162,10 @@ def range_by_loinc(code: str) -> Range | None:
 
 
 def allowed_values(column: str) -> list[str] | None:
-    """Accepted spellings of a sex, smoking or race column, None for any other."""
-    name = snake(column)
-    if "sex" in name or "gender" in name:
-        key = "valid_sex"
-    elif name in ("smoking", "smoking_status", "smoker", "tobacco"):
-        key = "valid_smoking"
-    elif name in ("race", "ethnicity", "ethnic_group"):
-        key = "valid_race"
-    else:
-        return None
-    return [r["value"] for r in table("allowed_values") if r["vocabulary"] == key]
+    """Accepted spellings of a coded column, None where no rule names the column."""
+    rule = column_rule("values", snake(column))
+    return rule and [r["value"] for r in table("allowed_values")
+                     if r["vocabulary"] == rule["entry"]]
 
 
 def vocabulary(column: str) -> list[dict] | None:
