@@ -492,7 +492,7 @@ def test_pipeline(spark):
     three = stages["repeated bytes"](spark, two, SF).cache()
     assert three.columns == columns
     want = {d: x.decode("utf-8", "ignore") for d, *_, x in brute.cut(
-        [r for r in rows if r[0] in kept])}
+        [r for r in rows if r[0] in kept], corpus_pipeline.PASSAGE_BYTES)}
     got_ = {r.doc_id: r.text for r in three.collect()}
     assert got_ == want
     four = stages["decontamination"](spark, three, SF).cache()
