@@ -6,8 +6,7 @@ import __spark_entry__ as entry
 from check_queries import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"density_clusters_embeddings", "full_analysis_part", "auto_clean_metrics_customer",
-        "robust_pca_lineitem", "isolation_forest_lineitem"}
+SLOW = {"density_clusters_embeddings", "full_analysis_part", "auto_clean_metrics_customer"}
 
 
 @pytest.fixture(scope="module")
