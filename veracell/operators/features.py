@@ -13,19 +13,14 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                RegexTokenizer)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veracell.functions import values as V
 from veracell.functions.arrow import arrays, matrix
 from veracell.functions.hashing import fingerprint
 from veracell.functions.joins import join_group_facts
-from veracell.functions.session import materialise
+from veracell.functions.session import cut_lineage, materialise
 from veracell.functions.stop_words import STOP_WORDS
 from veracell.operators.quantiles import quantiles
 
@@ -109,14 +104,17 @@ def text_shape(text: Column) -> dict[str, Column]:
     }
 
 
+def value_print(df: DataFrame, column: str) -> Column:
+    return fingerprint(F.coalesce(V.as_text(df, column), F.lit("")))
+
+
 def value_frequency(df: DataFrame, column: str) -> DataFrame:
     """Add ``value_freq`` and ``is_rare``.
 
     Values are counted by a 128-bit fingerprint, so the exchanged tables hold no text; a hot value
     is one line of the counts, and frequent lines are broadcast.
     """
-    h = fingerprint(F.coalesce(V.as_text(df, column), F.lit("")))
-    hashed = df.withColumn("__h", h)
+    hashed = df.withColumn("__h", value_print(df, column))
     counts = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
     out = join_group_facts(hashed, counts, "__h", df.count())
     return out.withColumn("value_freq", F.col("n").cast("double")) \
@@ -125,7 +123,6 @@ def value_frequency(df: DataFrame, column: str) -> DataFrame:
 
 # ---- TF-IDF ------------------------------------------------------------------------------------
 
-WORD_BREAK = r"[^\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
 
 
@@ -161,17 +158,34 @@ def vocabulary(df: DataFrame, column: str, most: int = 20, least_docs: int = 2)
                       [float(np.log((1 + n) / (1 + r["docs"])) + 1) for r in top])
 
 
+def _weights(texts: pa.Array, vocab: Vocabulary) -> np.ndarray:
+    """L2-normalised TF-IDF of each text; without terms of the vocabulary all zero."""
+    at = {t: i for i, t in enumerate(vocab.terms)}
+    tf = np.zeros((len(texts), len(at)))
+    for row, text in enumerate(texts.to_pylist()):
+        for word in _WORD.findall((text or "").lower()):
+            i = at.get(word)
+            if i is not None:
+                tf[row, i] += 1
+    x = tf * np.array(vocab.idf)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size > 0, size, 1.0)
+
+
+def tfidf(text: Column, vocab: Vocabulary, basis: np.ndarray | None = None) -> Column:
+    """The TF-IDF vector of a text over the vocabulary, or its coordinates in a basis; row-local."""
+    if not vocab.terms:
+        return F.array().cast("array<double>")
+
+    @F.arrow_udf("array<double>")
+    def vector(column: pa.Array) -> pa.Array:
+        x = _weights(column, vocab)
+        return arrays(x if basis is None else x @ basis)
+    return vector(text)
+
+
 def with_tfidf(df: DataFrame, column: str, vocab: Vocabulary, out: str) -> DataFrame:
-    """Add the L2-normalised TF-IDF vector over the vocabulary; row-local, in the JVM."""
-    text, words, tf, weighted, unit = (f"__{s}_{out}" for s in ("x", "w", "tf", "i", "u"))
-    data = df.withColumn(text, F.coalesce(V.as_text(df, column), F.lit("")))
-    data = RegexTokenizer(pattern=WORD_BREAK, inputCol=text, outputCol=words).transform(data)
-    data = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol=words, outputCol=tf) \
-        .transform(data)
-    data = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol=tf,
-                              outputCol=weighted).transform(data)
-    data = Normalizer(p=2.0, inputCol=weighted, outputCol=unit).transform(data)
-    return data.withColumn(out, vector_to_array(unit)).drop(text, words, tf, weighted, unit)
+    return df.withColumn(out, tfidf(V.as_text(df, column), vocab))
 
 
 def gram_matrix(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -208,14 +222,6 @@ def eigen(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, v * np.where(lead < 0, -1.0, 1.0)
 
 
-def projector(matrix: np.ndarray):
-    """An Arrow UDF that multiplies an array column by a small matrix."""
-    @F.pandas_udf("array<double>")
-    def multiply(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array(x.tolist(), dtype=float) @ matrix))
-    return multiply
-
-
 def svd_basis(df: DataFrame, column: str, vocab: Vocabulary, most: int = 5) -> np.ndarray:
     """Right singular vectors of the TF-IDF matrix from its small Gram matrix."""
     _, _, g = gram_matrix(with_tfidf(df.select(V.col(column)), column, vocab, "v"), "v")
@@ -225,8 +231,7 @@ def svd_basis(df: DataFrame, column: str, vocab: Vocabulary, most: int = 5) -> n
 
 def with_components(df: DataFrame, column: str, vocab: Vocabulary, basis: np.ndarray,
                     out: str) -> DataFrame:
-    data = with_tfidf(df, column, vocab, f"__t_{out}")
-    return data.withColumn(out, projector(basis)(f"__t_{out}")).drop(f"__t_{out}")
+    return df.withColumn(out, tfidf(V.as_text(df, column), vocab, basis))
 
 
 # ---- layout and matrix -------------------------------------------------------------------------
@@ -295,45 +300,51 @@ def plan_features(df: DataFrame, profile: list, with_text: bool = True) -> Layou
 
 
 def raw_features(df: DataFrame, key: str, lay: Layout) -> DataFrame:
-    """(row_id, x): every feature before standardising."""
-    data = df
-    for i, c in enumerate(lay.texts):
-        data = value_frequency(data, c).withColumnRenamed("value_freq", f"__freq{i}") \
-            .withColumnRenamed("is_rare", f"__rare{i}")
-        vocab, basis = lay.texts[c]
-        if basis is not None:
-            data = with_components(data, c, vocab, basis, f"__svd{i}")
-    singles = [F.coalesce(V.number(df, c), F.lit(float(m))) for c, m in lay.numeric.items()]
-    by_source = dict(zip(lay.numeric, singles))
-    parts, flat, done = [], [], set()
+    """(row_id, x): every feature before standardising.
+
+    Everything that one row decides is computed first. Where value frequencies must be joined, these
+    numbers are written with a fingerprint per text column, so texts are read once and cross no
+    exchange.
+    """
+    singles = {c: F.coalesce(V.number(df, c), F.lit(float(m))) for c, m in lay.numeric.items()}
+    prints = {c: f"__h{i}" for i, c in enumerate(lay.texts)}
+    local, parts, flat = [], [], []
 
     def flush():
         if flat:
-            parts.append(F.array(*flat))
+            local.append(F.array(*flat).alias(f"__p{len(local)}"))
+            parts.append(F.col(f"__p{len(local) - 1}"))
             flat.clear()
 
-    for c in lay.sources:
-        if c in done:
-            continue
-        done.add(c)
-        if c in by_source:
-            flat.append(by_source[c])
+    for c in dict.fromkeys(lay.sources):
+        if c in singles:
+            flat.append(singles[c])
         elif c in lay.levels:
             v = F.coalesce(V.as_text(df, c), F.lit(MISSING))
             flat.extend((v == level).cast("double") for level in lay.levels[c])
         else:
-            vocab, basis = lay.texts[c]
-            text, i = V.as_text(df, c), list(lay.texts).index(c)
+            (vocab, basis), text = lay.texts[c], V.as_text(df, c)
             flat.extend(text_shape(text).values())
-            flat.extend([F.col(f"__freq{i}"), F.col(f"__rare{i}")])
+            flush()
+            parts.append(F.col(f"__f{prints[c]}"))
             if basis is not None:
-                flush()
-                parts.append(F.col(f"__svd{i}"))
+                local.append(tfidf(text, vocab, basis).alias(f"__p{len(local)}"))
+                parts.append(F.col(f"__p{len(local) - 1}"))
     flush()
+    data = df.select(F.col(key).alias("row_id"), *local,
+                     *[value_print(df, c).alias(h) for c, h in prints.items()])
+    if prints:
+        data = cut_lineage(data)
+        total = data.count()
+    for h in prints.values():
+        counts = data.groupBy(h).agg(F.count(F.lit(1)).alias("n"))
+        data = join_group_facts(data, counts, h, total).withColumn(
+            f"__f{h}", F.array(F.col("n").cast("double"), (F.col("n") == 1).cast("double"))).drop(
+            h, "n")
     x = (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else F.array(F.lit(0.0))
     bad = lambda v: F.isnan(v) | v.isNull() | (F.abs(v) == float("inf"))
-    return data.select(F.col(key).alias("row_id"),
-                       F.transform(x, lambda v: F.when(bad(v), 0.0).otherwise(v)).alias("x"))
+    return data.select("row_id", F.transform(
+        x, lambda v: F.when(bad(v), 0.0).otherwise(v)).alias("x"))
 
 
 def standardise(raw: DataFrame, lay: Layout | None = None) -> DataFrame:
