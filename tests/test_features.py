@@ -71,3 +71,16 @@ def test_no_exchange_carries_text(texts):
     kinds = {leaves.apply(i).schema().apply(j).dataType().simpleString()
              for i in range(leaves.size()) for j in range(leaves.apply(i).schema().size())}
     assert "string" not in kinds and "array<double>" in kinds
+
+
+def test_hot_values_and_no_rows(spark, texts):
+    many = spark.range(150_000).selectExpr("id AS k", "0.5D AS v", "'p' AS kind",
+                                           "if(id % 3 = 0, 'alpha beta', concat('t', id % 50000)) AS t")
+    lay = X.plan_features(texts.drop("u"), PROFILE[:3])
+    at = {n: i for i, n in enumerate(lay.names)}
+    got = X.raw_features(many, "k", lay).selectExpr(
+        "row_id % 3 = 0 AS hot", f"x[{at['t__value_freq']}] AS n")
+    rows = {(r["hot"], r["n"]): r["count"] for r in got.groupBy("hot", "n").count().collect()}
+    assert rows[True, 50000.0] == 50000 and sum(rows.values()) == 150_000
+    assert set(n for hot, n in rows if not hot) == {2.0}
+    assert X.raw_features(many.limit(0), "k", lay).count() == 0
