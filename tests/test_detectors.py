@@ -172,3 +172,23 @@ def test_hashed_neighbours_of_one_hot_code(spark):
     far = {r["pid"]: [s["pid"] for s in r["near"]] for r in near}
     assert 3001 in far[3000] and 3000 in far[3001]
     assert all(len(v) >= 1 for v in far.values())
+
+
+@pytest.mark.parametrize("held", [1 << 24, 0])
+def test_robust_pca_holds_bounded_pieces(spark, cloud, monkeypatch, held):
+    """A task's rows go through the rounds in pieces, of which few stay in memory."""
+    monkeypatch.setattr(DT, "PIECE_CELLS", 640)
+    monkeypatch.setattr(DT, "HELD_CELLS", held)
+    x = np.concatenate([cloud / cloud.std(0)] * 3)  # copies are fitted as counts
+    got = DT.robust_pca(points(spark, x), max_iter=12, refresh=5).scores.toPandas() \
+        .sort_values("row_id")["raw"].to_numpy()
+    n, d = x.shape
+    lam, mu = 1 / np.sqrt(max(n, d)), n * d / (4 * np.abs(x).sum() + 1e-10)
+    s, y = np.zeros_like(x), np.zeros_like(x)
+    for _ in range(12):
+        u, sig, vt = np.linalg.svd(x - s + y / mu, full_matrices=False)
+        low = u * np.maximum(sig - 1 / mu, 0) @ vt
+        t = x - low + y / mu
+        s = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0)
+        y = y + mu * (x - low - s)
+    np.testing.assert_allclose(got, np.abs(s).mean(1), atol=1e-8)
