@@ -192,3 +192,23 @@ def test_robust_pca_holds_bounded_pieces(spark, cloud, monkeypatch, held):
         s = np.sign(t) * np.maximum(np.abs(t) - lam / mu, 0)
         y = y + mu * (x - low - s)
     np.testing.assert_allclose(got, np.abs(s).mean(1), atol=1e-8)
+
+
+def test_vectors_move_by_halls(spark, monkeypatch):
+    """A query's vector travels once to a hall, whatever the number of blocks in it."""
+    monkeypatch.setattr(knn, "HALLS", 3)
+    calls = []
+    find = knn._search_hall
+    monkeypatch.setattr(knn, "_search_hall", lambda k: calls.append(k) or find(k))
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 12))
+    x[40:60] = x[7]
+    got = knn.edges(points(spark, x), 6, 32).toPandas().sort_values(["row_id", "rank"])
+    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    np.testing.assert_allclose(got["distance"].to_numpy().reshape(-1, 6),
+                               np.sort(d, axis=1)[:, :6], rtol=1e-12)
+    assert calls == [7]
+    lines = [{"block": f"{i}", "pivot": i % 5, "inner": float(i), "size": 32} for i in range(22)]
+    ordered, halls = knn._halls(x[:5], lines, 240)
+    assert len(ordered) == 22 and max(np.bincount(halls)) <= 7 and halls.max() == 3
