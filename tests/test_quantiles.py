@@ -69,3 +69,16 @@ def test_numbering(spark):
     df = spark.range(1000).withColumn("k", F.col("id") * 37 % 1000)
     got = number_rows(df, ["k"]).select("k", "n").toPandas()
     assert (got["n"] == got["k"] + 1).all()
+
+
+def test_ranks_between_the_same_bounds_share_a_sketch(spark, monkeypatch):
+    asked = []
+    sketch = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: asked.append(1) or sketch(*a))
+    v = np.random.default_rng(3).normal(size=4000)
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "w": -v}))
+    probs = [0.1, 0.25, 0.5, 0.9]
+    got = quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs, small=500)
+    np.testing.assert_allclose(got["v"], np.quantile(v, probs), rtol=1e-12)
+    np.testing.assert_allclose(got["w"], np.quantile(-v, probs), rtol=1e-12)
+    assert len(asked) == 2
