@@ -84,3 +84,20 @@ def test_hot_values_and_no_rows(spark, texts):
     assert rows[True, 50000.0] == 50000 and sum(rows.values()) == 150_000
     assert set(n for hot, n in rows if not hot) == {2.0}
     assert X.raw_features(many.limit(0), "k", lay).count() == 0
+
+
+def test_texts_of_a_batch_are_taken_in_slabs(monkeypatch):
+    """What a task holds beside its batch is bounded by bytes, not by the rows of a batch."""
+    import pyarrow as pa
+    from veracell.functions import arrow
+    texts = pa.array(["ab c"] * 50 + [None, "", "é" * 300, "x1 Y"] + ["long " * 90] * 9)
+    monkeypatch.setattr(arrow, "SLAB", 100)
+    parts = list(arrow.text_slabs(texts))
+    assert pa.concat_arrays(parts).equals(texts) and list(arrow.text_slabs(texts[:0])) == []
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 100 for p in parts)
+    held = []
+    count = X._shape_of
+    monkeypatch.setattr(X, "_shape_of", lambda part: held.append(len(part)) or count(part))
+    got = X._shape.func(texts)
+    assert len(held) > 10 and max(held) <= 30
+    assert np.array_equal([list(r.values()) for r in got.to_pylist()], count(texts).T)
