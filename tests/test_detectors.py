@@ -212,3 +212,20 @@ def test_vectors_move_by_halls(spark, monkeypatch):
     lines = [{"block": f"{i}", "pivot": i % 5, "inner": float(i), "size": 32} for i in range(22)]
     ordered, halls = knn._halls(x[:5], lines, 240)
     assert len(ordered) == 22 and max(np.bincount(halls)) <= 7 and halls.max() == 3
+
+
+def test_rows_walk_all_trees_in_step():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    kinds = ("tree", "node", "feature", "cut", "left", "right", "depth")
+    nodes = pd.DataFrame([n for t, part in enumerate((x[:64], x[:1], x[64:200])) for n in DT._grow(
+        t, part, 5)], columns=kinds).sort_values(["tree", "node"], ignore_index=True)
+    for t, walk in enumerate(DT._walks(nodes)):
+        own = nodes[nodes["tree"] == t].set_index("node")
+        want = []
+        for v in x:
+            at = own.loc[0]
+            while at["feature"] >= 0:
+                at = own.loc[at["left"] if v[int(at["feature"])] <= at["cut"] else at["right"]]
+            want.append(at["depth"])
+        assert DT._path_lengths(x, walk).tolist() == want
