@@ -37,6 +37,31 @@ def test_near_duplicates_match_brute_force(spark, threshold, block):
     assert (got["similarity"] >= threshold).all()
 
 
+@pytest.mark.parametrize("largest", [1, 30, 1000])
+def test_small_blocks_take_one_exchange(spark, largest, monkeypatch):
+    """Blocks of 1 to 60 rows and a null block, over several batches, by both ways."""
+    monkeypatch.setattr(D, "BLOCK_ROWS", largest)
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 7, 30, 60, 5, 40]
+    pdf = pd.DataFrame({"b": np.repeat([f"g{i}" for i in range(len(sizes))], sizes)})
+    pdf.loc[pdf["b"] == "g7", "b"] = None
+    pdf.insert(0, "k", rng.permutation(len(pdf)))
+    cols = [f"c{i}" for i in range(5)]
+    for c in cols:
+        pdf[c] = [("long " * 30 if x == 1 else " ") + f"v{x} " for x in rng.integers(0, 4, len(pdf))]
+        pdf.loc[rng.random(len(pdf)) < 0.1, c] = None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = D.near_duplicates(spark.createDataFrame(pdf), "k", cols, ["b"], 0.6)
+        plan = out._jdf.queryExecution().toString()
+        got = out.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = greedy(pdf, cols, ["b"], 0.6)
+    assert dict(zip(got["row_id"], got["leader_id"])) == want and len(want) > 60
+    assert largest < 60 or "Join" not in plan
+
+
 @pytest.mark.parametrize("width,keys", [(8, 5), (40, 512), (27, 64)])
 def test_near_duplicates_of_wide_tables(spark, width, keys, monkeypatch):
     """More choices of fields than keys a row may have: leaders are compared, not enumerated."""

@@ -6,13 +6,16 @@ keyed by every choice of ``g - t`` out of ``g`` field groups, with as many group
 allows. If every field is a group, two rows share a key exactly when they are similar enough, and
 leaders and members follow from minima over the keys. In wider tables sharing a key is only
 necessary: leaders are then taken round by round, each compared with the rows of its keys. Either
-way a set of s similar rows costs s lines, never s * s pairs.
+way a set of s similar rows costs s lines, never s * s pairs. Where blocking columns leave small
+blocks, one exchange by block replaces all this: each block is decided in order in its task.
 """
 from __future__ import annotations
 
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions import values as V
@@ -26,6 +29,10 @@ BLOCK_WORDS = ["patient", "subject", "subj", "ptid", "record", "id", "identifier
                "enrollment"]
 #: Keys that a row may have.
 KEYS = 128
+#: Rows of a block that are compared in one task; larger blocks take the way by keys.
+BLOCK_ROWS = 1000
+#: Bytes of a field that is compared as it is; longer ones are by their SHA-256.
+FIELD_BYTES = 64
 
 
 def blocking_columns(df: DataFrame, columns: list[str], most: int = 2) -> list[str]:
@@ -112,11 +119,83 @@ def near_duplicates(df: DataFrame, key: str, compare: list[str], block: list[str
     """
     block = block or []
     t = allowed_mismatches(len(compare), threshold)
-    text = {c: V.strip(V.as_text(df, c)) for c in compare}
-    blocks = [V.as_text(df, c) for c in block]
-    rows = df.select(F.col(key).alias("row_id"), *[e.alias(f"b{i}") for i, e in enumerate(blocks)],
-                     *[e.alias(f"f{i}") for i, e in enumerate(text.values())])
-    b = [F.col(f"b{i}") for i in range(len(blocks))]
+    text = [_short(V.strip(V.as_text(df, c))) for c in compare]
+    rows = df.select(F.col(key).alias("row_id"), *[e.alias(f"f{i}") for i, e in enumerate(text)],
+                     *([fingerprint(*[V.as_text(df, c) for c in block]).alias("b")] if block
+                       else []))
+    if not block:
+        return _by_keys(df, cut_lineage(rows), compare, t)
+    large = cut_lineage(rows.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > BLOCK_ROWS).select("b"))
+    if large.isEmpty():
+        return _within_blocks(rows, len(compare), t)
+    return _within_blocks(rows.join(large, "b", "left_anti"), len(compare), t).unionByName(
+        _by_keys(df, cut_lineage(rows.join(large, "b", "left_semi")), compare, t))
+
+
+def _short(c: Column) -> Column:
+    return F.when(F.octet_length(c) > FIELD_BYTES, F.concat(F.lit("\u0000"), F.sha2(c, 256))) \
+        .otherwise(c)
+
+
+def _within_blocks(rows: DataFrame, fields: int, t: int) -> DataFrame:
+    """The clusters of (b, row_id, f0, f1, ...) whose blocks b are small: one exchange by block."""
+    id_type = rows.schema["row_id"].dataType.simpleString()
+    return rows.repartition("b").sortWithinPartitions("b", "row_id").select(
+        F.col("b.h1").alias("h1"), F.col("b.h2").alias("h2"), "row_id",
+        *[f"f{i}" for i in range(fields)]).mapInArrow(
+        _in_order(fields, t), f"leader_id {id_type}, row_id {id_type}, similarity double")
+
+
+def _block_starts(t: pa.Table) -> np.ndarray:
+    h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
+    return np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+
+
+def _in_order(fields: int, t: int):
+    """Leaders and followers of whole blocks, sorted by block and row."""
+    def decide(rows: pa.Table) -> pa.RecordBatch:
+        n, starts = rows.num_rows, _block_starts(rows)
+        first = np.repeat(starts, np.diff(np.append(starts, n)))
+        place = np.arange(n) - first
+        codes = [rows.column(f"f{i}").combine_chunks().dictionary_encode().indices.fill_null(-1)
+                 .to_numpy(zero_copy_only=False) for i in range(fields)]
+        leader, same = np.full(n, -1), np.zeros(n, np.int64)
+        opened, p = np.arange(n), 0
+        while len(opened):  # the p-th row of every block leads if no row before it took it
+            opened = opened[place[opened] > p]
+            lead = first[opened] + p
+            leads = leader[lead] < 0
+            row, lead = opened[leads], lead[leads]
+            equal = sum((c[row] == c[lead]).astype(np.int64) for c in codes)
+            hit = equal >= fields - t
+            leader[row[hit]], same[row[hit]] = lead[hit], equal[hit]
+            opened, p = opened[leader[opened] < 0], p + 1
+        row = np.flatnonzero(leader >= 0)
+        ids = rows.column("row_id").combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(leader[row])), ids.take(pa.array(row)),
+             pa.array(same[row] / float(fields))], ["leader_id", "row_id", "similarity"])
+
+    def run(batches):
+        held = None  # the last block may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            last = int(_block_starts(held)[-1])
+            if last:
+                yield decide(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield decide(held)
+    return run
+
+
+def _by_keys(df: DataFrame, rows: DataFrame, compare: list[str], t: int) -> DataFrame:
+    """The clusters of (row_id, f0, f1, ...) and perhaps a block b, by keys over field groups."""
+    b = [F.col(f"b.{h}").cast("string") for h in ("h1", "h2")] if "b" in rows.columns else []
     f = {c: F.col(f"f{i}") for i, c in enumerate(compare)}
     if t and len(compare) > t + 1:
         groups = _pigeonhole_groups(df, compare, t + 1)
