@@ -72,3 +72,22 @@ def test_short_lists_are_searched_again(feats, rows):
     near = R.graph_of(rows, graph, RUNS, 20)
     have = F.col("copies") + F.aggregate("near", F.lit(0).cast("long"), lambda a, s: a + s.w)
     assert near.where(have < 20).isEmpty()
+
+
+def test_methods_share_the_lists_of_the_replicates(feats, rows, monkeypatch):
+    graph = knn.neighbours(feats, 30).cache()
+    given = {"graph": graph, "members": knn.to_rows(feats, graph.select("x", "pid", "w"))}
+    want = R.neighbour_scores(rows, RUNS, **given).collect()
+    lists = R.shared_lists(rows, {"lof": given, "hdbscan": given}, RUNS, {})
+
+    def again(*_):
+        raise AssertionError("the lists were made again")
+
+    monkeypatch.setattr(R, "graph_of", again)
+    got = {r["row_id"]: r["s"] for r in R.neighbour_scores(rows, RUNS, **given, lists=lists).collect()}
+    assert {r["row_id"]: [v is None for v in r["s"]] for r in want} == {
+        k: [v is None for v in s] for k, s in got.items()}
+    for r in want:
+        np.testing.assert_allclose([v or 0 for v in got[r["row_id"]]], [v or 0 for v in r["s"]])
+    drawn = rows.where(F.array_max("wv") > 0).count()  # in one replicate at least
+    assert R.density_replicates(rows, RUNS, **given, lists=lists).count() == drawn

@@ -28,3 +28,17 @@ def test_defaults(spark, monkeypatch, name, owner, function, given, options):
     assert len(args) == given and kwargs == {}
     if options:
         assert args[2] == options
+
+
+def test_the_analysed_table_is_spread(spark, monkeypatch):
+    """A table of one file is not read by one task in every phase."""
+    def understood(df, config):
+        raise Called(df.rdd.getNumPartitions(), df.count())
+
+    monkeypatch.setattr(analysis, "_understand", understood)
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    assert part.rdd.getNumPartitions() == 1
+    with pytest.raises(Called) as got:
+        analysis.analyze(part, ["p_partkey"])
+    parts, rows = got.value.args
+    assert parts > 1 and rows == part.count()
