@@ -66,6 +66,15 @@ def cut(rows, length=400):
     return out
 
 
+def passage_words(rows, length=51):
+    """Words of each row in runs of ``length`` words that another row has too."""
+    texts = [[w for w in re.split(r"[ \t-\r]+", t or "") if w] for _, t in rows]
+    runs = [[tuple(w[i:i + length]) for i in range(len(w) - length + 1)] for w in texts]
+    rows_with = Counter(x for r in runs for x in set(r))
+    return [len({j for i, x in enumerate(r) if rows_with[x] > 1 for j in range(i, i + length)})
+            for r in runs]
+
+
 def quality_counts(text):
     text = text or ""
     w = PLAIN.findall(text)

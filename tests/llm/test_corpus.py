@@ -314,6 +314,53 @@ def test_repeats_of_other_lengths(spark, rows):
     same(got(repeats.remove_repeats(df, length=200)), brute.repeats(rows, 200))
 
 
+def test_passages_of_over_50_words_are_told_whatever_their_bytes(spark):
+    rng = random.Random(12)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(4)) for _ in range(n))
+    longer, just, less, common = words(51), words(51), words(50), words(60)
+    texts = [f"{words(30)} {longer} {words(40)}", f"{words(9)}\n{longer.replace(' ', '  ')}",
+             f"{just}", f"{words(80)} {just}", f"{words(5)} {less} x", f"{words(5)} {less} y",
+             f"{common} {words(3)} {common}", f"{words(9)} {longer[:-1]}", just, words(500),
+             None, "", "a " * 200, "a " * 60, "a " * 50]
+    texts += [f"{words(i % 4)} {common} {words(3 - i % 4)}" for i in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = repeats.remove_repeats(docs, passage_words=51)
+    want = [(*r, n) for r, n in zip(brute.repeats(rows), brute.passage_words(rows))]
+    same(got(out), want)
+    assert [n for *_, n in want[:6]] == [51, 51, 51, 51, 0, 0] and want[0][2] == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"piece": 97}, {"gram": 1}])
+def test_passages_of_words(docs, spark, rows, options):
+    rng = random.Random(6)
+    blocks = [" ".join(rng.choice("abc") for _ in range(rng.randint(20, 90))) for _ in range(9)]
+    mixed = list({" ".join(rng.choice(blocks) for _ in range(rng.randint(1, 4)))
+                  for _ in range(60)})
+    for some in (rows, list(enumerate(mixed))):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        found = {(r.h1, r.h2): r.n_shared for r in repeats.shared_words(df, **options).collect()}
+        seen = Counter(t for _, t in some)
+        for r, (_, t), n in zip(df.select(repeats.text_key(F.col("text")).alias("k")).collect(),
+                                some, brute.passage_words(some)):
+            if seen[t] == 1:
+                assert found.get((r.k.h1, r.k.h2), 0) == n
+
+
+def test_words_of_a_long_text_are_hashed_in_stretches():
+    data = np.frombuffer((" ".join(map(str, range(5000))) + " " + "x" * 4000 + "\n y ").encode(),
+                         np.uint8)
+    ends = np.array([0, len(data)])
+    whole, parts = (textbatch.word_hashes(data, ends, n)[0] for n in (1 << 20, 700))
+    assert len(whole) == 5002 and (whole == parts).all()
+
+
+def test_op6_tells_passages(spark):
+    assert "n_passage_words" in queries.QUERIES["op6_repeats"](spark, SF).columns
+
+
 def test_repeats_with_names_of_its_own(docs, rows):
     odd = docs.withColumns({c: F.lit(1) for c in ("row", "k", "__k", "__starts", "f", "found")})
     assert repeats.without_repeats(odd).count() == len(rows)

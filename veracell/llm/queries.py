@@ -148,7 +148,8 @@ def classifier_query(spark, sf_dir):
 
 @query("op6_repeats")
 def repeat_query(spark, sf_dir):
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"),
+                                  passage_words=repeats.PASSAGE_WORDS)
 
 
 @query("op7_chat_format")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veracell.functions.joins import join_group_facts
-from veracell.functions.session import cut_lineage
+from veracell.functions.session import cut_lineage, forget_shuffles
 from veracell.llm import textbatch as tb
 from veracell.llm.near_duplicates import Groups
 
@@ -52,6 +52,10 @@ WIDTHS = (32, 4, 1)
 #: Bytes of a text that are searched for anchors at once.
 PIECE = 1 << 20
 _FAR = -(1 << 30)
+#: A passage that documents share has over 50 words; bytes are repeated from ``LENGTH`` on.
+PASSAGE_WORDS = 51
+WORD_GRAM = 16
+_NEVER = 1 << 62
 
 
 def text_key(text: Column) -> Column:
@@ -95,12 +99,15 @@ def _surroundings(prefix, at: np.ndarray, first: np.ndarray, last: np.ndarray, l
     return tb.mix64(tb.span_hash(prefix, first, last + length) ^ tb.mix64(layout + np.uint64(1)))
 
 
-def _found_anchors(length: int, gram: int, piece: int = PIECE):
-    """(row, key, surroundings, place, first, last) of all anchors of a batch, some at a time."""
+def _found_anchors(length: int, gram: int, piece: int = PIECE, words: bool = False):
+    """(row, key, surroundings, place, first, last) of all anchors of a batch, some at a time;
+    lengths and places are in words if ``words``, else in bytes."""
     def run(b: pa.RecordBatch):
         texts = tb.text_array(b.column(2))
         for lo, hi in tb.slabs(texts):
             data, offsets = tb.flat(texts.slice(lo, hi - lo))
+            if words:
+                data, offsets = tb.word_hashes(data, offsets)
             if hi - lo > 1 or len(data) <= piece:
                 key, doc, at, first, last = anchors(data, offsets, length, gram)
                 f = _surroundings(tb.prefix_hash(data), at, first, last, length)
@@ -164,7 +171,7 @@ def _split_anchors(length: int, width: int):
     return run
 
 
-def _flat_rows(find):
+def _flat_rows(find, mark):
     """One row per anchor, for counting: its key, its surroundings and which place it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +179,20 @@ def _flat_rows(find):
             for row, key, f, place, _, _ in find(b):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(f.view(np.int64)),
-                     pa.array(_mark(h1[row], h2[row], place))], names=["key", "f", "m"])
+                     pa.array(mark(h1[row], h2[row], place))], names=["key", "f", "m"])
+    return run
+
+
+def _rows_of_lines(mark):
+    """The same of lines that are written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, f, place = (b.column(i) for i in (4, 5, 6))
+            row = np.repeat(np.arange(b.num_rows), np.diff(key.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [key.flatten(), f.flatten(), pa.array(mark(
+                    b.column(2).to_numpy()[row], b.column(3).to_numpy()[row],
+                    place.flatten().to_numpy().astype(np.int64)))], names=["key", "f", "m"])
     return run
 
 
@@ -212,7 +232,7 @@ def _packed(find, buckets: int):
 SETTLED, ORDERED, SPLIT = 0, 1, 2
 
 
-def _sorted_out(hot: int):
+def _sorted_out(hot: int, mark):
     """Streams of a bucket: what was counted of its keys, then the lines of texts, of which the
     anchors that matter are left, with what becomes of them."""
     def flat(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -234,7 +254,7 @@ def _sorted_out(hot: int):
                     continue
                 if many is None:
                     many, several = _counted(held, flat)
-                yield from _judge(b, flat, many, several, hot)
+                yield from _judge(b, flat, many, several, hot, mark)
     return run
 
 
@@ -264,18 +284,23 @@ def _mark(h1, h2, place) -> np.ndarray:
         np.uint64)).view(np.int64)
 
 
-def _judge(b: pa.RecordBatch, flat, many, several, hot: int) -> Iterator[pa.RecordBatch]:
+def _mark_of_text(h1, h2, place) -> np.ndarray:
+    """One number for a text, whatever the place."""
+    return _mark(h1, h2, np.zeros_like(place))
+
+
+def _judge(b: pa.RecordBatch, flat, many, several, hot: int, mark) -> Iterator[pa.RecordBatch]:
     key, f, place, first, last = (flat(b, c) for c in _ENTRY[4:])
     count = np.diff(b.column(4).offsets.to_numpy())
     row = np.repeat(np.arange(b.num_rows), count)
-    mark = _mark(b.column(2).to_numpy()[row], b.column(3).to_numpy()[row], place)
+    own = mark(b.column(2).to_numpy()[row], b.column(3).to_numpy()[row], place)
     what = np.full(len(key), -1, np.int8)
     two, first_mark = np.zeros(len(key), bool), np.zeros(len(key), bool)
     if len(many[0]):
         pairs = _both(many[0], many[1])
         at = np.minimum(np.searchsorted(pairs, _both(key, f)), len(pairs) - 1)
         two = (many[0][at] == key) & (many[1][at] == f)
-        first_mark = two & (many[2][at] == mark)
+        first_mark = two & (many[2][at] == own)
     if len(several[0]):
         at = np.minimum(np.searchsorted(several[0], key), len(several[0]) - 1)
         group = several[0][at] == key
@@ -432,15 +457,18 @@ def _repeated(length: int):
 
 def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
                     gram: int = GRAM, hot: int = HOT_ANCHOR,
-                    widths: tuple[int, ...] = WIDTHS, piece: int = PIECE) -> DataFrame:
+                    widths: tuple[int, ...] = WIDTHS, piece: int = PIECE,
+                    texts: DataFrame | None = None) -> DataFrame:
     """(h1, h2, starts) per distinct text with repeats: intervals [a, z] of window starts whose
-    ``length`` bytes also begin elsewhere in the distinct texts."""
+    ``length`` bytes also begin elsewhere in the distinct texts. ``texts`` are these with their
+    keys, if there are such already."""
     spark = docs.sparkSession
     long = docs.select(F.col(text_col).cast("string").alias("text")).where(
         F.octet_length("text") >= length).select(text_key(F.col("text")).alias("k"), "text").select(
         "k.h1", "k.h2", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = long.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    if texts is None:
+        texts = long.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     schema = "key long, h1 long, h2 long, place int, first int, last int, seg binary"
     found, source, find = None, long, _found_anchors(length, gram, piece)
 
@@ -466,32 +494,144 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = LENGT
         "starts"))
 
 
-def _settle(source: DataFrame, find, buckets: int, hot: int) -> tuple[DataFrame, bool]:
-    """(h1, h2, found) lines of the anchors that matter, and whether any has to be split."""
-    # Anchors are found anew for counting and for fetching: cheaper than holding a line for each.
-    kinds = source.mapInArrow(_flat_rows(find), "key long, f long, m long").groupBy(
-        "key", "f").agg(F.min("m").alias("a"), F.max("m").alias("z"))
+def _settle(source: DataFrame, find, buckets: int, hot: int, mark=_mark,
+            written: bool = False) -> tuple[DataFrame, bool]:
+    """(h1, h2, found) lines of the anchors that matter, and whether any has to be split.
+
+    Surroundings are settled if found at two places, which ``mark`` tells apart.
+    """
+    lines = source.mapInArrow(_packed(find, buckets), ENTRY)
+    if written:
+        lines = cut_lineage(lines)
+        rows = lines.mapInArrow(_rows_of_lines(mark), "key long, f long, m long")
+    else:
+        # Anchors are found anew for counting and for fetching: cheaper than a line for each.
+        rows = source.mapInArrow(_flat_rows(find, mark), "key long, f long, m long")
+    kinds = rows.groupBy(
+        "key", "f").agg(F.min("m").alias("a"), F.max("m").alias("z")).where("a <= z")
     # Copies of a text give the same occurrence, which counts once.
     twice = kinds.where(F.col("a") != F.col("z")).select(
         "key", "f", "a", F.lit(0).cast("long").alias("n"))
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "key", F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("a"), "n")
-    # Written: read for its size and for the lines below; both parts read one exchange.
+    # Written: read for its size and for the lines below. Both parts read one exchange: the condition
+    # on a and z, which always holds, keeps these in both.
     keys = cut_lineage(several.unionByName(twice))
     none = F.array().cast("array<int>")
     counted = keys.select(
         F.pmod("key", F.lit(buckets)).alias("bucket"), F.lit(0).alias("kind"),
         F.col("a").alias("h1"), F.col("n").alias("h2"), F.array("key").alias("key"),
         F.array("f").alias("f"), *[none.alias(c) for c in _ENTRY[6:]])
-    lines = source.mapInArrow(_packed(find, buckets), ENTRY).unionByName(counted)
-    named = lines.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
-        _sorted_out(hot), "h1 long, h2 long, found array<struct<key: bigint, place: int, "
+    named = lines.unionByName(counted).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(
+        _sorted_out(hot, mark), "h1 long, h2 long, found array<struct<key: bigint, place: int, "
                           "first: int, last: int, what: tinyint>>")
     # Copies of a text sent equal lines.
     once = named.groupBy("h1", "h2").agg(F.flatten(F.collect_set("found")).alias("found"))
     return cut_lineage(once), not keys.where(F.col("n") > hot).isEmpty()
 
 
+def _open_windows(words: int):
+    """One row per window of the anchors of a text that are not settled; known are those whose
+    surroundings another text has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, named = tb.text_array(b.column(2)), b.column(3)
+            found = named.flatten()
+            at, first, last, what = (found.field(i).to_numpy().astype(np.int64)
+                                     for i in range(1, 5))
+            row = np.repeat(np.arange(b.num_rows), np.diff(named.offsets.to_numpy()))
+            settled = what == SETTLED
+            known = np.isin(row << 32 | at, (row << 32 | at)[settled])
+            for lo, hi in tb.slabs(texts):
+                hashed, offsets = tb.word_hashes(*tb.flat(texts.slice(lo, hi - lo)))
+                use = np.flatnonzero((row >= lo) & (row < hi) & ~settled)
+                n = last[use] - first[use] + 1
+                of = np.repeat(use, n)
+                place = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                p = offsets[row[of] - lo] + place
+                key = tb.span_hash(tb.prefix_hash(hashed), p, p + words).view(np.int64)
+                rows = pa.array(row[of])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), b.column(0).take(rows), b.column(1).take(rows),
+                     pa.array(place.astype(np.int32)), pa.array(known[of])],
+                    names=["key", "h1", "h2", "place", "known"])
+    return run
+
+
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose window another text has; known ones are settled."""
+    for t, first in Groups().feed(batches):
+        h1, h2, place, known = (t.column(i).to_numpy() for i in range(1, 5))
+        text = _mark_of_text(h1, h2, np.zeros(len(h1), np.int64))
+        both = (np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)) | \
+            np.logical_or.reduceat(known, first)
+        use = np.repeat(both, np.diff(np.append(first, len(h1)))) & ~known
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[use]) for x in (h1, h2, place, place)], names=["h1", "h2", "a", "z"])
+
+
+def _covered(words: int):
+    """How many words the windows of each line cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(2).flatten()
+            a, z = (spans.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+            base = row << 32
+            end = np.maximum.accumulate(base + z + words)
+            before = np.concatenate([[0], end[:-1]])
+            new = np.maximum(0, base + z + words - np.maximum(base + a, before))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.bincount(
+                    row, new, b.num_rows).astype(np.int64))], names=["h1", "h2", "n_shared"])
+    return run
+
+
+def shared_words(docs: DataFrame, text_col: str = "text", words: int = PASSAGE_WORDS,
+                 gram: int = WORD_GRAM, piece: int = PIECE,
+                 texts: DataFrame | None = None) -> DataFrame:
+    """(h1, h2, n_shared) per distinct text that has a run of ``words`` words in common with
+    another one: how many of its words lie in such runs.
+
+    Anchors of words are counted by text like those of bytes by place. Surroundings that two texts
+    have are settled; of the other anchors that two surroundings have, the windows are compared.
+    ``texts`` are the distinct texts with their keys, if there are such already.
+    """
+    spark = docs.sparkSession
+    long = docs.select(F.col(text_col).cast("string").alias("text")).where(
+        F.octet_length("text") >= 2 * words - 1).select(
+        text_key(F.col("text")).alias("k"), "text").select("k.h1", "k.h2", "text")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    named, _ = _settle(long, _found_anchors(words, gram, piece, True), buckets, _NEVER,
+                       _mark_of_text, written=True)
+    forget_shuffles(spark)
+    if texts is None:
+        texts = long.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    more = texts.join(named.where(F.exists("found", lambda x: x.what == ORDERED)), [
+        "h1", "h2"]).select("h1", "h2", "text", "found").mapInArrow(
+        _open_windows(words), "key long, h1 long, h2 long, place int, known boolean").repartition(
+        "key").sortWithinPartitions("key").mapInArrow(
+        _shared_windows, "h1 long, h2 long, a int, z int")
+    settled = named.select("h1", "h2", F.explode(F.filter(
+        "found", lambda x: x.what == SETTLED)).alias("s")).select(
+        "h1", "h2", F.col("s.first").alias("a"), F.col("s.last").alias("z"))
+    return settled.unionByName(more).groupBy("h1", "h2").agg(F.sort_array(
+        F.collect_list(F.struct("a", "z"))).alias("spans")).mapInArrow(
+        _covered(words), "h1 long, h2 long, n_shared long")
+
+
+def n_words(text: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def count(t: pa.Array) -> pa.Array:
+        t = tb.text_array(t)
+        n = [np.bincount(tb.words(*tb.flat(t.slice(lo, hi - lo)), tb.PLAIN_WORD)[2],
+                         minlength=hi - lo) for lo, hi in tb.slabs(t)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *n]))
+
+    return count(text)
+
+
 def removed_spans(starts, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the windows of the sorted start intervals."""
     out: list[list[int]] = []
@@ -538,34 +678,54 @@ def cut_text(text: Column, starts: Column, length: int = LENGTH) -> Column:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    starts = repeated_starts(docs, text_col, length)
+                   length: int = LENGTH, passage_words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``passage_words`` also
+    n_passage_words: how many words lie in runs of that many words or more, whatever their bytes,
+    that another row has too. Nothing is removed for these."""
+    least = length if passage_words is None else min(length, 2 * passage_words - 1)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     size = F.octet_length("text").cast("long")
-    short = rows.where(size < length).select(
-        "doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    long = rows.where(size >= length).withColumn("k", text_key(F.col("text")))
+    none = F.lit(0).cast("long")
+    short = rows.where(size < least).select(
+        "doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), none.alias("n_passage_words"))
+    long = rows.where(size >= least).withColumn("k", text_key(F.col("text")))
     texts = long.select("k.h1", "k.h2", "text").groupBy("h1", "h2").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    cut = texts.join(starts, ["h1", "h2"], "left").select(
+    # One exchange of the texts serves all three joins with them: the condition holds for all, but
+    # keeps the count in each.
+    same = texts.where("n > 0").select("h1", "h2", "text")
+    once = F.col("n") == 1
+    passages = none
+    if passage_words is not None:
+        shared = shared_words(docs, text_col, passage_words, texts=same)
+    found = texts.join(repeated_starts(docs, text_col, length, texts=same), ["h1", "h2"], "left")
+    if passage_words is not None:
+        found = found.join(shared, ["h1", "h2"], "left")
+        # Copies share all their words, if these are enough.
+        words = n_words(F.when(~once, F.col("text")))
+        passages = F.when(once, F.coalesce("n_shared", none)).when(
+            words >= passage_words, words).otherwise(none)
+    to_cut = once & F.col("starts").isNotNull()
+    cut = found.select(
         F.struct("h1", "h2").alias("k"), "n", size.alias("n_bytes"),
-        F.when((F.col("n") == 1) & F.col("starts").isNotNull(), cut_bytes(
-            F.col("text"), F.col("starts"), length)).alias("c"),
-        F.sha2("text", 256).alias("whole"))
-    one, gone = F.col("n") == 1, F.sha2(F.lit(""), 256)
+        F.when(to_cut, cut_bytes(F.when(to_cut, F.col("text")), F.col("starts"), length)).alias("c"),
+        F.sha2("text", 256).alias("whole"), passages.alias("n_passage_words"))
+    one, gone = once | (F.col("n_bytes") < length), F.sha2(F.lit(""), 256)
     facts = cut_lineage(cut.select(
         "k", "n", "n_bytes",
         F.when(one, F.coalesce("c.n_removed", F.lit(0))).otherwise(F.col("n_bytes")).cast(
             "long").alias("n_removed"),
         F.when(one, F.coalesce("c.n_spans", F.lit(0))).otherwise(1).cast("long").alias("n_spans"),
         F.when(~one, gone).when(F.col("c").isNull(), F.col("whole")).otherwise(
-            F.sha2("c.kept", 256)).alias("kept_sha256")))
+            F.sha2("c.kept", 256)).alias("kept_sha256"), "n_passage_words"))
     keys = long.select("doc_id", "k")
     out = join_group_facts(keys, facts, "k", rows.count(), small=0)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(short)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    if passage_words is not None:
+        names.append("n_passage_words")
+    return out.select(*names).unionByName(short.select(*names))
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -110,11 +110,12 @@ def _grow(n: int) -> None:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n+1 running sums from which ``span_hash`` takes the hash of any span in O(1)."""
+    """n+1 running sums from which ``span_hash`` takes the hash of any span, of bytes or of 64-bit
+    hashes of words, in O(1)."""
     n = len(data)
     _grow(n)
     out = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[:n], out=out[1:])
+    np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * _powers[:n], out=out[1:])
     return out
 
 
@@ -122,6 +123,29 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * _inverse[starts])
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray, target: int = SLAB):
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and n+1 offsets into them.
+
+    One long text is worked through in stretches of about ``target`` bytes that end between words.
+    """
+    if len(offsets) > 2 or len(data) <= target:
+        starts, ends, doc = words(data, offsets, PLAIN_WORD)
+        return span_hash(prefix_hash(data), starts, ends), np.searchsorted(
+            doc, np.arange(len(offsets)))
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + target, len(data))
+        while end < len(data) and PLAIN_WORD[data[end]]:
+            inside = PLAIN_WORD[data[end:end + target]]
+            end += len(inside) if inside.all() else int(inside.argmin())
+        piece = data[at:end]
+        starts, ends, _ = words(piece, np.array([0, len(piece)]), PLAIN_WORD)
+        out.append(span_hash(prefix_hash(piece), starts, ends))
+        at = end
+    hashed = np.concatenate(out)
+    return hashed, np.array([0, len(hashed)])
+
+
 _STEP = mix64(np.arange(11, 11 + 16, dtype=np.uint64)) | np.uint64(1)
 
 
