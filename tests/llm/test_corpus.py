@@ -214,6 +214,36 @@ def test_context_mixing(docs, rows):
     assert by[105] < by[117]
 
 
+def test_base_lists_are_bounded(spark, monkeypatch):
+    """A word that every text has is in no list: no task gets more of them than of other words."""
+    monkeypatch.setattr(context_mixing, "COMMON", 16, raising=False)
+    monkeypatch.setattr(context_mixing, "BUCKET", 256, raising=False)
+    written = []
+
+    def cut(df, real=context_mixing.cut_lineage):
+        written.append(real(df))
+        return written[-1]
+
+    monkeypatch.setattr(context_mixing, "cut_lineage", cut)
+    texts = [f"the a{i} the b{i % 97} c{i % 50} {'d' * (i % 3)}" for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 10 == 0
+    model = context_mixing.Model({o: np.ones((1 << b, 2), np.uint16)
+                                  for o, b in context_mixing.BITS.items()})
+    r = {x.doc_id: x for x in context_mixing.score_texts(df, model, held).collect()}
+    c = Counter(w for i, t in enumerate(texts) if i % 10 for w in [*t.split(), ""])
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        w = [*t.split(), ""]
+        assert (r[i].n_tokens, r[i].n_known, r[i].train_tokens) == (
+            len(w), sum(c[y] > 0 for y in w), n)
+        assert r[i].base_score == pytest.approx(
+            sum(math.log10((c[y] + .1) / (n + .1 * (v + 1))) for y in w))
+    lists = next(x for x in written if "bucket" in x.columns).where("bucket >= 0").groupBy(
+        "bucket").agg(F.sum(F.octet_length("docs") / 4).alias("n")).collect()
+    assert len(lists) > 8 and max(x.n for x in lists) < 1000
+
+
 def test_bit_predictions_sum_to_one():
     model = context_mixing.Model({o: np.random.default_rng(1).integers(
         0, 3, (1 << b, 2)).astype(np.uint16) for o, b in context_mixing.BITS.items()})

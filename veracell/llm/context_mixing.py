@@ -10,11 +10,14 @@ over the tasks by the bits they saw. A last table refines the mixed probability
 practice. The score is log10 of the probability of the whole text; ``bits_per_byte`` follows.
 
 All work on bits is done once per distinct gram (context and byte): learning texts send grams with
-their counts, dealt out by the last two context bytes, so that a context is summed in one place.
+their counts, dealt out by the last three context bytes into parts of bounded size, whose sums per
+slot add up.
 
 Beside it stands the unigram base over words, closed by one end per text. Word counts are exact:
-words travel as 64-bit hashes with lists of the texts of a slab that hold them, cut by hash range
-into as many buckets as the scan has partitions.
+words are counted first, as 64-bit hashes. The most frequent ones, of which there are fewer than
+``COMMON`` whatever the corpus, go to every task with their counts; the others travel with lists of
+the texts of a batch that hold them, cut by hash range into buckets of bounded size, because none
+of them has more than one in ``COMMON`` of all tokens.
 
 The model's size is fixed by ``BITS`` (31 MB), whatever the corpus; tables of the corpus are summed
 by hash range and only the finished model goes to the tasks.
@@ -50,8 +53,12 @@ CELLS = 33
 BATCH = 8192
 #: Grams of one online step, passes over them, and the least steps of a task.
 STEP, EPOCHS, STEPS = 1024, 3, 600
-#: Grams are dealt into as many parts as the scan has partitions, and these at least.
-PARTS = 64
+#: Grams are dealt into one part for so many bytes of text, and these at least.
+PART_BYTES, PARTS = 16 << 20, 64
+#: Words with over one in ``COMMON`` of all tokens go to every task.
+COMMON = 1 << 16
+#: Tokens of the other words in a bucket, and grams that a learner takes at once.
+BUCKET, CHUNK = 1 << 19, 1_000_000
 #: Distinct grams that a task holds before it sends them, and a worker remembers scored.
 HELD = 2_000_000
 
@@ -129,10 +136,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _count(parts: int):
-    """Distinct grams and their counts, by the last two context bytes."""
+    """Distinct grams and their counts, by the last three context bytes."""
     def send(us: list[np.ndarray], cs: list[np.ndarray]) -> pa.RecordBatch:
         u, c = _merged(us, cs)
-        part = (tb.mix64((u >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts)).astype(
+        part = (tb.mix64((u >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(
             np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -172,11 +179,11 @@ def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for o in ORDERS:
                 short, inverse = np.unique(_seen(u, o), return_inverse=True)
                 n = np.bincount(inverse, weights=c).astype(np.int64)
-                hashed = _context(short, o)
-                at = np.concatenate([_slot(hashed, node, o) * 2 + bit
-                                     for node, bit in _decisions(short)])
-                at, inverse = np.unique(at, return_inverse=True)
-                n = np.bincount(inverse, weights=np.tile(n, 8)).astype("<u8")
+                hashed, total = _context(short, o), np.zeros(2 << BITS[o], np.int64)
+                for node, bit in _decisions(short):
+                    np.add.at(total, _slot(hashed, node, o) * 2 + bit, n)
+                at = np.flatnonzero(total)
+                n = total[at].astype("<u8")
                 size = (2 << BITS[o]) // SEGMENTS
                 cut = np.searchsorted(at, np.arange(SEGMENTS + 1) * size)
                 rows += [(o * SEGMENTS + k, (at[cut[k]:cut[k + 1]] - k * size).astype(
@@ -255,10 +262,11 @@ class Model:
     def cell(z: np.ndarray) -> np.ndarray:
         return np.clip(np.round(z * 2) + CELLS // 2, 0, CELLS - 1).astype(np.int64)
 
-    def learn(self, u: np.ndarray, c: np.ndarray, slope: np.ndarray, rng) -> int:
+    def learn(self, u: np.ndarray, c: np.ndarray, slope: np.ndarray, rng,
+              steps: int = STEPS) -> int:
         """Online steps over distinct grams of multiplicity c; the last pass fills the table."""
         share = c / c.mean()
-        epochs = max(EPOCHS, -(-STEPS * STEP // max(len(u), 1)))
+        epochs = max(EPOCHS, -(-steps * STEP // max(len(u), 1)))
         for epoch in range(epochs):
             order = rng.permutation(len(u))
             for i in range(0, len(u), STEP):
@@ -298,10 +306,22 @@ def _learner(shared):
         model = Model(shared.value)
         slope = np.zeros(model.weights.size)
         rng = np.random.default_rng(5)
-        rows = [row for b in batches for row in zip(*(x.to_pylist() for x in b.columns))]
-        if rows:
-            seen = model.learn(np.concatenate([_unpacked(u) for u, _ in rows]), np.concatenate(
-                [np.frombuffer(c, "<u8") for _, c in rows]).astype(np.int64), slope, rng)
+        seen, us, cs = 0, [], []
+
+        def learn() -> int:
+            return model.learn(np.concatenate(us), np.concatenate(cs).astype(np.int64), slope, rng,
+                               0 if seen else STEPS)
+
+        for b in batches:
+            for u, c in zip(*b.columns):
+                us.append(_unpacked(u.as_buffer()))
+                cs.append(np.frombuffer(c.as_buffer(), "<u8"))
+                if sum(map(len, us)) >= CHUNK:
+                    seen += learn()
+                    us, cs = [], []
+        if us:
+            seen += learn()
+        if seen:
             yield pa.RecordBatch.from_arrays([
                 pa.array([float(seen)]), pa.array([(model.weights * seen).ravel().tolist()]),
                 pa.array([model.cells.ravel().tolist()])], names=["seen", "weights", "cells"])
@@ -311,8 +331,9 @@ def _learner(shared):
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Learn from all rows."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("string"))
-    parts = max(PARTS, texts.rdd.getNumPartitions())
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(PARTS, -(-size // PART_BYTES))
     tabled = cut_lineage(texts.mapInArrow(
         _count(parts), "part long, u binary, c binary").repartition("part").sortWithinPartitions(
         "part").mapInArrow(_tabled, "part long, at binary, n binary"))
@@ -398,14 +419,76 @@ class Lookup:
         return out
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every token; the end of a text is a word of its own."""
+    starts, ends, doc = tb.words(data, offsets, tb.PLAIN_WORD)
+    hashed = tb.span_hash(tb.prefix_hash(data), starts, ends)
+    n = len(offsets) - 1
+    return (np.concatenate([hashed, np.full(n, np.uint64(0))]),
+            np.concatenate([doc, np.arange(n)]))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a task with their tokens in learning texts and in all; a word may come again."""
+    def line(us: list[np.ndarray], cs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate(us), return_inverse=True)
+        c = np.concatenate(cs)
+        return h, np.stack([np.bincount(at, c[:, k], len(h)) for k in (0, 1)], 1).astype(np.int64)
+
+    def send(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(h.view(np.int64)), pa.array(c[:, 0]), pa.array(c.sum(1))],
+            names=["h", "learnt", "tokens"])
+
+    us, cs = [], []
+    for b in batches:
+        held = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for lo, _, data, offsets in _texts(b, 0):
+            hashed, doc = _words(data, offsets)
+            for k, those in enumerate((~held[lo + doc], held[lo + doc])):
+                h, n = np.unique(hashed[those], return_counts=True)
+                us.append(h)
+                cs.append(np.stack([n * (1 - k), n * k], 1))
+            if sum(map(len, us)) > HELD:
+                h, c = line(us, cs)
+                us, cs = [h], [c]
+                if len(h) > HELD // 2:
+                    yield send(h, c)
+                    us, cs = [], []
+    if us:
+        yield send(*line(us, cs))
+
+
 _SCORED = ("doc_id {0}, unit long, bucket long, n_tokens long, n_bytes long, held_out boolean, "
-           "score double, h binary, n binary, docs binary, tf binary")
+           "score double, base double, known long, h binary, n binary, docs binary, tf binary")
 
 
-def _scorer(shared, weights: np.ndarray, cells: np.ndarray, buckets: int):
-    """Lines of texts (bucket -1, in the order of their unit), and word lists by hash range."""
+def _scorer(shared, weights: np.ndarray, cells: np.ndarray, buckets: int, common):
+    """Lines of texts (bucket -1, in the order of their unit) with the base terms of common words,
+    and lists of the other words by hash range. A unit is a batch."""
     name = uuid.uuid4().hex
 
+    def lists(hashed: np.ndarray, doc: np.ndarray, tf: np.ndarray, unit: int, kind: pa.DataType):
+        order = np.argsort(hashed, kind="stable")  # texts stay in order
+        hashed, doc, tf = hashed[order], doc[order], tf[order]
+        first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
+        words, n = hashed[first], np.diff(np.append(first, len(doc)))
+        which = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        cut = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
+        pair = np.append(first, len(doc))[cut]
+        live = np.flatnonzero(np.diff(cut))
+        none = np.zeros(len(live), np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.nulls(len(live), kind), pa.array(none + unit), pa.array(live), pa.array(none),
+            pa.array(none), pa.array(none.astype(bool)), pa.array(none.astype(float)),
+            pa.array(none.astype(float)), pa.array(none),
+            *[pa.array([x[c[k]:c[k + 1]].tobytes() for k in live], pa.binary()) for x, c in (
+                (words, cut), (n.astype("<u4"), cut), (doc.astype("<u4"), pair), (tf, pair))]],
+            names=names)
+
+    names = ["doc_id", "unit", "bucket", "n_tokens", "n_bytes", "held_out", "score", "base",
+             "known", "h", "n", "docs", "tf"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _workers:
             _workers.clear()
@@ -413,56 +496,48 @@ def _scorer(shared, weights: np.ndarray, cells: np.ndarray, buckets: int):
             model.weights, model.cells = weights, cells
             _workers[name] = Memory(model)
         memory, unit = _workers[name], TaskContext.get().partitionId() << 32
+        often, often_n = common.value
         for b in batches:
+            rare: list[tuple] = []
             for lo, hi, data, offsets in _texts(b, 1):
                 g, begin = grams(data, offsets)
                 u = np.unique(g)
                 score = np.add.reduceat(Lookup(u, memory.scores(u)).get(g), begin)
-                starts, ends, doc = tb.words(data, offsets, tb.PLAIN_WORD)
-                hashed = tb.span_hash(tb.prefix_hash(data), starts, ends)
-                # The end of a text is a word of its own.
-                hashed = np.concatenate([hashed, np.full(hi - lo, np.uint64(0))])
-                doc = np.concatenate([doc, np.arange(hi - lo)])
-                held = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+                rows = hi - lo
+                hashed, doc = _words(data, offsets)
+                held = b.column(2).slice(lo, rows).to_numpy(zero_copy_only=False).astype(bool)
                 order = np.argsort(hashed, kind="stable")  # texts stay in order
                 hashed, doc = hashed[order], doc[order]
                 new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1])
                                                      | (doc[1:] != doc[:-1])]))
                 tf = np.diff(np.append(new, len(doc)))
                 hashed, doc = hashed[new], doc[new]
-                tokens = np.bincount(doc, weights=tf, minlength=hi - lo).astype(np.int64)
-                tf = np.where(held[doc], -tf, tf).astype("<i4")
-                first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]]))
-                words, lists = hashed[first], np.diff(np.append(first, len(doc)))
-                which = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cut = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-                pair = np.append(first, len(doc))[cut]
-                live = np.flatnonzero(np.diff(cut))
-                rows, none = hi - lo, len(live)
+                tokens = np.bincount(doc, weights=tf, minlength=rows).astype(np.int64)
+                at = np.minimum(np.searchsorted(often, hashed), max(len(often) - 1, 0))
+                met = often[at] == hashed if len(often) else np.zeros(len(hashed), bool)
+                at, of, times = at[met], doc[met], tf[met]
+                base = np.bincount(of, times * np.log10(often_n + 0.1)[at], rows)
+                known = np.bincount(of, np.where(often_n[at] > 0, times, 0), rows)
+                rest = ~met
+                rare.append((hashed[rest], doc[rest] + lo, np.where(
+                    held[doc[rest]], -tf[rest], tf[rest]).astype("<i4")))
                 yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([b.column(0).slice(lo, rows), pa.nulls(none, id_kind(b))]),
-                    pa.array(np.full(rows + none, unit)),
-                    pa.array(np.concatenate([np.full(rows, -1), live])),
-                    pa.array(np.concatenate([tokens, np.zeros(none, np.int64)])),
-                    pa.array(np.concatenate([np.diff(offsets), np.zeros(none, np.int64)])),
-                    pa.array(np.concatenate([held, np.zeros(none, bool)])),
-                    pa.array(np.concatenate([score, np.zeros(none)])),
-                    *[pa.array([None] * rows + [x[c[k]:c[k + 1]].tobytes() for k in live],
-                               pa.binary()) for x, c in (
-                        (words, cut), (lists.astype("<u4"), cut), (doc.astype("<u4"), pair),
-                        (tf, pair))]],
-                    names=["doc_id", "unit", "bucket", "n_tokens", "n_bytes", "held_out", "score",
-                           "h", "n", "docs", "tf"])
-                unit += 1
-
-    def id_kind(b: pa.RecordBatch) -> pa.DataType:
-        return b.schema.field(0).type
+                    b.column(0).slice(lo, rows), pa.array(np.full(rows, unit)),
+                    pa.array(np.full(rows, -1)), pa.array(tokens), pa.array(np.diff(offsets)),
+                    pa.array(held), pa.array(score), pa.array(base),
+                    pa.array(known.astype(np.int64)),
+                    *[pa.nulls(rows, pa.binary()) for _ in range(4)]], names=names)
+            if rare:
+                hashed, doc, tf = (np.concatenate(x) for x in zip(*rare))
+                if len(hashed):
+                    yield lists(hashed, doc, tf, unit, b.schema.field(0).type)
+            unit += 1
 
     return run
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: learning tokens and words (unit -1), and each unit's sums by text."""
+    """Per bucket: each unit's sums by text."""
     for t, first in Groups(0).feed(batches):
         for f, to in zip(first.tolist(), np.append(first[1:], t.num_rows).tolist()):
             part = t.slice(f, to - f)
@@ -482,15 +557,10 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             add, known = np.bincount(at, add, len(key)), np.bincount(at, known, len(key))
             cut = np.searchsorted(key >> 32, np.arange(len(sizes) + 1))
             doc = (key & 0xFFFFFFFF).astype("<u4")
-            rows = [x[cut[i]:cut[i + 1]] for i in range(len(sizes)) for x in (doc, add, known)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([-1, *part.column("unit").to_pylist()], pa.int64()),
-                pa.array([int(count.sum()), *[None] * len(sizes)], pa.int64()),
-                pa.array([int((count > 0).sum()), *[None] * len(sizes)], pa.int64()),
-                pa.array([None, *[x.tobytes() for x in rows[0::3]]], pa.binary()),
-                pa.array([None, *[x.astype("<f8").tobytes() for x in rows[1::3]]], pa.binary()),
-                pa.array([None, *[x.astype("<i8").tobytes() for x in rows[2::3]]], pa.binary())],
-                names=["unit", "tokens", "words", "docs", "add", "known"])
+            yield pa.RecordBatch.from_arrays([part.column("unit").combine_chunks(), *[
+                pa.array([x[cut[i]:cut[i + 1]].tobytes() for i in range(len(sizes))], pa.binary())
+                for x in (doc, add.astype("<f8"), known.astype("<i8"))]],
+                names=["unit", "docs", "add", "known"])
 
 
 def _gather(id_type: str):
@@ -502,7 +572,7 @@ def _gather(id_type: str):
             for f, to in zip(first.tolist(), np.append(first[1:], t.num_rows).tolist()):
                 part = t.slice(f, to - f)
                 texts = part.filter(pa.compute.is_null(part.column("docs"))).sort_by("place")
-                add, known = np.zeros(texts.num_rows), np.zeros(texts.num_rows, np.int64)
+                add, known = (texts.column(c).to_numpy().copy() for c in ("base", "n_known"))
                 sums = part.filter(pa.compute.is_valid(part.column("docs"))).sort_by("place")
                 for d, a, k in zip(*(sums.column(c).to_pylist() for c in ("docs", "add",
                                                                           "known"))):
@@ -510,7 +580,7 @@ def _gather(id_type: str):
                     add[at] += np.frombuffer(a, "<f8")
                     known[at] += np.frombuffer(k, "<i8")
                 out = texts.select(names).append_column("n_known", pa.array(known)).append_column(
-                    "base", pa.array(add))
+                    "base", pa.array(add)).combine_chunks()
                 yield from out.to_batches()
     return run
 
@@ -523,24 +593,31 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column, id_col: str = "
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held"))
-    buckets = max(8, rows.rdd.getNumPartitions())
+    counts = cut_lineage(rows.select("text", "held").mapInArrow(
+        _word_counts, "h long, learnt long, tokens long").groupBy("h").agg(
+        F.sum("learnt").alias("learnt"), F.sum("tokens").alias("tokens")))
+    tokens, words, spoken = (x or 0 for x in counts.agg(
+        F.sum("learnt"), F.count_if(F.col("learnt") > 0), F.sum("tokens")).first())
+    often = counts.where(F.col("tokens") * COMMON > spoken).toArrow()  # fewer than COMMON lines
+    h, learnt, met = (often.column(c).to_numpy() for c in ("h", "learnt", "tokens"))
+    order = np.argsort(h.view(np.uint64))
+    common = spark.sparkContext.broadcast((h.view(np.uint64)[order], learnt[order]))
+    buckets = max(8, -(-(spoken - int(met.sum())) // BUCKET))
     shared = model.shared or spark.sparkContext.broadcast(model.counts)
     scored = cut_lineage(rows.mapInArrow(
-        _scorer(shared, model.weights, model.cells, buckets),
+        _scorer(shared, model.weights, model.cells, buckets, common),
         _SCORED.format(id_type)).withColumn("place", F.monotonically_increasing_id()))
-    parts = cut_lineage(scored.where("bucket >= 0").select(
-        "bucket", "unit", "h", "n", "docs", "tf").repartition("bucket").sortWithinPartitions(
-        "bucket", "unit").mapInArrow(
-        _base, "unit long, tokens long, words long, docs binary, add binary, known binary"))
-    tokens, words = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)),
-                              F.coalesce(F.sum("words"), F.lit(0))).first()
-    columns = ["doc_id", "held_out", "n_tokens", "n_bytes", "score"]
-    texts = scored.where("bucket = -1").select(
+    parts = scored.where("bucket >= 0").select(
+        "bucket", "unit", "h", "n", "docs", "tf").repartition(
+        buckets, "bucket").sortWithinPartitions("bucket", "unit").mapInArrow(
+        _base, "unit long, docs binary, add binary, known binary")
+    columns = ["doc_id", "held_out", "n_tokens", "n_bytes", "score", "base", "n_known"]
+    texts = scored.where("bucket = -1").withColumnRenamed("known", "n_known").select(
         "unit", "place", *columns, *[F.lit(None).cast("binary").alias(c)
                                      for c in ("docs", "add", "known")])
-    sums = parts.where("unit >= 0").select(
+    sums = parts.select(
         "unit", F.xxhash64("docs", "add").alias("place"),
-        *[F.lit(None).cast(scored.schema[c].dataType).alias(c) for c in columns],
+        *[F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in columns],
         "docs", "add", "known")
     out = texts.unionByName(sums).repartition("unit").sortWithinPartitions("unit").mapInArrow(
         _gather(id_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, "
