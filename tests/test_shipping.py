@@ -50,6 +50,18 @@ def test_causes_are_told_when_every_detector_fails(spark, monkeypatch):
         analyze(df, ["id"], Config(methods="isolation_forest", with_text=False))
 
 
+def test_one_failing_detector_ends_the_run(spark, monkeypatch):
+    """Scores without a method that was asked for would look like a whole result."""
+    def broken(*args, **kwargs):
+        raise TypeError("no module")
+
+    monkeypatch.setitem(DT.DETECTORS, "lof", broken)
+    df = spark.range(40).select("id", (F.col("id") * 1.5).alias("v"), F.rand(1).alias("w"))
+    config = Config(methods="autoencoder,lof", with_text=False, bootstrap_runs=2)
+    with pytest.warns(UserWarning), pytest.raises(RuntimeError, match="1 of 2 .*lof: TypeError"):
+        analyze(df, ["id"], config)
+
+
 def test_copies_get_a_recommendation(spark):
     rows = spark.createDataFrame(
         [(5, "duplicate_near_duplicate", "low", 1.0, [], "Exact copy", {"a": "1"})],
