@@ -3,6 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from veracell.operators.numbering import number_rows
+from veracell.operators import quantiles as Q
 from veracell.operators.quantiles import quantiles, value_ranks, with_average_rank
 
 
@@ -82,3 +83,22 @@ def test_ranks_between_the_same_bounds_share_a_sketch(spark, monkeypatch):
     np.testing.assert_allclose(got["v"], np.quantile(v, probs), rtol=1e-12)
     np.testing.assert_allclose(got["w"], np.quantile(-v, probs), rtol=1e-12)
     assert len(asked) == 2
+
+
+def test_group_quantiles_settle_digit_by_digit(spark, monkeypatch):
+    """Order statistics of weighted groups with ties, both signs and zeros, whatever is held."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=900), np.zeros(300), -np.zeros(200), [1e300, -1e-300],
+                        np.repeat(1.5, 400), 1.5 + np.arange(50) * 2.0 ** -50])
+    g, n = rng.integers(0, 3, len(v)), rng.integers(0, 4, len(v))
+    long = spark.createDataFrame(pd.DataFrame({"g": g.astype(np.int32), "v": v, "n": n})
+                                 ).repartition(5).unionByName(spark.sql(
+                                     "SELECT 1 AS g, CAST(NULL AS DOUBLE) AS v, 9L AS n"))
+    probs = [0.0, 1 / 6, 0.5, 0.77, 0.95, 1.0]
+    for held in (Q.LAST_ROWS, 0):
+        monkeypatch.setattr(Q, "LAST_ROWS", held)
+        got = Q.group_quantiles(long, 4, probs)
+        for k in range(3):
+            np.testing.assert_allclose(got[k], np.quantile(np.repeat(v[g == k], n[g == k]), probs),
+                                       rtol=1e-12, atol=0)
+        assert got[3] == [None] * len(probs)

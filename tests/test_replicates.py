@@ -91,3 +91,37 @@ def test_methods_share_the_lists_of_the_replicates(feats, rows, monkeypatch):
         np.testing.assert_allclose([v or 0 for v in got[r["row_id"]]], [v or 0 for v in r["s"]])
     drawn = rows.where(F.array_max("wv") > 0).count()  # in one replicate at least
     assert R.density_replicates(rows, RUNS, **given, lists=lists).count() == drawn
+
+
+def test_a_ladder_in_one_task_is_that_of_the_rounds(rows, feats, monkeypatch):
+    graph = knn.neighbours(feats, 30)
+    lists = R.graph_of(rows, graph, RUNS, 20)
+    near = knn.shorten(lists, 15).cache()
+    sizes = R._sizes(rows, RUNS)
+
+    def scored():
+        points, steps, clusters = DT.density_scores(near, sizes)
+        return sorted(tuple(r) for r in points.select(
+            "rep", "point", F.round("raw", 10), "cluster").collect()), steps, clusters
+
+    one = scored()
+    monkeypatch.setattr(DT, "LADDER_ROWS", 0)
+    assert one == scored()
+    assert len({r[3] for r in one[0]}) > 2
+
+
+def test_splits_alone_are_those_in_step(rows, monkeypatch):
+    """Small replicates take a task each, without barrier rounds."""
+    def parts():
+        found, done = DT.sparse_parts(rows, "wv", RUNS, max_iter=30)
+        return np.array([r["s"] for r in found.orderBy("row_id").collect()]), done
+
+    calls = []
+    real = DT._barrier_rounds
+    monkeypatch.setattr(DT, "_barrier_rounds", lambda *a: calls.append(a) or real(*a))
+    one, turns = parts()
+    assert calls == []  # none from the driver: only tasks start rounds
+    monkeypatch.setattr(DT, "TASK_CELLS", 1)
+    two, again = parts()
+    assert len(calls) > 0 and turns == again
+    np.testing.assert_allclose(one, two, atol=1e-9)
